@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from cellwave.llm.chat import op10_chat_format
+from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
 from cellwave.llm.mixing import op1_source_mix
+from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op8_line_dedup": op8_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
+}
