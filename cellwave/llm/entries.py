@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from cellwave.llm.chat import op10_chat_format
+from cellwave.llm.langid import op9_language_id
 from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
 from cellwave.llm.mixing import op1_source_mix
+from cellwave.llm.tiff import op7_tiff_pages
 from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
+from cellwave.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_top_k": op2_exact_top_k,
+    "op6_toxicity": op6_toxicity,
+    "op7_tiff_pages": op7_tiff_pages,
     "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
 
