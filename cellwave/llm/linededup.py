@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwave.llm.store import cut
+
 #: Of the rolling hash: base and modulus.
 BASE, MODULUS = 1_000_003, 2**31 - 1
 
@@ -72,7 +74,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     key = F.struct(F.xxhash64("body").alias("a"), F.xxhash64(F.lit(1), "body").alias("b"), F.length("body").alias("n"))
     each = each.select(key.alias("key"), F.struct("_row", "no").alias("at"), "body")
     once = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("body").alias("low"), F.max("body").alias("high"))
-    repeated = once.filter((F.col("first") != F.col("last")) & (F.col("low") == F.col("high"))).select("key", "first")
+    # written, so that both sides of the join are plain exchanges, whose large partitions Spark can split
+    repeated = cut(once.filter((F.col("first") != F.col("last")) & (F.col("low") == F.col("high"))).select("key", "first"), "repeated-chunks")
     removed = each.select("key", "at").join(repeated, "key").filter(F.col("at") != F.col("first"))
     removed = removed.groupBy("at._row").agg(F.collect_set("at.no").alias("_removed"))
     joined = chunked.join(removed, "_row", "left")
