@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cellwave.llm.bpe import op5_bpe_round_trip
 from cellwave.llm.chat import op10_chat_format
 from cellwave.llm.langid import op9_language_id
 from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
@@ -13,6 +14,7 @@ from cellwave.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_top_k": op2_exact_top_k,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
     "op7_tiff_pages": op7_tiff_pages,
     "op8_line_dedup": op8_line_dedup,
