@@ -7,6 +7,7 @@ from cellwave.llm.chat import op10_chat_format
 from cellwave.llm.langid import op9_language_id
 from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
 from cellwave.llm.mixing import op1_source_mix
+from cellwave.llm.ngramjoin import op4_ngram_jaccard
 from cellwave.llm.tiff import op7_tiff_pages
 from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
 from cellwave.llm.toxicity import op6_toxicity
@@ -14,6 +15,7 @@ from cellwave.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_top_k": op2_exact_top_k,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
     "op7_tiff_pages": op7_tiff_pages,
