@@ -8,6 +8,7 @@ from cellwave.llm.langid import op9_language_id
 from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
 from cellwave.llm.mixing import op1_source_mix
 from cellwave.llm.ngramjoin import op4_ngram_jaccard
+from cellwave.llm.repeats import op3_suffix_dedup
 from cellwave.llm.tiff import op7_tiff_pages
 from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
 from cellwave.llm.toxicity import op6_toxicity
@@ -15,6 +16,7 @@ from cellwave.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
