@@ -301,10 +301,10 @@ def slot_variance(spark, d):
     return slot_params(spark, d).select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), "slot_mu", F.round("slot_var", 3).alias("slot_var"))
 
 
-@query(views.LOW_VARIANCE, LOW_STATS, FIT, PARAMS, f"SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, round(log10(lam), 4) AS log_lambda, round(log10(lam * e_psi), 4) AS log_demand FROM full_params")
+@query(views.LOW_VARIANCE, LOW_STATS, FIT, PARAMS, f"SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, round(log10(lam), 4) + 0.0 AS log_lambda, round(log10(lam * e_psi), 4) + 0.0 AS log_demand FROM full_params")
 def arrival_params(spark, d):
     p = slot_params(spark, d)
-    return p.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), F.round(F.log10("lambda"), 4).alias("log_lambda"), F.round(F.log10(F.col("lambda") * F.col("e_psi")), 4).alias("log_demand"))
+    return p.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), (F.round(F.log10("lambda"), 4) + 0.0).alias("log_lambda"), (F.round(F.log10(F.col("lambda") * F.col("e_psi")), 4) + 0.0).alias("log_demand"))
 
 
 @query(
@@ -312,13 +312,13 @@ def arrival_params(spark, d):
     LOW_STATS,
     FIT,
     PARAMS,
-    f"""SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, round(log10(e_u), 4) AS log_e_u, round(log10(e_u * e_psi), 4) AS log_e_total,
-        round(log10(e_u * (1 + 2 * lam * zeta / ((tau + zeta) * (tau + zeta)))), 4) AS log_var_u
+    f"""SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, round(log10(e_u), 4) + 0.0 AS log_e_u, round(log10(e_u * e_psi), 4) + 0.0 AS log_e_total,
+        round(log10(e_u * (1 + 2 * lam * zeta / ((tau + zeta) * (tau + zeta)))), 4) + 0.0 AS log_var_u
         FROM (SELECT *, lam * (tau / (tau + zeta)) * 300 AS e_u FROM full_params)""",
 )
 def model_moments(spark, d):
     m = traffic.model_moments(slot_params(spark, d))
-    return m.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), F.round(F.log10("e_u"), 4).alias("log_e_u"), F.round(F.log10("e_total"), 4).alias("log_e_total"), F.round(F.log10("var_u"), 4).alias("log_var_u"))
+    return m.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), (F.round(F.log10("e_u"), 4) + 0.0).alias("log_e_u"), (F.round(F.log10("e_total"), 4) + 0.0).alias("log_e_total"), (F.round(F.log10("var_u"), 4) + 0.0).alias("log_var_u"))
 
 
 def generated(spark, d):

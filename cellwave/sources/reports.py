@@ -29,8 +29,8 @@ def build_reports(scored: DataFrame, num_samples: int = 32, stamp: str | None =
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON in a folder per dataset."""
-    reports.write.mode(mode).partitionBy("dataset").json(path)
+    """JSON in a folder per dataset, one report a file."""
+    reports.write.mode(mode).option("maxRecordsPerFile", 1).partitionBy("dataset").json(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
