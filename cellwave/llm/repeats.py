@@ -118,8 +118,9 @@ def find_windows(bodies: DataFrame, partial: DataFrame, length: int, most: int)
     """doc, run: runs of windows that also start earlier, among those runs that share an anchor but differ."""
     kinds = partial.groupBy("key").count()
     limit = max(1024, most)
+    # fewer keys than partial.count() / limit, at most four times the shuffle partitions, can have so many runs
     hot = kinds.filter(F.col("count") > limit).select("key", F.lit(True).alias("hot"))
-    marked = partial.join(hot, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("run", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    marked = partial.join(F.broadcast(hot), "key", "left").groupBy("doc").agg(F.collect_list(F.struct("run", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
