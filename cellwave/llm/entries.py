@@ -8,6 +8,7 @@ from cellwave.llm.langid import op9_language_id
 from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
 from cellwave.llm.mixing import op1_source_mix
 from cellwave.llm.ngramjoin import op4_ngram_jaccard
+from cellwave.llm.oracles import OP1_SQL, OP4_SQL, OP10_SQL
 from cellwave.llm.repeats import op3_suffix_dedup
 from cellwave.llm.tiff import op7_tiff_pages
 from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
@@ -27,6 +28,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": OP1_SQL,
     "op2_exact_top_k": OP2_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op10_chat_format": OP10_SQL,
 }
