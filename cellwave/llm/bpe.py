@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -27,10 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwave.llm.arrow import steps
+from cellwave.llm.store import cut
 
 #: The splitting pattern of byte-level BPE (fixed value).
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: The same for texts of nothing but the characters of PLAIN_TEXT, which need no tables of character classes.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN_SPLIT = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+OTHER_TEXT = re.compile(rf"[^\x00-\x7f{_LETTERS}]")
+
+#: Bits of an id where two go in one number, and what stands for no rule.
+WIDTH = 24
+MASK, NO_RULE = (1 << WIDTH) - 1, 1 << 62
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256 on."""
@@ -52,7 +63,8 @@ class Merger:
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.start = [vocab[letters[b]] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"])
-        self.rules = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair's rank and what it becomes in one number, by the pair in one number
+        self.rules = {vocab[a] << WIDTH | vocab[b]: rank << WIDTH | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         size = max([*vocab.values(), *self.special.values()]) + 1
         spelt = [b""] * size
         for token, i in vocab.items():
@@ -63,37 +75,37 @@ class Merger:
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
 
     def merge(self, word: bytes) -> list[int]:
-        ids, rules = [self.start[b] for b in word], self.rules
+        ids, rule = [self.start[b] for b in word], self.rules.get
         if len(ids) > 48:
             return self.merge_long(ids)
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                rule = rules.get((ids[i], ids[i + 1]))
-                if rule and (best is None or rule < best):
-                    best, at = rule, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        ranks = [rule(a << WIDTH | b, NO_RULE) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NO_RULE:
+            at = ranks.index(best)
+            ids[at] = best & MASK
+            del ids[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = rule(ids[at] << WIDTH | ids[at + 1], NO_RULE)
+            if at:
+                ranks[at - 1] = rule(ids[at - 1] << WIDTH | ids[at], NO_RULE)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list."""
         rules, n = self.rules, len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rules.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rules.get(ids[i] << WIDTH | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = r & MASK, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := rules.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
+                if x >= 0 and y >= 0 and (r := rules.get(ids[x] << WIDTH | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
 
@@ -228,8 +240,8 @@ class Coder:
             ends.append(len(words))
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
-        coded = pa.array(words, pa.large_string()).dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        codes, distinct = np.fromiter(map(place.__getitem__, words), np.int64, len(words)), list(place)
         numbers = self.lexicon.find([w.encode() for w in distinct])
         lengths = np.where(numbers >= 0, np.diff(self.lexicon.offsets)[numbers] if len(self.lexicon.offsets) > 1 else 0, 0).astype(np.int64)
         starts = np.where(numbers >= 0, self.lexicon.offsets[numbers], 0).astype(np.int64)
@@ -262,14 +274,15 @@ class Coder:
 
 def split_words(text: str, rules: Merger) -> list[str]:
     """A text's words by the splitting pattern; a special token is a word of its own."""
+    split = SPLIT.findall if OTHER_TEXT.search(text) else PLAIN_SPLIT.findall
     if rules.special_pattern and any(s in text for s in rules.special):
         parts = rules.special_pattern.split(text)
-        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else SPLIT.findall(p))]
-    return SPLIT.findall(text)
+        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else split(p))]
+    return split(text)
 
 
 def frequent_words(docs: DataFrame, path: str, n: int, text: str = "text", most: int = 1 << 18) -> list[str]:
-    """The ``n`` most frequent words of all texts, ties by code point; special tokens are none."""
+    """At most ``n`` words: those of all texts that occur most often, down to the count at which there would be more; special tokens are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, counts = merger(path), Counter()
@@ -287,12 +300,22 @@ def frequent_words(docs: DataFrame, path: str, n: int, text: str = "text", most:
             yield told()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    special = list(merger(path).special)
-    top = counted.filter(~F.col("word").isin(special)).orderBy(F.col("n").desc(), "word").limit(n)
-    return [r["word"] for r in top.select("word").collect()]
-
-
-def build_lexicon(docs: DataFrame, path: str, words: int = 1 << 16, text: str = "text") -> bytes:
+    # a word that occurs once is no frequent one; special tokens are words of their own already
+    counted = cut(counted.filter(~F.col("word").isin(list(merger(path).special)) & (F.col("n") > 1)), "words")
+    # counts by size, the larger ones in steps of an eightieth, so that their table has a few thousand rows at most
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) - 640 + 1024)
+    upto, least = 0, None
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
+        upto += r["count"]
+        if upto > n:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return [r["word"] for r in counted.filter(level >= least).select("word").collect()]
+
+
+def build_lexicon(docs: DataFrame, path: str, words: int = 1 << 18, text: str = "text") -> bytes:
     """A packed lexicon of the corpus's most frequent words; its size is bounded by ``words``."""
     rules = merger(path)
     return Lexicon.compile({w.encode(): rules.merge(w.encode()) for w in frequent_words(docs, path, words, text) if len(w) < 256}).pack()
