@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cellwave.llm.arrow import steps
 from cellwave.llm.langid import fold_of
+from cellwave.llm.store import cut
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -138,7 +139,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_featur
     both = (F.col("toxic") + F.col("clean")) / F.lit(seen[0] + seen[1])
     telling = F.abs(a - b) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)))
     top = counted.filter((F.col("feature") != "") & (F.col("toxic") + F.col("clean") >= least)).orderBy(telling.desc(), "feature").limit(n_features)
-    chosen = {r["feature"] for r in top.select("feature").collect()}
+    # written first, so that the best of each partition meet in a task and not in the driver
+    chosen = {r["feature"] for r in cut(top.select("feature"), "features").collect()}
     index = {f: i for i, f in enumerate(sorted(chosen | set(swap)))}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
