@@ -18,14 +18,24 @@ def rmse(scored: DataFrame, keys: tuple[str, ...] = ("dataset", "model_id")) ->
     return scored.groupBy(*keys).agg(F.sqrt(F.avg("squared_error")).alias("rmse"), F.count("*").alias("num_series"))
 
 
-def evaluate_models(context: DataFrame, targets: DataFrame, models: tuple[str, ...] = ("last", "mean", "median"), sector: str = "sector", value: str = "trafic_mbps") -> DataFrame:
-    """model_id, sector, site, target, prediction, squared_error: every built-in model on every series, in one pass over the context."""
-    from cellwave.operators.forecast import forecast_native
-
-    made = {"last": F.max_by(value, F.struct("first_seq", "row_seq")), "mean": F.avg(value), "median": F.median(value)}
-    wide = context.groupBy(sector).agg(*[made[m].cast("double").alias(f"_{m}") for m in models]) if len(models) > 1 else forecast_native(context, models[0], sector, value).withColumnRenamed("prediction", f"_{models[0]}")
+def evaluate_models(rows: DataFrame, size: int, models: tuple[str, ...] = ("last", "mean", "median"), sector: str = "sector", value: str = "trafic_mbps", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
+    """model_id, sector, site, target, prediction, squared_error: every built-in model on every series of two points and more.
+
+    The last point of a series is the target, the ``size`` points before it are
+    the context. One exchange by sector serves the cut, all models and the
+    target; of a long series only ``size`` + 1 points go through it per task.
+    """
+    back = F.row_number().over(W.partitionBy(sector).orderBy(*[F.col(c).desc() for c in order]))
+    recent = rows.select(sector, "site", value, back.alias("_back"), *order).filter(F.col("_back") <= size + 1)
+    seen = F.when(F.col("_back") > 1, F.col(value))
+    made = {"last": F.max(F.when(F.col("_back") == 2, F.col(value))), "mean": F.avg(seen), "median": F.median(seen)}
+    last = F.col("_back") == 1
+    wide = recent.groupBy(sector).agg(
+        F.max(F.when(last, F.col("site"))).alias("site"), F.max(F.when(last, F.col(value))).alias("target"), F.count(seen).alias("_n"), *[made[m].cast("double").alias(f"_{m}") for m in models]
+    )
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"_{m}").alias("prediction")) for m in models])).alias("m")
-    return score_series(wide.select(sector, each).select(sector, "m.model_id", "m.prediction"), targets, sector)
+    out = wide.filter(F.col("_n") > 0).select(sector, "site", "target", each).select("m.model_id", sector, "site", "target", "m.prediction")
+    return out.withColumn("squared_error", (F.col("prediction") - F.col("target")) * (F.col("prediction") - F.col("target")))
 
 
 def summary_table(scored: DataFrame, num_samples: int = 32, keys: tuple[str, ...] = ("dataset", "model_id")) -> DataFrame:

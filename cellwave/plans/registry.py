@@ -549,10 +549,8 @@ BASE = (views.HISTORY, CANON, CONTEXT, TARGETS, SCORED)
 
 def scored(spark, d):
     """Every built-in forecaster on every series; two data sets by site, from one ordering of the history."""
-    rows = ordered(spark, d)
-    targets = rows.groupBy("sector").agg(F.max_by(F.struct("site", "trafic_mbps"), F.struct("first_seq", "row_seq")).alias("t")).select("sector", "t.site", F.col("t.trafic_mbps").alias("target"))
     short = F.substring("site", -1, 1).isin("0", "1", "2", "3")
-    return score.evaluate_models(tokens.last_context(rows, SIZE), targets).withColumn("dataset", F.when(short, "instant_short").otherwise("original"))
+    return score.evaluate_models(ordered(spark, d), SIZE).withColumn("dataset", F.when(short, "instant_short").otherwise("original"))
 
 
 @query(*BASE, "SELECT sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored WHERE model_id = 'mean'")
@@ -607,11 +605,11 @@ def best_model(spark, d):
     SUMMARY,
     LOOKUP,
     "sized AS (SELECT dataset, model_id, rmse, CASE WHEN parameters LIKE '%K' THEN regexp_replace(parameters, 'K', '')::DOUBLE * 1e3 WHEN parameters LIKE '%M' THEN regexp_replace(parameters, 'M', '')::DOUBLE * 1e6 END AS n_parameters FROM summary LEFT JOIN lookup USING (model_id))",
-    """SELECT dataset, model_id, n_parameters, round(rmse, 6) AS rmse, round(lag(rmse) OVER w, 6) AS previous_rmse, (rmse > lag(rmse) OVER w)::INTEGER AS rises
+    """SELECT dataset, model_id, n_parameters, round(rmse, 6) AS rmse, round(lag(rmse) OVER w, 6) AS previous_rmse, coalesce((rmse > lag(rmse) OVER w)::INTEGER, -1) AS rises
        FROM sized WINDOW w AS (PARTITION BY dataset ORDER BY n_parameters NULLS FIRST, model_id)""",
 )
 def size_vs_error(spark, d):
-    return score.size_vs_error(with_parameters(spark, d)).select("dataset", "model_id", "n_parameters", r6("rmse", "rmse"), r6("previous_rmse", "previous_rmse"), F.col("rises").cast("int").alias("rises"))
+    return score.size_vs_error(with_parameters(spark, d)).select("dataset", "model_id", "n_parameters", r6("rmse", "rmse"), r6("previous_rmse", "previous_rmse"), F.coalesce(F.col("rises").cast("int"), F.lit(-1)).alias("rises"))
 
 
 @query(
