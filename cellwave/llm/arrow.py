@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one step of a mapping handles at a time, so that memory stays bounded for any batch.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

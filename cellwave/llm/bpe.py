@@ -38,6 +38,9 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN_SPLIT = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 OTHER_TEXT = re.compile(rf"[^\x00-\x7f{_LETTERS}]")
 
+#: Bytes of text whose words are looked up together: the more, the fewer words are looked up twice.
+WORDS_STEP = 3 << 20
+
 #: Bits of an id where two go in one number, and what stands for no rule.
 WIDTH = 24
 MASK, NO_RULE = (1 << WIDTH) - 1, 1 << 62
@@ -340,7 +343,7 @@ def _map(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(path, shared.value)
-        for batch in steps(batches, "_text"):
+        for batch in steps(batches, "_text", WORDS_STEP):
             made = make(coder, batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made.values()], names=[*keep, *made])
 

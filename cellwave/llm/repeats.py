@@ -21,14 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.arrow import steps, utf8
+from cellwave.llm.arrow import STEP_BYTES, steps, utf8
 from cellwave.llm.shingles import mix, prefix_hashes, span_hashes
 from cellwave.llm.store import cut
 from cellwave.llm.suffixes import anchors, repeated_windows
 
-#: Bytes of text, or of runs, that a task works on at a time: about fifty times as much memory.
-STEP = 1 << 20
-
 #: A run in one number: first window, last less first, anchor less first, and whether it is known to be a repeat.
 SHIFT = 15
 
@@ -59,7 +56,7 @@ def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """doc, run, key: runs that are repeats as a whole (with the mark), and one of each kind of those that share an anchor with others."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, most=STEP):
+        for batch in steps(batches):
             r = anchors(*utf8(batch.column(1)), length, gram)
             doc = batch.column(0).to_numpy()[r["text"]]
             order = np.lexsort((r["first"], doc, r["cls"]))
@@ -150,7 +147,7 @@ def find_windows(bodies: DataFrame, partial: DataFrame, length: int, most: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.full(len(parts), doc)), pa.array(np.concatenate(marks)), pa.array(parts, pa.binary())], names=["key", "doc", "run", "bytes"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_keys(batches, STEP):
+        for part in whole_keys(batches, STEP_BYTES):
             key, doc, run = (part.column(i).to_numpy() for i in range(3))
             first, last, at, gone = unpack(run)
             offsets, data = utf8_of(part.column(3))
