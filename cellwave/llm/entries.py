@@ -5,7 +5,7 @@ from __future__ import annotations
 from cellwave.llm.bpe import op5_bpe_round_trip
 from cellwave.llm.chat import op10_chat_format
 from cellwave.llm.langid import op9_language_id
-from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
+from cellwave.llm.linededup import OP8_RUNS_SQL, OP8_SQL, op8_line_dedup, op8_line_runs
 from cellwave.llm.mixing import op1_source_mix
 from cellwave.llm.ngramjoin import op4_ngram_jaccard
 from cellwave.llm.oracles import OP1_SQL, OP4_SQL, OP10_SQL
@@ -23,6 +23,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_tiff_pages": op7_tiff_pages,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_runs": op8_line_runs,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
@@ -32,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": OP2_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op8_line_runs": OP8_RUNS_SQL,
     "op10_chat_format": OP10_SQL,
 }

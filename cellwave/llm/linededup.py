@@ -5,6 +5,10 @@ after which line a chunk ends, so that an inserted line moves no boundary but
 the nearest ones. A chunk of several lines that occurs anywhere else is removed
 but for its first occurrence, after its bytes have been compared.
 
+Where chunks end depends on the lines around a passage, so that most short
+passages fall in chunks with other text and stay; ``dedup_line_runs`` finds
+them all.
+
 DataFrame functions only. Chunk texts are shuffled once, combined before the
 shuffle, so that a chunk with a third of all occurrences reaches its reducer
 once per input task; the join that follows carries ids alone and is one whose
@@ -94,6 +98,54 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     )
 
 
+def line_key(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), F.length(line).alias("n"))
+
+
+def dedup_line_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, min_lines: int = 2) -> DataFrame:
+    """Returns the columns ``keep`` (by default the id), kept_text, n_lines and removed_lines.
+
+    Every run of ``min_lines`` lines is looked up, so that a passage of that
+    length or longer is found in any context, whatever lines stand around it.
+    A line goes if a run that holds it has occurred before, in the order of
+    ``dedup_lines``, without overlapping that first occurrence; the first
+    occurrence of each different line stays. Rows with one id and one text are
+    one document, a null text has no lines and kept_text null, as there. Lines
+    are compared byte by byte: runs with a line whose 128 bits of hash and
+    length stand for different lines stay. ``keep`` must not hold the names
+    returned.
+    """
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    split = docs.select(*(keep or [id_col]), row.alias("_row"), F.split(text, "\n").alias("_lines"))
+    # written, so that the texts are hashed once for both uses of the runs
+    keyed = cut(split.filter(F.col("_lines").isNotNull()).select("_row", F.transform("_lines", line_key).alias("keys")), "line-keys")
+    starts = F.sequence(F.lit(0), F.size("keys") - min_lines)
+    runs = F.posexplode(F.transform(starts, lambda i: F.slice("keys", i + 1, min_lines))).alias("no", "key")
+    each = keyed.filter(F.size("keys") >= min_lines).select("_row", runs).select("key", F.struct("_row", "no").alias("at"))
+    once = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    repeated = cut(once.filter(F.col("first") != F.col("last")).select("key", "first"), "repeated-runs")
+    line = split.select(F.explode("_lines").alias("line")).select(line_key(F.col("line")).alias("part"), "line")
+    # practically empty: keys that different lines share
+    unlike = line.groupBy("part").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter(F.col("low") != F.col("high")).select("part")
+    doubtful = repeated.select("key", F.explode("key").alias("part")).join(unlike, "part", "left_semi").select("key").distinct()
+    repeated = cut(repeated.join(doubtful, "key", "left_anti"), "compared-runs")
+    apart = (F.col("at._row") != F.col("first._row")) | (F.col("at.no") - F.col("first.no") >= min_lines)
+    removed = each.join(repeated, "key").filter((F.col("at") != F.col("first")) & apart)
+    removed = removed.groupBy("at._row").agg(F.collect_set("at.no").alias("_starts"))
+    joined = split.join(removed, "_row", "left")
+    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (min_lines - 1))))
+    gone = F.coalesce(F.array_distinct(covered), F.array().cast("array<int>"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
+    kept_text = F.array_join(F.transform(kept, lambda k: F.element_at("_lines", k + 1)), "\n")
+    there = F.col("_lines").isNotNull()
+    return joined.select(
+        *(keep or [id_col]),
+        F.when(there, kept_text).alias("kept_text"),
+        F.when(there, F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("removed_lines"),
+    )
+
+
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256)
@@ -123,3 +175,30 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS
        coalesce(removed_chunks, 0) AS removed_chunks, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN summed USING (doc_id)
 """
+
+
+def op8_line_runs(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256)
+    return dedup_line_runs(docs).select("doc_id", "n_lines", "removed_lines", kept.alias("kept_sha256"))
+
+
+OP8_RUNS_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, ls[i] AS l, ls[i + 1] AS next, i < len(ls) AS pair
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), firsts AS (
+  SELECT doc_id, i, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i
+  FROM lines WHERE pair WINDOW w AS (PARTITION BY l, next ORDER BY doc_id, i)
+), starts AS (
+  SELECT doc_id, i FROM firsts WHERE doc_id <> first_doc OR i - first_i >= 2
+), gone AS (
+  SELECT doc_id, i FROM starts UNION SELECT doc_id, i + 1 FROM starts
+), summed AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS removed_lines, string_agg(l, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed USING (doc_id)
+"""

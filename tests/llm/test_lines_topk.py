@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
@@ -30,6 +32,31 @@ def test_line_dedup_edge_rows(spark, docs_frame):
     assert linededup.dedup_lines(docs_frame([(1, text)]).limit(0)).count() == 0
 
 
+def test_line_runs_finds_short_passages(spark, docs_frame, monkeypatch):
+    docs, at = [], 0
+    for n in range(2, 7):
+        for copy in range(10):
+            docs.append((at, "\n".join([f"before {at}", *[f"passage {n} line {k}" for k in range(n)], f"after {at}", f"end {at}"])))
+            at += 1
+    docs += [(at, "x\nx\nx\nx\nx"), (at + 1, "x\nx\nx"), (at + 2, None), (at + 3, ""), (at + 4, "alone"), (at + 5, "alone")]
+    got = {r["doc_id"]: r for r in linededup.dedup_line_runs(docs_frame(docs)).collect()}
+    for i in range(at):
+        n, copy = 2 + i // 10, i % 10
+        assert got[i]["removed_lines"] == (n if copy else 0)
+        assert got[i]["kept_text"] == (f"before {i}\nafter {i}\nend {i}" if copy else docs[i][1])
+    assert [got[at + k]["kept_text"] for k in range(6)] == ["x\nx", "", None, "", "alone", "alone"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    for doc_id, n_lines, removed, sha in con.execute(linededup.OP8_RUNS_SQL).fetchall():
+        assert (got[doc_id]["n_lines"], got[doc_id]["removed_lines"]) == (n_lines, removed)
+        assert hashlib.sha256((got[doc_id]["kept_text"] or "").encode()).hexdigest() == sha
+    # lines that share a key but not their bytes stay
+    monkeypatch.setattr(linededup, "line_key", lambda line: F.struct(F.lit(1).alias("a"), F.lit(1).alias("b"), F.length(line).alias("n")))
+    rows = [(0, "aa\nbb\nccc"), (1, "aa\ndd\nccc"), (2, "1234\n12345\nz"), (3, "1234\n12345\ny")]
+    assert sorted(r["kept_text"] for r in linededup.dedup_line_runs(docs_frame(rows)).collect()) == ["1234\n12345\nz", "aa\nbb\nccc", "aa\ndd\nccc", "y"]
+
+
 def brute(vectors, queries, k):
     out = {}
     for q in queries:
