@@ -18,15 +18,17 @@ def rmse(scored: DataFrame, keys: tuple[str, ...] = ("dataset", "model_id")) ->
     return scored.groupBy(*keys).agg(F.sqrt(F.avg("squared_error")).alias("rmse"), F.count("*").alias("num_series"))
 
 
-def evaluate_models(rows: DataFrame, size: int, models: tuple[str, ...] = ("last", "mean", "median"), sector: str = "sector", value: str = "trafic_mbps", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
+def evaluate_models(rows: DataFrame, size: int | None, models: tuple[str, ...] = ("last", "mean", "median"), sector: str = "sector", value: str = "trafic_mbps", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
     """model_id, sector, site, target, prediction, squared_error: every built-in model on every series of two points and more.
 
     The last point of a series is the target, the ``size`` points before it are
-    the context. One exchange by sector serves the cut, all models and the
-    target; of a long series only ``size`` + 1 points go through it per task.
+    the context, or all points without a ``size``. One exchange by sector serves
+    the cut, all models and the target; of a long series only ``size`` + 1 points
+    go through it per task.
     """
     back = F.row_number().over(W.partitionBy(sector).orderBy(*[F.col(c).desc() for c in order]))
-    recent = rows.select(sector, "site", value, back.alias("_back"), *order).filter(F.col("_back") <= size + 1)
+    recent = rows.select(sector, "site", value, back.alias("_back"), *order)
+    recent = recent if size is None else recent.filter(F.col("_back") <= size + 1)
     seen = F.when(F.col("_back") > 1, F.col(value))
     made = {"last": F.max(F.when(F.col("_back") == 2, F.col(value))), "mean": F.avg(seen), "median": F.median(seen)}
     last = F.col("_back") == 1

@@ -418,8 +418,8 @@ CONTEXT = """context AS (SELECT sector, site, timestamp_iso, trafic_mbps, first_
 SIZE = 64
 
 
-def context(spark, d):
-    return tokens.last_context(ordered(spark, d), SIZE)
+def context(spark, d, size=SIZE):
+    return tokens.last_context(ordered(spark, d), size)
 
 
 @query(views.HISTORY, CANON, CONTEXT, f"SELECT sector, timestamp_iso, trafic_mbps, ({SIZE} + 2 - back)::INTEGER AS pos FROM context")
@@ -433,18 +433,18 @@ BINNED = "binned AS (SELECT *, least(4094, greatest(1, floor((scaled + 15.0::DOU
 
 
 @query(views.HISTORY, CANON, CONTEXT, SCALED, "SELECT sector, row_seq, round(scale, 6) AS scale, round(scaled, 6) AS scaled FROM scaled")
-def mean_scale(spark, d):
-    return tokens.mean_scale(context(spark, d)).select("sector", "row_seq", r6("scale", "scale"), r6("scaled", "scaled"))
+def mean_scale(spark, d, size=SIZE):
+    return tokens.mean_scale(context(spark, d, size)).select("sector", "row_seq", r6("scale", "scale"), r6("scaled", "scaled"))
 
 
 @query(views.HISTORY, CANON, CONTEXT, SCALED, BINNED, "SELECT sector, row_seq, bin FROM binned")
-def quantize(spark, d):
-    return tokens.quantize(tokens.mean_scale(context(spark, d))).select("sector", "row_seq", "bin")
+def quantize(spark, d, size=SIZE):
+    return tokens.quantize(tokens.mean_scale(context(spark, d, size))).select("sector", "row_seq", "bin")
 
 
 @query(views.HISTORY, CANON, CONTEXT, SCALED, BINNED, "SELECT sector, row_seq, round((-15.0::DOUBLE + (bin - 1) * (30.0::DOUBLE / 4093)) * scale, 6) AS restored FROM binned")
-def dequantize(spark, d):
-    return tokens.dequantize(tokens.quantize(tokens.mean_scale(context(spark, d)))).select("sector", "row_seq", r6("restored", "restored"))
+def dequantize(spark, d, size=SIZE):
+    return tokens.dequantize(tokens.quantize(tokens.mean_scale(context(spark, d, size)))).select("sector", "row_seq", r6("restored", "restored"))
 
 
 @query(
@@ -457,8 +457,8 @@ def dequantize(spark, d):
     "upto AS (SELECT *, sum(p) OVER (PARTITION BY sector ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM probs)",
     "SELECT sector, 1 AS step, level, min(bin) AS bin FROM upto, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) l(level) WHERE c >= level - 1e-12 GROUP BY sector, level",
 )
-def bin_quantiles(spark, d):
-    b = tokens.quantize(tokens.mean_scale(context(spark, d)))
+def bin_quantiles(spark, d, size=SIZE):
+    b = tokens.quantize(tokens.mean_scale(context(spark, d, size)))
     counts = b.groupBy("sector", "bin").agg(F.count("*").alias("n"))
     total = b.groupBy("sector").agg(F.count("*").alias("all"))
     probs = counts.join(total, "sector").select("sector", F.lit(1).alias("step"), "bin", (F.col("n").cast("double") / F.col("all")).alias("p"))
@@ -500,8 +500,8 @@ def point_mean_outputs(spark, d):
 
 
 def _forecast(how: str, sql: str):
-    def run(spark, d):
-        return forecast.forecast_native(context(spark, d), how).select("sector", r6("prediction", "prediction"))
+    def run(spark, d, size=SIZE):
+        return forecast.forecast_native(context(spark, d, size), how).select("sector", r6("prediction", "prediction"))
 
     run.__name__ = f"forecast_{how}"
     query(views.HISTORY, CANON, CONTEXT, f"SELECT sector, round({sql}, 6) AS prediction FROM context GROUP BY sector")(run)
@@ -517,9 +517,9 @@ for _how, _sql in (("last", "arg_max(trafic_mbps, first_seq)"), ("mean", "avg(tr
     "full_context AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY first_seq DESC, row_seq DESC) AS back FROM canon) WHERE back BETWEEN 2 AND 65)",
     "SELECT 'median' AS model_id, sector, 0 AS k, 1 AS step, round(median(trafic_mbps), 6) AS value FROM full_context GROUP BY sector",
 )
-def batch_forecast(spark, d):
-    e = series.build_examples(canon(spark, d), max_context=SIZE, stamps=False)
-    return forecast.batch_forecast(e, "median", "median", max_context=SIZE).select("model_id", "sector", "k", "step", r6("value", "value"))
+def batch_forecast(spark, d, size=SIZE):
+    e = series.build_examples(canon(spark, d), max_context=size, stamps=False)
+    return forecast.batch_forecast(e, "median", "median", max_context=size).select("model_id", "sector", "k", "step", r6("value", "value"))
 
 
 @query(
@@ -532,9 +532,9 @@ def batch_forecast(spark, d):
     "upto AS (SELECT *, sum(p) OVER (PARTITION BY sector ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM probs)",
     "SELECT 'binned' AS model_id, sector, round((-15.0::DOUBLE + (min(bin) - 1) * (30.0::DOUBLE / 4093)) * any_value(scale), 6) AS value FROM upto WHERE c >= 0.5 - 1e-12 GROUP BY sector",
 )
-def batch_forecast_binned(spark, d):
-    e = series.build_examples(canon(spark, d), max_context=SIZE, stamps=False)
-    return forecast.batch_forecast(e, "binned", "binned", max_context=SIZE).select("model_id", "sector", r6("value", "value"))
+def batch_forecast_binned(spark, d, size=SIZE):
+    e = series.build_examples(canon(spark, d), max_context=size, stamps=False)
+    return forecast.batch_forecast(e, "binned", "binned", max_context=size).select("model_id", "sector", r6("value", "value"))
 
 
 # ---- scores
@@ -547,57 +547,57 @@ SUMMARY = "summary AS (SELECT dataset, model_id, sqrt(avg(squared_error)) AS rms
 BASE = (views.HISTORY, CANON, CONTEXT, TARGETS, SCORED)
 
 
-def scored(spark, d):
+def scored(spark, d, size=SIZE):
     """Every built-in forecaster on every series; two data sets by site, from one ordering of the history."""
     short = F.substring("site", -1, 1).isin("0", "1", "2", "3")
-    return score.evaluate_models(ordered(spark, d), SIZE).withColumn("dataset", F.when(short, "instant_short").otherwise("original"))
+    return score.evaluate_models(ordered(spark, d), size).withColumn("dataset", F.when(short, "instant_short").otherwise("original"))
 
 
 @query(*BASE, "SELECT sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored WHERE model_id = 'mean'")
-def score_series(spark, d):
+def score_series(spark, d, size=SIZE):
     rows = ordered(spark, d)
     targets = rows.groupBy("sector").agg(F.max_by(F.struct("site", "trafic_mbps"), F.struct("first_seq", "row_seq")).alias("t")).select("sector", "t.site", F.col("t.trafic_mbps").alias("target"))
-    made = forecast.forecast_native(tokens.last_context(rows, SIZE), "mean")
+    made = forecast.forecast_native(tokens.last_context(rows, size), "mean")
     return score.score_series(made, targets).select("sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
 
 
 @query(*BASE, SUMMARY, "SELECT dataset, model_id, round(rmse, 6) AS rmse, num_series FROM summary")
-def rmse(spark, d):
-    return score.rmse(scored(spark, d)).withColumn("rmse", F.round("rmse", 6))
+def rmse(spark, d, size=SIZE):
+    return score.rmse(scored(spark, d, size)).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(*BASE, "SELECT model_id, sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored")
-def evaluate_models(spark, d):
-    return scored(spark, d).select("model_id", "sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
+def evaluate_models(spark, d, size=SIZE):
+    return scored(spark, d, size).select("model_id", "sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
 
 
 @query(*BASE, SUMMARY, "SELECT dataset, model_id, round(rmse, 6) AS rmse, num_series, 32 AS num_samples FROM summary")
-def summary_table(spark, d):
-    return score.summary_table(scored(spark, d)).withColumn("rmse", F.round("rmse", 6))
+def summary_table(spark, d, size=SIZE):
+    return score.summary_table(scored(spark, d, size)).withColumn("rmse", F.round("rmse", 6))
 
 
 LOOKUP_ROWS = [("last", "1K"), ("median", "2K"), ("other", "9M")]
 LOOKUP = "lookup AS (SELECT * FROM (VALUES ('last', '1K'), ('median', '2K'), ('other', '9M')) l(model_id, parameters))"
 
 
-def with_parameters(spark, d):
+def with_parameters(spark, d, size=SIZE):
     lookup = spark.createDataFrame(LOOKUP_ROWS, "model_id string, parameters string")
-    return score.attach_parameters(score.summary_table(scored(spark, d)), lookup)
+    return score.attach_parameters(score.summary_table(scored(spark, d, size)), lookup)
 
 
 @query(*BASE, SUMMARY, LOOKUP, "SELECT dataset, model_id, round(rmse, 6) AS rmse, num_series, 32 AS num_samples, parameters FROM summary LEFT JOIN lookup USING (model_id)")
-def summary_parameters(spark, d):
-    return with_parameters(spark, d).withColumn("rmse", F.round("rmse", 6))
+def summary_parameters(spark, d, size=SIZE):
+    return with_parameters(spark, d, size).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(*BASE, SUMMARY, LOOKUP, "SELECT model_id, round(rmse, 6) AS rmse, parameters FROM summary LEFT JOIN lookup USING (model_id) WHERE dataset = 'original' ORDER BY list_position(['median', 'last', 'mean'], model_id)")
-def summary_ranked(spark, d):
-    return score.order_by_list(with_parameters(spark, d).filter("dataset = 'original'"), ["median", "last", "mean"]).withColumn("rmse", F.round("rmse", 6))
+def summary_ranked(spark, d, size=SIZE):
+    return score.order_by_list(with_parameters(spark, d, size).filter("dataset = 'original'"), ["median", "last", "mean"]).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(*BASE, SUMMARY, "SELECT dataset, model_id, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY rmse, model_id) AS r FROM summary) WHERE r = 1")
-def best_model(spark, d):
-    return score.best_model(score.rmse(scored(spark, d))).withColumn("rmse", F.round("rmse", 6))
+def best_model(spark, d, size=SIZE):
+    return score.best_model(score.rmse(scored(spark, d, size))).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(
@@ -608,8 +608,8 @@ def best_model(spark, d):
     """SELECT dataset, model_id, n_parameters, round(rmse, 6) AS rmse, round(lag(rmse) OVER w, 6) AS previous_rmse, coalesce((rmse > lag(rmse) OVER w)::INTEGER, -1) AS rises
        FROM sized WINDOW w AS (PARTITION BY dataset ORDER BY n_parameters NULLS FIRST, model_id)""",
 )
-def size_vs_error(spark, d):
-    return score.size_vs_error(with_parameters(spark, d)).select("dataset", "model_id", "n_parameters", r6("rmse", "rmse"), r6("previous_rmse", "previous_rmse"), F.coalesce(F.col("rises").cast("int"), F.lit(-1)).alias("rises"))
+def size_vs_error(spark, d, size=SIZE):
+    return score.size_vs_error(with_parameters(spark, d, size)).select("dataset", "model_id", "n_parameters", r6("rmse", "rmse"), r6("previous_rmse", "previous_rmse"), F.coalesce(F.col("rises").cast("int"), F.lit(-1)).alias("rises"))
 
 
 @query(
@@ -618,8 +618,8 @@ def size_vs_error(spark, d):
     """SELECT dataset, model_id, round(avg((z = 0)::INTEGER), 6) AS zero_share, round(sqrt(avg(CASE WHEN z = 0 THEN (prediction - z) * (prediction - z) END)), 6) AS rmse_zero,
        round(sqrt(avg(CASE WHEN z <> 0 THEN (prediction - z) * (prediction - z) END)), 6) AS rmse_other FROM zeroed GROUP BY ALL""",
 )
-def zero_target_share(spark, d):
-    s = scored(spark, d).withColumn("target", F.when(F.col("target") < 60, 0.0).otherwise(F.col("target")))
+def zero_target_share(spark, d, size=SIZE):
+    s = scored(spark, d, size).withColumn("target", F.when(F.col("target") < 60, 0.0).otherwise(F.col("target")))
     s = s.withColumn("squared_error", (F.col("prediction") - F.col("target")) * (F.col("prediction") - F.col("target")))
     z = score.zero_target_share(s)
     return z.select("dataset", "model_id", r6("zero_share", "zero_share"), r6("rmse_zero", "rmse_zero"), r6("rmse_other", "rmse_other"))
@@ -631,8 +631,8 @@ def zero_target_share(spark, d):
     "means AS (SELECT avg(rmse) FILTER (dataset = 'original') AS a, avg(rmse) FILTER (dataset = 'instant_short') AS b FROM summary)",
     "SELECT round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(a / nullif(b, 0), 6) AS ratio FROM means",
 )
-def rmse_ratio(spark, d):
-    return score.rmse_ratio(score.rmse(scored(spark, d)), "original", "instant_short").select(r6("mean_a", "mean_a"), r6("mean_b", "mean_b"), r6("ratio", "ratio"))
+def rmse_ratio(spark, d, size=SIZE):
+    return score.rmse_ratio(score.rmse(scored(spark, d, size)), "original", "instant_short").select(r6("mean_a", "mean_a"), r6("mean_b", "mean_b"), r6("ratio", "ratio"))
 
 
 @query(
@@ -640,7 +640,25 @@ def rmse_ratio(spark, d):
     SUMMARY,
     "SELECT s.dataset, s.model_id, num_series::INTEGER AS num_series, 32 AS num_samples, round(rmse, 6) AS rmse, sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored s JOIN summary USING (dataset, model_id)",
 )
-def eval_report(spark, d):
-    r = reports.build_reports(scored(spark, d), stamp="2025-01-01T00:00:00")
+def eval_report(spark, d, size=SIZE):
+    r = reports.build_reports(scored(spark, d, size), stamp="2025-01-01T00:00:00")
     e = r.select("dataset", "model_id", "num_series", "num_samples", "rmse", F.explode("per_series").alias("s")).select("dataset", "model_id", "num_series", "num_samples", "rmse", "s.*")
     return e.withColumn("rmse", F.round("rmse", 6)).withColumn("prediction", F.round("prediction", 6)).withColumn("squared_error", F.round("squared_error", 6))
+
+
+# ---- the whole history
+
+WHOLE = ["mean_scale", "quantize", "dequantize", "bin_quantiles", "forecast_mean", "forecast_median", "batch_forecast", "batch_forecast_binned", "score_series", "rmse", "evaluate_models",
+         "summary_table", "summary_parameters", "summary_ranked", "best_model", "size_vs_error", "zero_target_share", "rmse_ratio", "eval_report"]
+
+
+def _whole(name: str):
+    def run(spark, d):
+        return QUERIES[name](spark, d, size=None)
+
+    run.__name__ = f"{name}_full"
+    query(SQL[name].replace("back BETWEEN 2 AND 65", "back >= 2"))(run)
+
+
+for _name in WHOLE:
+    _whole(_name)

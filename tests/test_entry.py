@@ -15,3 +15,22 @@ def test_queries_can_be_listed():
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"dataset", "model_id", "rmse", "num_series"}
+
+
+def test_full_queries_use_the_whole_history(spark, tmp_path):
+    import datetime
+
+    first = datetime.datetime(2000, 1, 3)
+    rows = [(7, first + datetime.timedelta(weeks=k), float(1000 if k < 200 else 1)) for k in range(300)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = entry.queries()
+    # 299 points before the last, in the order of the file, which mixes the weeks
+    points = made["mean_scale_full"](spark, str(tmp_path)).collect()
+    assert len(points) == 299 and made["mean_scale"](spark, str(tmp_path)).count() == 64
+    target = made["score_series_full"](spark, str(tmp_path)).first()["target"]
+    mean = (200 * 1000 + 100 - target) / 299
+    assert abs(made["forecast_mean_full"](spark, str(tmp_path)).first()["prediction"] - mean) < 1e-6
+    assert made["forecast_median_full"](spark, str(tmp_path)).first()["prediction"] == 1000
+    assert made["batch_forecast_full"](spark, str(tmp_path)).first()["value"] == 1000
+    got = {r["model_id"]: r["prediction"] for r in made["evaluate_models_full"](spark, str(tmp_path)).collect()}
+    assert abs(got["mean"] - mean) < 1e-6 and got["median"] == 1000
