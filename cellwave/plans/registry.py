@@ -399,6 +399,11 @@ def unaligned_sectors(spark, d):
     return compare.unaligned_sectors(coarse(spark, d), compare.resample_sum(late, "1 day"))
 
 
+@query(views.INSTANT, COARSE, DAILY, ALIGNED, "SELECT DISTINCT secteur FROM coarse WHERE secteur NOT IN (SELECT secteur FROM aligned)")
+def unaligned_sectors_full(spark, d):
+    return compare.unaligned_sectors(coarse(spark, d), compare.resample_sum(views.instant(spark, d), "1 day"))
+
+
 @query(
     views.INSTANT,
     COARSE,
@@ -499,6 +504,11 @@ def point_mean_outputs(spark, d):
     return forecast.point_from_outputs(low).select("model_id", "sector", r6("prediction", "prediction"))
 
 
+@query(SAMPLES, LAST_STEP, "SELECT model_id, sector, round(avg(value), 6) AS prediction FROM last_step GROUP BY ALL")
+def point_mean_outputs_full(spark, d):
+    return forecast.point_from_outputs(samples(spark, d)).select("model_id", "sector", r6("prediction", "prediction"))
+
+
 def _forecast(how: str, sql: str):
     def run(spark, d, size=SIZE):
         return forecast.forecast_native(context(spark, d, size), how).select("sector", r6("prediction", "prediction"))

@@ -34,3 +34,26 @@ def test_full_queries_use_the_whole_history(spark, tmp_path):
     assert made["batch_forecast_full"](spark, str(tmp_path)).first()["value"] == 1000
     got = {r["model_id"]: r["prediction"] for r in made["evaluate_models_full"](spark, str(tmp_path)).collect()}
     assert abs(got["mean"] - mean) < 1e-6 and got["median"] == 1000
+
+
+def test_full_queries_use_whole_event_tables(spark, tmp_path):
+    import datetime
+
+    day = datetime.datetime(2025, 1, 3)
+    # user 1 is aligned by rows early in the month; user 3 has outputs 5 and 21 of one step
+    rows = [(k, 1, "click" if k == 1 else "view", day + datetime.timedelta(hours=k), float(k)) for k in range(1, 5)]
+    rows += [(14 * 32 + 5, 3, "view", day, 2.0), (14 * 32 + 21, 3, "view", day, 6.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    made = entry.queries()
+    assert [r["secteur"] for r in made["unaligned_sectors"](spark, str(tmp_path)).collect()] == ["1"]
+    assert made["unaligned_sectors_full"](spark, str(tmp_path)).count() == 0
+    for name, mean in (("point_mean_outputs", 2.0), ("point_mean_outputs_full", 4.0)):
+        assert {r["prediction"] for r in made[name](spark, str(tmp_path)).collect() if r["sector"] == 3} == {mean}
+
+
+def test_unaligned_sectors_are_named(spark):
+    from cellwave.operators import compare
+
+    coarse = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 3)], "secteur string, dates_5min int")
+    fine = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "secteur string, timestamp int")
+    assert [r["secteur"] for r in compare.unaligned_sectors(coarse, fine).collect()] == ["c"]
