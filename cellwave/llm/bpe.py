@@ -360,6 +360,19 @@ def encode(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str
     return _map(docs, path, packed, keep, text, "ids array<int>", make)
 
 
+def encode_checked(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str = "text") -> DataFrame:
+    """As ``encode``, with decoded_sha256: the digest of what the ids decode to, which is that of the text."""
+
+    def make(coder: Coder, texts: list[str]) -> dict:
+        ids, upto = coder.encode(texts)
+        return {
+            "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))),
+            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(ids[a:b])).hexdigest() for a, b in zip(upto[:-1], upto[1:])], pa.string()),
+        }
+
+    return _map(docs, path, packed, keep, text, "ids array<int>, decoded_sha256 string", make)
+
+
 def decode(rows: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns ``keep`` and text of ids (array<int>); null ids give an empty text."""
     picked = rows.select(*keep, F.col(ids).alias("_ids"))
