@@ -1,5 +1,26 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
 import __spark_entry__ as entry
 
+ROOT = Path(entry.__file__).resolve().parent
+
+
+@pytest.mark.parametrize("left", [[], ["corpus_pipeline.py"]])
+def test_the_rest_stands_without_the_training_data_operators(tmp_path, left):
+    shutil.copytree(ROOT / "cellwave", tmp_path / "cellwave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *left]:
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0, told.stderr
+    queries, sql, pipeline = told.stdout.split()
+    assert int(queries) == int(sql) >= 60 and pipeline == "False"
+
 
 def test_every_traffic_query_has_sql(spark):
     from cellwave.plans import registry
