@@ -57,12 +57,17 @@ def test_line_runs_finds_short_passages(spark, docs_frame, monkeypatch):
     assert sorted(r["kept_text"] for r in linededup.dedup_line_runs(docs_frame(rows)).collect()) == ["1234\n12345\nz", "aa\nbb\nccc", "aa\ndd\nccc", "y"]
 
 
-def brute(vectors, queries, k):
+def brute(rows, is_query, k):
+    """(vec_id, score) of the best k for each query id; rows of one id all count."""
     out = {}
-    for q in queries:
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
-        out[q] = [(i, -s) for s, i in scored[:k]]
-    return out
+    for q, v in rows:
+        if is_query(q):
+            out.setdefault(q, []).extend((-sum(int(a) * int(b) for a, b in zip(v, w)), i) for i, w in rows if i != q)
+    return {q: [(i, -s) for s, i in sorted(found)[:k]] for q, found in out.items()}
+
+
+def whole(rows):
+    return [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
 
 
 def collected(df):
@@ -72,24 +77,59 @@ def collected(df):
     return out
 
 
-def test_top_k_is_brute_force(spark):
+def vector_rows():
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 40)]) for i in range(300)]
-    rows += [(i, list(rows[3][1])) for i in range(300, 330)]  # ties
-    rows += [(400, None), (401, [None] + [0.1] * 39), (402, [float("nan")] * 40), (403, [float("inf")] * 40), (50, list(rows[50][1])), (405, [0.5] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit("x"))
-    got = collected(topk.top_k(topk.quantise(df, "vec_id", "embedding"), F.col("vec_id") % 10 == 0, 5, cell_queries=8, cell_candidates=50))
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if v and None not in v and np.isfinite(v).all()}
-    assert got == brute(whole, [i for i in whole if i % 10 == 0], 5)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 40)]) for i in range(600)]
+    rows += [(i, list(rows[3][1])) for i in range(600, 630)]  # ties
+    rows += [(i, list(rows[i][1])) for i in (50, 51)]  # repeated rows
+    rows += [(7, [1.0] * 40), (20, [1.0] * 40), (None, [0.1] * 40)]  # one id, unlike vectors
+    return rows + [(700, None), (701, [None] + [0.1] * 39), (702, [float("nan")] * 40), (703, [float("inf")] * 40), (705, [0.5] * 7), (706, [])]
+
+
+def test_top_k_is_brute_force(spark):
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit("x")).withColumn("row", F.lit("x"))
+    got = collected(topk.top_k(topk.quantise(df, "vec_id", "embedding"), F.col("vec_id") % 10 == 0, 5, cell_numbers=1))
+    assert got == brute(whole(rows), lambda i: i % 10 == 0, 5)
+
+
+def test_top_k_counts_repeated_rows_as_its_sql_does(spark):
+    rows = [r for r in vector_rows() if r[0] is not None]
+    df = spark.createDataFrame([(i % 100, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.quantise(df, "vec_id", "embedding"), F.col("vec_id") % 50 == 0).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i % 100, v) for i, v in rows if v is None or len(v) == 40])
+    wanted = con.execute(topk.OP2_SQL).fetchall()
+    got = [tuple(r) for r in got]
+    assert len(got) == 10 and sorted(got) == sorted(wanted)
 
 
 def test_few_candidates_and_big_numbers(spark):
     rows = [(0, [1.0, 2.0]), (1, [-1.0, 2.0]), (50, [3.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = collected(topk.top_k(topk.quantise(df, "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5))
-    assert got == brute({i: [int(256 * x) for x in v] for i, v in rows}, [0, 50], 5)
-    who, found, score = topk.cell_top_k(np.array([[10**12, 1]], object), np.array([9]), np.array([[10**12, 2], [1, 5]], object), np.array([3, 4]), 5)
-    assert who.tolist() == [9, 9] and found.tolist() == [3, 4] and score.tolist() == [10**24 + 1, 2 * 10**12 + 5]
+    assert got == brute(whole(rows), lambda i: i % 50 == 0, 5)
+    who, found, score, _ = topk.cell_top_k(np.array([[10**9, 1]]), np.array([9]), np.array([-np.inf]), np.array([[10**9, 2], [1, 5]]), np.array([3, 4]), 5)
+    assert who.tolist() == [9, 9] and found.tolist() == [3, 4] and score.tolist() == [10**18 + 1, 2 * 10**9 + 5]
+    # finite components of any size: numbers and scores stop at the ends of a long
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, 1.0]), (4, [1e9, 1e9]), (50, [1e9, 1.0])]
+    got = collected(topk.top_k(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5))
+    assert [s for _, s in got[0]] == [2**63 - 1] * 3 + [256 * 256, -(2**63)] and [i for i, _ in got[0]] == [1, 4, 50, 3, 2]
+    assert got[50][:2] == [(0, 2**63 - 1), (1, 2**63 - 1)] and (4, 256 * 256 * 10**18 + 256 * 256 * 10**9) not in got[50]
+
+
+def test_bounds_leave_out_most_of_the_products(spark):
+    df = topk.quantise(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding")
+    ids, v = topk.matrix(*(df.toArrow().column(c) for c in ("vec_id", "v")), 64)
+    asked = ids % 50 == 0
+    sure = topk.sample_scores(v[asked], ids[asked], v[::4], ids[::4], 5)
+    who, found, score, share = topk.cell_top_k(v[asked], ids[asked], sure, v.T, ids, 5)
+    assert share < 0.5
+    for i in range(0, len(who), 5):
+        whole_score = v @ v[ids == who[i]][0]
+        order = [j for j in np.lexsort((ids, -whole_score)) if ids[j] != who[i]][:5]
+        assert found[i : i + 5].tolist() == ids[order].tolist() and score[i : i + 5].tolist() == whole_score[order].tolist()
 
 
 def test_no_vectors(spark):
