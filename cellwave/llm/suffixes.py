@@ -6,8 +6,8 @@ import numpy as np
 
 from cellwave.llm.shingles import BASE, U64, mix, powers, prefix_hashes, span_hashes
 
-#: Places of a step fit in so many bits; a step is at most 2 ** PLACE bytes.
-PLACE = 26
+#: Windows that are looked at together; their places fit in PLACE bits.
+BLOCK, PLACE = 1 << 21, 22
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -24,11 +24,19 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> di
 
     A window's anchor is the gram of ``gram`` bytes in it with the least hash,
     the first of equals, so equal windows have equal anchors at equal places.
-    Windows do not cross texts. Returns, for each run: text (number), first and
+    Windows do not cross texts; texts of any length are taken BLOCK windows at
+    a time, where a run may end. Returns, for each run: text (number), first and
     last (starts of its windows, in the text), at (place of the anchor less
     first), key (hash of the anchor), cls (hash of all the run's bytes and at).
     """
+    blocks = [block_anchors(offsets, data, start, length, gram) for start in range(0, max(1, len(data)), BLOCK)]
+    return {k: np.concatenate([b[k] for b in blocks]) for k in blocks[0]}
+
+
+def block_anchors(offsets: np.ndarray, data: np.ndarray, start: int, length: int, gram: int) -> dict[str, np.ndarray]:
+    """Those of the windows that begin within BLOCK bytes of ``start``."""
     empty = {k: np.zeros(0, np.int64) for k in ("text", "first", "last", "at", "key", "cls")}
+    data = data[start : start + BLOCK + length - 1]
     n = len(data)
     if n < length:
         return empty
@@ -38,8 +46,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> di
     low = U64((1 << PLACE) - 1)
     places = sliding_least((grams & ~low) | starts.astype(U64), length - gram + 1) & low
     window = np.arange(n - length + 1)
-    text = np.searchsorted(offsets, window, side="right") - 1
-    inside = window + length <= offsets[text + 1]
+    text = np.searchsorted(offsets, window + start, side="right") - 1
+    inside = window + start + length <= offsets[text + 1]
     window, places, text = window[inside], places[inside].astype(np.int64), text[inside]
     if not len(window):
         return empty
@@ -50,7 +58,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> di
     place, text = places[new], text[new]
     whole = span_hashes(sums, first, last + length)
     cls = mix(whole + mix((((place - first) << 20) + last - first).astype(U64)))
-    return {"text": text, "first": first - offsets[text], "last": last - offsets[text], "at": place - first, "key": grams[place].view(np.int64), "cls": cls.view(np.int64)}
+    begin = offsets[text] - start
+    return {"text": text, "first": first - begin, "last": last - begin, "at": place - first, "key": grams[place].view(np.int64), "cls": cls.view(np.int64)}
 
 
 def extension(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -124,6 +133,12 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, step
     return out
 
 
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` and from ``b`` on are the same, each pair over its own length."""
+    raw = data.tobytes()
+    return np.fromiter((raw[x : x + n] == raw[y : y + n] for x, y, n in zip(a.tolist(), b.tolist(), lengths.tolist())), bool, len(a))
+
+
 def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """For each window, whether one before it in its (sorted) group has the same ``length`` bytes."""
     sums = prefix_hashes(data)
