@@ -150,11 +150,12 @@ def set_features(docs: DataFrame, n: int) -> DataFrame:
     return made.select("doc_id", "n_shingles", F.struct("n_shingles", "low", "high").alias("digest"))
 
 
-def candidate_edges(texts: DataFrame, n: int, enum: PartEnum) -> DataFrame:
+def candidate_edges(texts: DataFrame, n: int, enum: PartEnum, held: int = 1 << 20) -> DataFrame:
     """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text.
 
     A task first ties its own documents of a signature to the least of them, so
-    that a signature reaches its reducer once per step, however many share it.
+    that a signature reaches its reducer once per ``held`` signatures or so of a
+    task, however many documents share it.
     """
     shared = texts.sparkSession.sparkContext.broadcast(enum)  # its list of common shingles is bounded
 
@@ -168,21 +169,33 @@ def candidate_edges(texts: DataFrame, n: int, enum: PartEnum) -> DataFrame:
         return np.unique(np.stack((doc[keep], leader[keep]), 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            found, upto = shingle_sets(*utf8(batch.column(1)), n)
-            lists = [shared.value.signatures(found[a:b]) for a, b in zip(upto[:-1], upto[1:])]
-            doc = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
-            sig = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
+        docs: list[np.ndarray] = []
+        sigs: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            doc, sig = np.concatenate(docs), np.concatenate(sigs).view(np.int64)
+            docs.clear()
+            sigs.clear()
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
             first = firsts(sig)
             edges = pairs(doc, doc[first][np.cumsum(first) - 1]) if len(sig) else np.zeros((0, 2), np.int64)
             k, m = int(first.sum()), len(edges)
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate((sig[first], np.zeros(m, np.int64)))), pa.array(np.concatenate((doc[first], edges[:, 0]))), pa.array(np.concatenate((np.zeros(k, np.int64), edges[:, 1])), mask=np.arange(k + m) < k)],
                 names=["sig", "a", "b"],
             )
 
+        for batch in steps(batches):
+            found, upto = shingle_sets(*utf8(batch.column(1)), n)
+            lists = [shared.value.signatures(found[a:b]) for a, b in zip(upto[:-1], upto[1:])]
+            docs.append(np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists]))
+            sigs.append(np.concatenate(lists))
+            if sum(len(x) for x in sigs) >= held:
+                yield told()
+        if sigs:
+            yield told()
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = last_leader = None
         for batch in batches:
@@ -267,42 +280,54 @@ def size_band(size, percent: int):
     return F.floor(F.ln(size) / F.lit(-1.0001 * math.log(percent / 100)))
 
 
+#: Shingles, about, that a side of a cell holds.
+CELL_SHINGLES = 1 << 16
+
+
+def cells_for(documents: str, shingles: str, cell: int):
+    """How many cells so many documents with so many shingles are dealt to: by the number that asks for more of them, but not more than documents."""
+    return F.greatest(F.ceil(F.col(documents) / cell), F.least(F.col(documents), F.ceil(F.col(shingles) / CELL_SHINGLES))).cast("long")
+
+
 def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, cell: int, hubs: int) -> DataFrame:
     """Edges of a spanning forest of each block's true links.
 
     ``texts``: doc_id, text of all documents; ``blocks``: node, label (block), n_shingles.
     """
-    sized = blocks.groupBy("label").agg(F.count("*").alias("members"))
-    placed = blocks.join(sized, "label").filter("members > 1").select(F.col("node").alias("doc_id"), "label", "members", size_band(F.col("n_shingles"), percent).alias("band"))
+    sized = blocks.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    placed = blocks.join(sized, "label").filter("members > 1").withColumn("cells", cells_for("members", "shingles", cell))
+    placed = placed.select(F.col("node").alias("doc_id"), "label", "cells", "members", "n_shingles", size_band(F.col("n_shingles"), percent).alias("band"))
     members = cut(texts.join(placed, "doc_id"), "members")
     nil = F.lit(0)
-    small = members.filter(F.col("members") <= cell).select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id", "text")
+    small = members.filter("cells = 1").select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id", "text")
     edges = cell_links(small, n, percent)
-    large = members.filter(F.col("members") > cell)
+    large = members.filter("cells > 1")
     if large.isEmpty():
         return edges
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / cell))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("cells"))
     spread = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40))
     is_hub = (F.col("doc_id") == F.col("label")) | (spread < F.lit(float(hubs << 40)) / F.col("members"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / cell) - 1))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
     hub_rows = large.filter(is_hub).withColumn("at", every).select(key("label", F.col("at"), nil), F.lit(0).alias("side"), "doc_id", "text")
     own_rows = large.select(key("label", block, nil), F.lit(1).alias("side"), "doc_id", "text")
     edges = cut(edges.unionByName(cell_links(hub_rows.unionByName(own_rows), n, percent)), "links")
     # what the hubs have not drawn into a block's largest component is compared with all of the block that has a like size
     labels = components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("part"))
-    ids = large.select("doc_id", "label", "band").distinct()
+    ids = large.select("doc_id", "label", "band", "n_shingles").distinct()
     parts = cut(ids.join(labels, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")), "parts")
     counted = parts.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = cut(counted.groupBy("label").agg(F.max(F.struct("n", "part")).alias("top")).select("label", F.col("top.part").alias("top")), "largest")
-    moved = cut(parts.join(largest, "label").select("doc_id", "label", "band", (F.col("part") != F.col("top")).alias("moves")), "moved")
-    bands = cut(moved.groupBy("label", "band").agg(F.count("*").alias("all"), F.count(F.when(F.col("moves"), 1)).alias("movers")), "bands")
+    moved = cut(parts.join(largest, "label").select("doc_id", "label", "band", "n_shingles", (F.col("part") != F.col("top")).alias("moves")), "moved")
+    sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("n_shingles"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
+    bands = moved.groupBy("label", "band").agg(*sums)
+    bands = cut(bands.select("label", "band", *[F.when(F.col(f"{c}_n") > 0, cells_for(f"{c}_n", f"{c}_shingles", cell)).otherwise(0).alias(c) for c in ("all", "movers")]), "bands")
     near = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
 
-    def pairs(rows: DataFrame, count: str, other: str, hash_seed: int) -> DataFrame:
+    def pairs(rows: DataFrame, shelves: str, other: str, hash_seed: int) -> DataFrame:
         """doc_id, label, own (its band and shelf), and each band and shelf of the other side that it meets."""
-        own = rows.join(bands.select("label", "band", F.col(count).alias("_own")), ["label", "band"])
-        own = own.withColumn("own", F.col("band") * SHELVES + F.pmod(F.xxhash64(F.lit(hash_seed), "doc_id"), F.ceil(F.col("_own") / cell)))
-        theirs = bands.filter(F.col(other) > 0).select("label", F.col("band").alias("there"), F.ceil(F.col(other) / cell).alias("_shelves"))
+        own = rows.join(bands.select("label", "band", F.col(shelves).alias("_own")), ["label", "band"])
+        own = own.withColumn("own", F.col("band") * SHELVES + F.pmod(F.xxhash64(F.lit(hash_seed), "doc_id"), F.col("_own")))
+        theirs = bands.filter(F.col(other) > 0).select("label", F.col("band").alias("there"), F.col(other).alias("_shelves"))
         met = own.withColumn("there", near).join(theirs, ["label", "there"])
         shelf = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shelves") - 1))
         return met.withColumn("shelf", shelf).select("doc_id", "label", "own", (F.col("there") * SHELVES + F.col("shelf")).alias("other"))
@@ -317,7 +342,7 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, ce
 SHELVES = 1 << 40
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", cell: int = 256, hubs: int = 48) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", cell: int = 128, hubs: int = 48) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id: one row per row of ``docs``.
 
     Words are runs without blanks and the like, A to Z lower-cased; a set is a
@@ -325,8 +350,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     fewer words. Two documents link when 100 * intersection >= ``percent`` *
     union. class_id is the least id with the same set, component_id the least
     id reachable by links. Texts without words and null texts have no shingle
-    and link with nothing; ids are whole numbers, and a null id is in no
-    class and component but null. Rows of one id count as one document, linked
+    and link with nothing; ids are whole numbers; the class and the
+    component of a null id are null, and nothing links with it. Rows of one id count as one document, linked
     by whatever any of them links to. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -334,7 +359,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     features = cut(set_features(texts, n), "set-features")
     # written, as both sides of a join must be plain exchanges for Spark to split a large class
     classes = cut(features.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "class-ids")
-    rows = cut(features.join(classes, "digest", "left").select("doc_id", "n_shingles", "class_id"), "classes")
+    rows = cut(features.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "classes")
     enum = PartEnum(percent, common_shingles(there, n))
     class_of = rows.filter("class_id is not null").select("doc_id", "class_id")
     edges = candidate_edges(there, n, enum)

@@ -47,11 +47,74 @@ def told(df):
     return [(r["doc_id"], (r["n_bytes"], r["n"], r["k"], r["h"])) for r in df.select("doc_id", "n_bytes", spans.alias("n"), F.size("spans").alias("k"), F.sha2("kept", 256).alias("h")).collect()]
 
 
-@pytest.mark.parametrize("limit", [1024, 3])
-def test_repeats_are_brute_force(docs_frame, monkeypatch, limit):
-    monkeypatch.setattr(repeats, "max", lambda a, b: limit, raising=False)  # from which count on an anchor is dealt by windows
+@pytest.mark.parametrize("anchor_runs,sample_docs", [(2_000, 8_192), (3, 0), (3, 8_192)])
+def test_repeats_are_brute_force(docs_frame, monkeypatch, anchor_runs, sample_docs):
+    monkeypatch.setattr(repeats.usual_anchors, "__defaults__", (4, 1 << 14))  # an anchor is usual from four runs on
     rows = repeat_rows()
-    assert dict(told(repeats.remove_repeats(docs_frame(rows)))) == brute_repeats(rows)
+    assert dict(told(repeats.remove_repeats(docs_frame(rows), anchor_runs=anchor_runs, sample_docs=sample_docs))) == brute_repeats(rows)
+
+
+def test_hashes_do_not_decide_what_goes(docs_frame, monkeypatch):
+    def same(offsets, data, length, gram):  # all runs look alike
+        found = real(offsets, data, length, gram)
+        return found | {"cls": found["cls"] * 0, "key": found["key"] * 0}
+
+    real = suffixes.anchors
+    monkeypatch.setattr(repeats, "anchors", same)
+    rows = repeat_rows()[::2]
+    assert dict(told(repeats.remove_repeats(docs_frame(rows), sample_docs=0))) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("held", [False, True])
+def test_a_part_is_sorted_by_its_bytes(monkeypatch, held):
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdef") for _ in range(400)).encode()
+    spans = sorted((rng.randrange(3), doc, at, line[at + k : at + k + 100 + n]) for doc, (at, k, n) in enumerate((rng.randrange(9), rng.choice((0, 0, 40)), rng.randrange(9)) for _ in range(60)))
+    # runs of documents 0 to 59 that begin at 10 with their anchor 0 bytes on, so that they meet by their own places
+    spans = sorted((key, doc, 10, body) for key, doc, _, body in spans)
+    key, doc, first = (np.array([x[i] for x in spans], np.int64) for i in range(3))
+    sizes = np.array([len(x[3]) for x in spans])
+    run = repeats.pack(first, first + sizes - 100, np.zeros(len(first), np.int64), 0)
+    args = (key, doc, run, np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(x[3] for x in spans), np.uint8), np.full(len(key), held), 100)
+
+    def gone(d, r):
+        return {(i, k) for i, (a, b, _, g) in zip(d.tolist(), zip(*(x.tolist() for x in repeats.unpack(r)))) if g for k in range(a, b + 1)}
+
+    wanted, seen = set(), set()
+    for k, i, at, body in spans:
+        for j in range(len(body) - 99):
+            if (k, j, body[j : j + 100]) in seen:
+                wanted.add((i, at + j))
+            seen.add((k, j, body[j : j + 100]))
+    whole, seen = set(), set()
+    for k, i, at, body in spans:
+        whole |= {(i, at + j) for j in range(len(body) - 99)} if (k, body) in seen else set()
+        seen.add((k, body))
+    assert gone(*repeats.sort_part(*args)) == (whole if held else wanted) and wanted > whole
+    monkeypatch.setattr(repeats, "span_hashes", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    monkeypatch.setattr(suffixes, "extension", lambda sums, a, b, most: np.full(len(a), most))
+    got = gone(*repeats.sort_part(*args))
+    assert got <= wanted if held else got == wanted
+
+
+def test_texts_longer_than_a_block(monkeypatch):
+    rng = np.random.default_rng(9)
+    data = np.concatenate((rng.integers(0, 256, 6000), np.zeros(2500, int), rng.integers(0, 256, 500))).astype(np.uint8)
+    offsets = np.array([0, 30, 5000, 9000])
+    windows = lambda r: [(t, s, a + f - s) for t, f, l, a in zip(*(r[k].tolist() for k in ("text", "first", "last", "at"))) for s in range(f, l + 1)]
+    whole = suffixes.anchors(offsets, data, 100, 32)
+    monkeypatch.setattr(suffixes, "BLOCK", 512)
+    cut_up = suffixes.anchors(offsets, data, 100, 32)
+    assert len(cut_up["text"]) > len(whole["text"]) and (cut_up["at"] >= 0).all()
+    assert sorted(windows(cut_up)) == sorted(windows(whole)) and len(windows(whole)) == 4970 - 99 + 4000 - 99
+
+
+def test_long_texts_repeat_each_other(docs_frame):
+    rng = np.random.default_rng(10)
+    text = rng.integers(97, 123, (3 << 20) // 2).astype(np.uint8).tobytes().decode()  # above a step of 1 MB
+    rows = [(1, text), (2, text[1000:] + "x"), (3, "y" + text[5000:5200]), (4, text[7000:7050])]
+    got = {i: x[1] for i, x in told(repeats.remove_repeats(docs_frame(rows)))}
+    assert got == {1: 0, 2: len(text) - 1000, 3: 200, 4: 0}
 
 
 def test_repeated_and_null_ids(docs_frame):
@@ -132,7 +195,7 @@ def test_near_groups_are_brute_force(docs_frame, n, percent):
 def test_near_groups_edge_rows(docs_frame):
     rows = [(4, "one two three four five six"), (4, "one two three four five six"), (9, "ONE two three four five six"), (None, "one two three four five six"), (11, None)]
     got = [(r["doc_id"], r["component_id"]) for r in ngramjoin.near_groups(docs_frame(rows)).collect()]
-    assert sorted(got, key=str) == sorted([(4, 4), (4, 4), (9, 4), (None, 4), (11, 11)], key=str) or (None, None) in got
+    assert sorted(got, key=str) == sorted([(4, 4), (4, 4), (9, 4), (None, None), (11, 11)], key=str)
     assert ngramjoin.near_groups(docs_frame(rows).limit(0)).count() == 0
 
 
@@ -171,3 +234,20 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_do_not_stop_halfway(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        graph.components(path, most_rounds=2)
+    assert {r["label"] for r in graph.components(path).collect()} == {0}
+
+
+def test_long_texts_link(docs_frame, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "CELL_SHINGLES", 1000)
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]  # above a step of 1 MB
+    changed = [f"x{i}" if i % 200 == 0 else w for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, " ".join(long[:100_000])), (4, " ".join(changed[: 195_000]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(rows), 5, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
