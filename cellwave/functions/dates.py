@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: French month names, January first (fixed values).
 MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+#: Runs of blanks, with the two no-break spaces that exports hold (fixed values).
+BLANKS = "[\\s\u00a0\u202f]+"
 ACCENTED, PLAIN = "éèêëàâäîïôöûüùç", "eeeeaaaiioouuuc"
 
 
@@ -34,7 +36,7 @@ def french_date_to_iso(value: Column) -> Column:
     Day, month and year are the last three words. The day's range is not
     checked, accents and case do not matter.
     """
-    tokens = F.split(F.trim(F.regexp_replace(value, r"\s+", " ")), " ")
+    tokens = F.split(F.trim(F.regexp_replace(value, BLANKS, " ")), " ")
     day, month, year = _whole(_token(tokens, -3)), month_number(_token(tokens, -2)), _whole(_token(tokens, -1))
     iso = F.format_string("%04d-%02d-%02d", year, month, day)
     good = (F.size(tokens) >= 4) & day.isNotNull() & month.isNotNull() & year.isNotNull()
@@ -50,7 +52,7 @@ def parse_french_date(value: Column) -> Column:
 
     Forms that only a free parser reads are not covered.
     """
-    text = F.trim(F.regexp_replace(value, r"\s+", " "))
+    text = F.trim(F.regexp_replace(value, BLANKS, " "))
     tokens = F.split(text, " ")
     month = month_number(_token(tokens, 3), accents=True)
     spelt = F.format_string("%s/%02d/%s", F.lpad(_token(tokens, 2), 2, "0"), month, _token(tokens, 4))

@@ -79,28 +79,34 @@ def binned_median(contexts: list[np.ndarray], samples: int, seed: int, bins: int
 FORECASTERS: dict[str, Forecaster] = {"last": last_value, "mean": mean_value, "median": median_value, "binned": binned_median}
 
 
-def batch_forecast(examples: DataFrame, forecaster: str | Callable[[], Forecaster], model_id: str, samples: int = 32, seed: int = 0, max_context: int | None = None) -> DataFrame:
-    """model_id, sector, k, level, step, value: a one-step forecast of every row of ``examples`` (sector, context).
+def batch_forecasts(examples: DataFrame, forecasters: dict[str, str | Callable[[], Forecaster]], samples: int = 32, seed: int = 0, max_context: int | None = None) -> DataFrame:
+    """model_id, sector, k, level, step, value: a one-step forecast of every row of ``examples`` (sector, context) by every model, in one pass.
 
-    ``forecaster`` is a name in FORECASTERS or a function without arguments
-    that loads one; it is called once a task. Batches of contexts go to it.
+    A forecaster is a name in FORECASTERS or a function without arguments that
+    loads one; it is called once a task. Batches of contexts go to it.
     """
     picked = examples.select("sector", "context")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = FORECASTERS[forecaster] if isinstance(forecaster, str) else forecaster()
+        models = {name: FORECASTERS[f] if isinstance(f, str) else f() for name, f in forecasters.items()}
         for batch in batches:
             if not len(batch):
                 continue
             contexts = [np.asarray(c, float)[-max_context:] if max_context else np.asarray(c, float) for c in batch["context"]]
-            made = np.asarray(model(contexts, samples, seed), float)
-            made = made[:, None] if made.ndim == 1 else made
-            n, width = made.shape
-            yield pd.DataFrame({"model_id": model_id, "sector": np.repeat(batch["sector"].to_numpy(), width), "k": np.tile(np.arange(width, dtype=np.int32), n), "level": None, "step": np.int32(1), "value": made.ravel()})
+            for name, model in models.items():
+                made = np.asarray(model(contexts, samples, seed), float)
+                made = made[:, None] if made.ndim == 1 else made
+                n, width = made.shape
+                yield pd.DataFrame({"model_id": name, "sector": np.repeat(batch["sector"].to_numpy(), width), "k": np.tile(np.arange(width, dtype=np.int32), n), "level": None, "step": np.int32(1), "value": made.ravel()})
 
     return picked.mapInPandas(run, f"model_id string, sector {picked.schema['sector'].dataType.simpleString()}, k int, level double, step int, value double")
 
 
+def batch_forecast(examples: DataFrame, forecaster: str | Callable[[], Forecaster], model_id: str, samples: int = 32, seed: int = 0, max_context: int | None = None) -> DataFrame:
+    """``batch_forecasts`` of one model."""
+    return batch_forecasts(examples, {model_id: forecaster}, samples, seed, max_context)
+
+
 def forecast_native(context: DataFrame, how: str, sector: str = "sector", value: str = "trafic_mbps", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
     """sector, prediction: the built-in ``last``, ``mean`` or ``median`` forecaster as an aggregation of the context's points."""
     made = {"last": F.max_by(value, F.struct(*order)), "mean": F.avg(value), "median": F.median(value)}[how]

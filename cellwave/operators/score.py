@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellwave.operators.forecast import Forecaster, batch_forecasts, point_from_samples
+
 
 def score_series(predictions: DataFrame, targets: DataFrame, sector: str = "sector") -> DataFrame:
     """Predictions with their targets (sector, site, target) and squared_error."""
@@ -40,6 +44,12 @@ def evaluate_models(rows: DataFrame, size: int | None, models: tuple[str, ...] =
     return out.withColumn("squared_error", (F.col("prediction") - F.col("target")) * (F.col("prediction") - F.col("target")))
 
 
+def evaluate_forecasters(examples: DataFrame, forecasters: dict[str, str | Callable[[], Forecaster]], samples: int = 32, seed: int = 0, max_context: int | None = None) -> DataFrame:
+    """model_id, sector, site, target, prediction, squared_error: forecasters of one's own, by name, on every example; a mean is taken over the samples they give."""
+    points = point_from_samples(batch_forecasts(examples, forecasters, samples, seed, max_context))
+    return score_series(points, examples.select("sector", "site", "target")).select("model_id", "sector", "site", "target", "prediction", "squared_error")
+
+
 def summary_table(scored: DataFrame, num_samples: int = 32, keys: tuple[str, ...] = ("dataset", "model_id")) -> DataFrame:
     """keys, rmse, num_series, num_samples."""
     return rmse(scored, keys).withColumn("num_samples", F.lit(num_samples))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Points of either axis of the grid, and its ends.
@@ -17,15 +17,21 @@ def axis() -> np.ndarray:
     return np.linspace(LOW, HIGH, POINTS)
 
 
-def grid(spark: SparkSession, slot: int = 300) -> DataFrame:
-    """All (idx, tau, zeta, min_ratio) of the grid, idx in the order tau, zeta. Its size is fixed: 1,600 rows."""
+def cell_of(i: Column, slot: int) -> tuple[Column, Column, Column]:
+    """tau, zeta and least ratio of cell ``i``; cells go in the order tau, zeta."""
     step = (HIGH - LOW) / (POINTS - 1)
 
-    def at(i):
-        return F.when(i == POINTS - 1, F.lit(HIGH)).otherwise(i * F.lit(step) + F.lit(LOW))
+    def at(k: Column) -> Column:
+        return F.when(k == POINTS - 1, F.lit(HIGH)).otherwise(k * F.lit(step) + F.lit(LOW))
+
+    tau, zeta = at(F.floor(i / POINTS)), at(i % POINTS)
+    return tau, zeta, (2 * zeta) / (tau * slot * (tau + zeta))
 
-    cells = spark.range(POINTS * POINTS).select(F.col("id").alias("idx"), at(F.floor(F.col("id") / POINTS)).alias("tau"), at(F.col("id") % POINTS).alias("zeta"))
-    return cells.withColumn("min_ratio", (2 * F.col("zeta")) / (F.col("tau") * slot * (F.col("tau") + F.col("zeta"))))
+
+def grid(spark: SparkSession, slot: int = 300) -> DataFrame:
+    """All (idx, tau, zeta, min_ratio) of the grid. Its size is fixed: 1,600 rows."""
+    tau, zeta, least = cell_of(F.col("id"), slot)
+    return spark.range(POINTS * POINTS).select(F.col("id").alias("idx"), tau.alias("tau"), zeta.alias("zeta"), least.alias("min_ratio"))
 
 
 def fit_tau_zeta(stats: DataFrame, slot: int = 300) -> DataFrame:
@@ -66,11 +72,15 @@ def fit_tau_zeta(stats: DataFrame, slot: int = 300) -> DataFrame:
 
 
 def fit_tau_zeta_sql(stats: DataFrame, keys: list[str], slot: int = 300) -> DataFrame:
-    """keys, tau, zeta by comparing every sector with every cell: the plain form of the fit, to test the other against."""
-    cells = F.broadcast(grid(stats.sparkSession, slot))
-    error = F.abs(F.col("var") / (F.col("mu") * F.col("mu")) - F.col("min_ratio"))
-    best = F.min(F.struct(error.alias("err"), "idx", "tau", "zeta"))
-    return stats.filter("mu > 0 and var > 0").join(cells, F.lit(True)).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.tau", "b.zeta")
+    """keys, tau, zeta by comparing every row with all 1,600 cells, which an array of the row holds: the plain form of the fit, to test the other against."""
+    ratio = F.col("var") / (F.col("mu") * F.col("mu"))
+
+    def cell(i):
+        tau, zeta, least = cell_of(i, slot)
+        return F.struct(F.abs(ratio - least).alias("err"), i.alias("idx"), tau.alias("tau"), zeta.alias("zeta"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(POINTS * POINTS - 1)), cell))
+    return stats.filter("mu > 0 and var > 0").withColumn("_best", best).select(*keys, "_best.tau", "_best.zeta")
 
 
 def slot_variance(df: DataFrame, stats: DataFrame, sector: str = "secteur", value: str = "trafic_mbps") -> DataFrame:

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,10 @@ def examples_from_history(raw: DataFrame, max_context: int | None = None) -> Dat
     return series.build_examples(clean.canonical(raw), max_context=max_context)
 
 
-def evaluate(examples_: DataFrame, models: tuple[str, ...] = ("last", "mean", "median", "binned"), dataset: str = "original", max_context: int | None = 8192, seed: int = 0) -> DataFrame:
-    """Scored forecasts of every built-in model on every example."""
-    made = None
-    for m in models:
-        one = forecast.batch_forecast(examples_, m, m, seed=seed, max_context=max_context)
-        made = one if made is None else made.unionByName(one)
-    points = forecast.point_from_samples(made)
-    return score.score_series(points, examples_.select("sector", "site", "target")).withColumn("dataset", F.lit(dataset))
+def evaluate(examples_: DataFrame, models: tuple[str, ...] | dict[str, str | Callable] = ("last", "mean", "median", "binned"), dataset: str = "original", max_context: int | None = 8192, seed: int = 0) -> DataFrame:
+    """Scored forecasts of every model, built in or one's own by name, on every example."""
+    named = models if isinstance(models, dict) else {m: m for m in models}
+    return score.evaluate_forecasters(examples_, named, seed=seed, max_context=max_context).withColumn("dataset", F.lit(dataset))
 
 
 def slots_from_history(raw: DataFrame) -> DataFrame:

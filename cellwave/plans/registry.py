@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwave.functions import dates, numbers
 from cellwave.operators import clean, compare, forecast, generate, score, sectors, series, tokens, traffic
 from cellwave.plans import views
-from cellwave.sources import reports, traffic as files
+from cellwave.sources import examples, reports, shared, traffic as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +44,11 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def digits(c, name: str):
+    """Six significant digits, as text: numbers of any size alike."""
+    return F.format_string("%.5e", F.col(c)).alias(name)
+
+
 # ---- cleaning
 
 
@@ -57,10 +63,13 @@ def drop_blank(spark, d):
     return clean.drop_blank_rows(h, ["secteur", "trafic_mbps"])
 
 
+#: Blanks, the no-break ones included.
+BLANKS_SQL = r"[\s\x{00A0}\x{202F}]+"
+
 FRENCH_SQL = f"""french AS (
   SELECT row_seq, tstamp, len(w) AS n, w, try_cast(w[-3] AS INTEGER) AS d, try_cast(w[-1] AS INTEGER) AS y,
-         nullif(list_position({views._MONTHS_SQL.translate(str.maketrans("éû", "eu"))}, translate(lower(w[-2]), 'éèêëàâäîïôöûüùç', 'eeeeaaaiioouuuc')), 0) AS m
-  FROM (SELECT row_seq, tstamp, string_split(trim(regexp_replace(tstamp, '\\s+', ' ', 'g')), ' ') AS w FROM raw))"""
+         nullif(list_position({views.MONTHS_SQL.translate(str.maketrans("éû", "eu"))}, translate(lower(w[-2]), 'éèêëàâäîïôöûüùç', 'eeeeaaaiioouuuc')), 0) AS m
+  FROM (SELECT row_seq, tstamp, string_split(trim(regexp_replace(tstamp, '{BLANKS_SQL}', ' ', 'g')), ' ') AS w FROM raw))"""
 ISO_DATE = "CASE WHEN n >= 4 AND d IS NOT NULL AND m IS NOT NULL AND y IS NOT NULL THEN printf('%04d-%02d-%02d', y, m::INTEGER, d) ELSE {} END"
 
 
@@ -70,8 +79,8 @@ def french_date_iso(spark, d):
 
 
 ACCENTED_SQL = f"""accented AS (
-  SELECT row_seq, tstamp, w, nullif(list_position({views._MONTHS_SQL}, lower(w[3])), 0) AS m
-  FROM (SELECT row_seq, tstamp, string_split(trim(regexp_replace(tstamp, '\\s+', ' ', 'g')), ' ') AS w FROM raw))"""
+  SELECT row_seq, tstamp, w, nullif(list_position({views.MONTHS_SQL}, lower(w[3])), 0) AS m
+  FROM (SELECT row_seq, tstamp, string_split(trim(regexp_replace(tstamp, '{BLANKS_SQL}', ' ', 'g')), ' ') AS w FROM raw))"""
 
 
 @query(
@@ -179,7 +188,10 @@ def first_appearance_order(spark, d):
        arg_max(trafic_mbps, first_seq) AS target, count(*)::INTEGER - 1 AS context_length FROM canon GROUP BY sector HAVING count(*) >= 2""",
 )
 def build_examples(spark, d):
-    e = series.build_examples(canon(spark, d))
+    return example_rows(series.build_examples(canon(spark, d)))
+
+
+def example_rows(e):
     return e.select("sector", "site", F.array_join("timestamps", ",").alias("stamps"), F.array_join(F.transform("context", lambda x: x.cast("long").cast("string")), ",").alias("context"), "target", "context_length")
 
 
@@ -301,10 +313,9 @@ def slot_variance(spark, d):
     return slot_params(spark, d).select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), "slot_mu", F.round("slot_var", 3).alias("slot_var"))
 
 
-@query(views.LOW_VARIANCE, LOW_STATS, FIT, PARAMS, f"SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, round(log10(lam), 4) + 0.0 AS log_lambda, round(log10(lam * e_psi), 4) + 0.0 AS log_demand FROM full_params")
+@query(views.LOW_VARIANCE, LOW_STATS, FIT, PARAMS, f"SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, printf('%.5e', lam) AS lambda, printf('%.5e', e_psi) AS e_psi FROM full_params")
 def arrival_params(spark, d):
-    p = slot_params(spark, d)
-    return p.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), (F.round(F.log10("lambda"), 4) + 0.0).alias("log_lambda"), (F.round(F.log10(F.col("lambda") * F.col("e_psi")), 4) + 0.0).alias("log_demand"))
+    return slot_params(spark, d).select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), digits("lambda", "lambda"), digits("e_psi", "e_psi"))
 
 
 @query(
@@ -312,13 +323,14 @@ def arrival_params(spark, d):
     LOW_STATS,
     FIT,
     PARAMS,
-    f"""SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, round(log10(e_u), 4) + 0.0 AS log_e_u, round(log10(e_u * e_psi), 4) + 0.0 AS log_e_total,
-        round(log10(e_u * (1 + 2 * lam * zeta / ((tau + zeta) * (tau + zeta)))), 4) + 0.0 AS log_var_u
-        FROM (SELECT *, lam * (tau / (tau + zeta)) * 300 AS e_u FROM full_params)""",
+    "counted AS (SELECT *, lam * (tau / (tau + zeta)) * 300 AS e_u FROM full_params)",
+    "spread AS (SELECT *, e_u * (1 + 2 * lam * zeta / ((tau + zeta) * (tau + zeta))) AS var_u FROM counted)",
+    f"""SELECT secteur, strftime(tstamp, {SQL_ISO}) AS tstamp, printf('%.5e', e_u) AS e_u, printf('%.5e', var_u) AS var_u, printf('%.5e', e_u * e_psi) AS e_total,
+        printf('%.5e', e_u * e_psi * e_psi + var_u * e_psi * e_psi) AS var_total FROM spread""",
 )
 def model_moments(spark, d):
     m = traffic.model_moments(slot_params(spark, d))
-    return m.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), (F.round(F.log10("e_u"), 4) + 0.0).alias("log_e_u"), (F.round(F.log10("e_total"), 4) + 0.0).alias("log_e_total"), (F.round(F.log10("var_u"), 4) + 0.0).alias("log_var_u"))
+    return m.select("secteur", F.date_format("tstamp", ISO).alias("tstamp"), *[digits(c, c) for c in ("e_u", "var_u", "e_total", "var_total")])
 
 
 def generated(spark, d):
@@ -393,14 +405,8 @@ def align_slots(spark, d):
     return aligned(spark, d).select("secteur", F.date_format("dates_5min", ISO).alias("slot"), "trafic_mbps", r6("psi_instant", "psi_instant"))
 
 
-@query(views.INSTANT, COARSE, "fine AS (SELECT DISTINCT secteur, date_trunc('day', timestamp) AS t FROM instant WHERE row_seq % 3 = 0)", "SELECT DISTINCT secteur FROM coarse c WHERE NOT EXISTS (SELECT 1 FROM coarse k JOIN fine f ON k.secteur = f.secteur AND k.dates_5min = f.t WHERE k.secteur = c.secteur AND hour(k.dates_5min) = 0 AND day(f.t) > 25)")
-def unaligned_sectors(spark, d):
-    late = views.instant(spark, d).filter((F.col("row_seq") % 3 == 0) & (F.dayofmonth("timestamp") > 25))
-    return compare.unaligned_sectors(coarse(spark, d), compare.resample_sum(late, "1 day"))
-
-
 @query(views.INSTANT, COARSE, DAILY, ALIGNED, "SELECT DISTINCT secteur FROM coarse WHERE secteur NOT IN (SELECT secteur FROM aligned)")
-def unaligned_sectors_full(spark, d):
+def unaligned_sectors(spark, d):
     return compare.unaligned_sectors(coarse(spark, d), compare.resample_sum(views.instant(spark, d), "1 day"))
 
 
@@ -418,18 +424,21 @@ def normalize_aligned(spark, d):
 
 # ---- tokens
 
-CONTEXT = """context AS (SELECT sector, site, timestamp_iso, trafic_mbps, first_seq, row_seq, back FROM (
-  SELECT *, row_number() OVER (PARTITION BY sector ORDER BY first_seq DESC, row_seq DESC) AS back FROM canon) WHERE back BETWEEN 2 AND 65)"""
+BACK = "backwards AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY first_seq DESC, row_seq DESC) AS back FROM canon)"
+CONTEXT = BACK + ",\ncontext AS (SELECT * FROM backwards WHERE back >= 2)"
+
+#: Points that ``last_context`` keeps; every other query takes all points before the last.
 SIZE = 64
 
 
-def context(spark, d, size=SIZE):
-    return tokens.last_context(ordered(spark, d), size)
+def context(spark, d):
+    """All points of each series before its last one."""
+    return tokens.last_context(ordered(spark, d), None)
 
 
-@query(views.HISTORY, CANON, CONTEXT, f"SELECT sector, timestamp_iso, trafic_mbps, ({SIZE} + 2 - back)::INTEGER AS pos FROM context")
+@query(views.HISTORY, CANON, BACK, f"SELECT sector, timestamp_iso, trafic_mbps, ({SIZE} + 2 - back)::INTEGER AS pos FROM backwards WHERE back BETWEEN 2 AND {SIZE} + 1")
 def last_context(spark, d):
-    return context(spark, d).select("sector", "timestamp_iso", "trafic_mbps", F.col("pos").cast("int").alias("pos"))
+    return tokens.last_context(ordered(spark, d), SIZE).select("sector", "timestamp_iso", "trafic_mbps", F.col("pos").cast("int").alias("pos"))
 
 
 SCALED = """scaled AS (SELECT *, trafic_mbps / scale AS scaled FROM (
@@ -438,18 +447,18 @@ BINNED = "binned AS (SELECT *, least(4094, greatest(1, floor((scaled + 15.0::DOU
 
 
 @query(views.HISTORY, CANON, CONTEXT, SCALED, "SELECT sector, row_seq, round(scale, 6) AS scale, round(scaled, 6) AS scaled FROM scaled")
-def mean_scale(spark, d, size=SIZE):
-    return tokens.mean_scale(context(spark, d, size)).select("sector", "row_seq", r6("scale", "scale"), r6("scaled", "scaled"))
+def mean_scale(spark, d):
+    return tokens.mean_scale(context(spark, d)).select("sector", "row_seq", r6("scale", "scale"), r6("scaled", "scaled"))
 
 
 @query(views.HISTORY, CANON, CONTEXT, SCALED, BINNED, "SELECT sector, row_seq, bin FROM binned")
-def quantize(spark, d, size=SIZE):
-    return tokens.quantize(tokens.mean_scale(context(spark, d, size))).select("sector", "row_seq", "bin")
+def quantize(spark, d):
+    return tokens.quantize(tokens.mean_scale(context(spark, d))).select("sector", "row_seq", "bin")
 
 
 @query(views.HISTORY, CANON, CONTEXT, SCALED, BINNED, "SELECT sector, row_seq, round((-15.0::DOUBLE + (bin - 1) * (30.0::DOUBLE / 4093)) * scale, 6) AS restored FROM binned")
-def dequantize(spark, d, size=SIZE):
-    return tokens.dequantize(tokens.quantize(tokens.mean_scale(context(spark, d, size)))).select("sector", "row_seq", r6("restored", "restored"))
+def dequantize(spark, d):
+    return tokens.dequantize(tokens.quantize(tokens.mean_scale(context(spark, d)))).select("sector", "row_seq", r6("restored", "restored"))
 
 
 @query(
@@ -462,8 +471,8 @@ def dequantize(spark, d, size=SIZE):
     "upto AS (SELECT *, sum(p) OVER (PARTITION BY sector ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM probs)",
     "SELECT sector, 1 AS step, level, min(bin) AS bin FROM upto, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) l(level) WHERE c >= level - 1e-12 GROUP BY sector, level",
 )
-def bin_quantiles(spark, d, size=SIZE):
-    b = tokens.quantize(tokens.mean_scale(context(spark, d, size)))
+def bin_quantiles(spark, d):
+    b = tokens.quantize(tokens.mean_scale(context(spark, d)))
     counts = b.groupBy("sector", "bin").agg(F.count("*").alias("n"))
     total = b.groupBy("sector").agg(F.count("*").alias("all"))
     probs = counts.join(total, "sector").select("sector", F.lit(1).alias("step"), "bin", (F.col("n").cast("double") / F.col("all")).alias("p"))
@@ -498,20 +507,14 @@ def point_from_quantiles(spark, d):
     return forecast.point_from_quantiles(once)
 
 
-@query(SAMPLES, LAST_STEP, "SELECT model_id, sector, round(avg(value), 6) AS prediction FROM last_step WHERE k < 16 GROUP BY ALL")
-def point_mean_outputs(spark, d):
-    low = forecast.last_step(samples(spark, d)).filter("k < 16")
-    return forecast.point_from_outputs(low).select("model_id", "sector", r6("prediction", "prediction"))
-
-
 @query(SAMPLES, LAST_STEP, "SELECT model_id, sector, round(avg(value), 6) AS prediction FROM last_step GROUP BY ALL")
-def point_mean_outputs_full(spark, d):
+def point_mean_outputs(spark, d):
     return forecast.point_from_outputs(samples(spark, d)).select("model_id", "sector", r6("prediction", "prediction"))
 
 
 def _forecast(how: str, sql: str):
-    def run(spark, d, size=SIZE):
-        return forecast.forecast_native(context(spark, d, size), how).select("sector", r6("prediction", "prediction"))
+    def run(spark, d):
+        return forecast.forecast_native(context(spark, d), how).select("sector", r6("prediction", "prediction"))
 
     run.__name__ = f"forecast_{how}"
     query(views.HISTORY, CANON, CONTEXT, f"SELECT sector, round({sql}, 6) AS prediction FROM context GROUP BY sector")(run)
@@ -524,12 +527,12 @@ for _how, _sql in (("last", "arg_max(trafic_mbps, first_seq)"), ("mean", "avg(tr
 @query(
     views.HISTORY,
     CANON,
-    "full_context AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY first_seq DESC, row_seq DESC) AS back FROM canon) WHERE back BETWEEN 2 AND 65)",
-    "SELECT 'median' AS model_id, sector, 0 AS k, 1 AS step, round(median(trafic_mbps), 6) AS value FROM full_context GROUP BY sector",
+    CONTEXT,
+    "SELECT 'median' AS model_id, sector, 0 AS k, 1 AS step, round(median(trafic_mbps), 6) AS value FROM context GROUP BY sector",
 )
-def batch_forecast(spark, d, size=SIZE):
-    e = series.build_examples(canon(spark, d), max_context=size, stamps=False)
-    return forecast.batch_forecast(e, "median", "median", max_context=size).select("model_id", "sector", "k", "step", r6("value", "value"))
+def batch_forecast(spark, d):
+    e = series.build_examples(canon(spark, d), stamps=False)
+    return forecast.batch_forecast(e, "median", "median").select("model_id", "sector", "k", "step", r6("value", "value"))
 
 
 @query(
@@ -542,9 +545,9 @@ def batch_forecast(spark, d, size=SIZE):
     "upto AS (SELECT *, sum(p) OVER (PARTITION BY sector ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM probs)",
     "SELECT 'binned' AS model_id, sector, round((-15.0::DOUBLE + (min(bin) - 1) * (30.0::DOUBLE / 4093)) * any_value(scale), 6) AS value FROM upto WHERE c >= 0.5 - 1e-12 GROUP BY sector",
 )
-def batch_forecast_binned(spark, d, size=SIZE):
-    e = series.build_examples(canon(spark, d), max_context=size, stamps=False)
-    return forecast.batch_forecast(e, "binned", "binned", max_context=size).select("model_id", "sector", r6("value", "value"))
+def batch_forecast_binned(spark, d):
+    e = series.build_examples(canon(spark, d), stamps=False)
+    return forecast.batch_forecast(e, "binned", "binned").select("model_id", "sector", r6("value", "value"))
 
 
 # ---- scores
@@ -557,57 +560,75 @@ SUMMARY = "summary AS (SELECT dataset, model_id, sqrt(avg(squared_error)) AS rms
 BASE = (views.HISTORY, CANON, CONTEXT, TARGETS, SCORED)
 
 
-def scored(spark, d, size=SIZE):
+def scored(spark, d):
     """Every built-in forecaster on every series; two data sets by site, from one ordering of the history."""
     short = F.substring("site", -1, 1).isin("0", "1", "2", "3")
-    return score.evaluate_models(ordered(spark, d), size).withColumn("dataset", F.when(short, "instant_short").otherwise("original"))
+    return score.evaluate_models(ordered(spark, d), None).withColumn("dataset", F.when(short, "instant_short").otherwise("original"))
 
 
 @query(*BASE, "SELECT sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored WHERE model_id = 'mean'")
-def score_series(spark, d, size=SIZE):
+def score_series(spark, d):
     rows = ordered(spark, d)
     targets = rows.groupBy("sector").agg(F.max_by(F.struct("site", "trafic_mbps"), F.struct("first_seq", "row_seq")).alias("t")).select("sector", "t.site", F.col("t.trafic_mbps").alias("target"))
-    made = forecast.forecast_native(tokens.last_context(rows, size), "mean")
+    made = forecast.forecast_native(tokens.last_context(rows, None), "mean")
     return score.score_series(made, targets).select("sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
 
 
 @query(*BASE, SUMMARY, "SELECT dataset, model_id, round(rmse, 6) AS rmse, num_series FROM summary")
-def rmse(spark, d, size=SIZE):
-    return score.rmse(scored(spark, d, size)).withColumn("rmse", F.round("rmse", 6))
+def rmse(spark, d):
+    return score.rmse(scored(spark, d)).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(*BASE, "SELECT model_id, sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored")
-def evaluate_models(spark, d, size=SIZE):
-    return scored(spark, d, size).select("model_id", "sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
+def evaluate_models(spark, d):
+    return scored(spark, d).select("model_id", "sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
+
+
+def drift():
+    """A forecaster of one's own: the last value and the mean step of the context."""
+    return lambda contexts, samples, seed: np.array([c[-1] + (c[-1] - c[0]) / max(1, len(c) - 1) for c in contexts])
+
+
+@query(
+    views.HISTORY,
+    CANON,
+    CONTEXT,
+    TARGETS,
+    "ends AS (SELECT sector, arg_min(trafic_mbps, first_seq) AS a, arg_max(trafic_mbps, first_seq) AS b, count(*) AS n FROM context GROUP BY sector)",
+    "SELECT 'drift' AS model_id, sector, target, round(b + (b - a) / greatest(1, n - 1), 6) AS prediction FROM ends JOIN targets USING (sector) UNION ALL SELECT 'last', sector, target, round(b, 6) FROM ends JOIN targets USING (sector)",
+)
+def evaluate_forecasters(spark, d):
+    e = series.build_examples(canon(spark, d), stamps=False)
+    return score.evaluate_forecasters(e, {"drift": drift, "last": "last"}).select("model_id", "sector", "target", r6("prediction", "prediction"))
 
 
 @query(*BASE, SUMMARY, "SELECT dataset, model_id, round(rmse, 6) AS rmse, num_series, 32 AS num_samples FROM summary")
-def summary_table(spark, d, size=SIZE):
-    return score.summary_table(scored(spark, d, size)).withColumn("rmse", F.round("rmse", 6))
+def summary_table(spark, d):
+    return score.summary_table(scored(spark, d)).withColumn("rmse", F.round("rmse", 6))
 
 
 LOOKUP_ROWS = [("last", "1K"), ("median", "2K"), ("other", "9M")]
 LOOKUP = "lookup AS (SELECT * FROM (VALUES ('last', '1K'), ('median', '2K'), ('other', '9M')) l(model_id, parameters))"
 
 
-def with_parameters(spark, d, size=SIZE):
+def with_parameters(spark, d):
     lookup = spark.createDataFrame(LOOKUP_ROWS, "model_id string, parameters string")
-    return score.attach_parameters(score.summary_table(scored(spark, d, size)), lookup)
+    return score.attach_parameters(score.summary_table(scored(spark, d)), lookup)
 
 
 @query(*BASE, SUMMARY, LOOKUP, "SELECT dataset, model_id, round(rmse, 6) AS rmse, num_series, 32 AS num_samples, parameters FROM summary LEFT JOIN lookup USING (model_id)")
-def summary_parameters(spark, d, size=SIZE):
-    return with_parameters(spark, d, size).withColumn("rmse", F.round("rmse", 6))
+def summary_parameters(spark, d):
+    return with_parameters(spark, d).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(*BASE, SUMMARY, LOOKUP, "SELECT model_id, round(rmse, 6) AS rmse, parameters FROM summary LEFT JOIN lookup USING (model_id) WHERE dataset = 'original' ORDER BY list_position(['median', 'last', 'mean'], model_id)")
-def summary_ranked(spark, d, size=SIZE):
-    return score.order_by_list(with_parameters(spark, d, size).filter("dataset = 'original'"), ["median", "last", "mean"]).withColumn("rmse", F.round("rmse", 6))
+def summary_ranked(spark, d):
+    return score.order_by_list(with_parameters(spark, d).filter("dataset = 'original'"), ["median", "last", "mean"]).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(*BASE, SUMMARY, "SELECT dataset, model_id, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY rmse, model_id) AS r FROM summary) WHERE r = 1")
-def best_model(spark, d, size=SIZE):
-    return score.best_model(score.rmse(scored(spark, d, size))).withColumn("rmse", F.round("rmse", 6))
+def best_model(spark, d):
+    return score.best_model(score.rmse(scored(spark, d))).withColumn("rmse", F.round("rmse", 6))
 
 
 @query(
@@ -618,8 +639,8 @@ def best_model(spark, d, size=SIZE):
     """SELECT dataset, model_id, n_parameters, round(rmse, 6) AS rmse, round(lag(rmse) OVER w, 6) AS previous_rmse, coalesce((rmse > lag(rmse) OVER w)::INTEGER, -1) AS rises
        FROM sized WINDOW w AS (PARTITION BY dataset ORDER BY n_parameters NULLS FIRST, model_id)""",
 )
-def size_vs_error(spark, d, size=SIZE):
-    return score.size_vs_error(with_parameters(spark, d, size)).select("dataset", "model_id", "n_parameters", r6("rmse", "rmse"), r6("previous_rmse", "previous_rmse"), F.coalesce(F.col("rises").cast("int"), F.lit(-1)).alias("rises"))
+def size_vs_error(spark, d):
+    return score.size_vs_error(with_parameters(spark, d)).select("dataset", "model_id", "n_parameters", r6("rmse", "rmse"), r6("previous_rmse", "previous_rmse"), F.coalesce(F.col("rises").cast("int"), F.lit(-1)).alias("rises"))
 
 
 @query(
@@ -628,8 +649,8 @@ def size_vs_error(spark, d, size=SIZE):
     """SELECT dataset, model_id, round(avg((z = 0)::INTEGER), 6) AS zero_share, round(sqrt(avg(CASE WHEN z = 0 THEN (prediction - z) * (prediction - z) END)), 6) AS rmse_zero,
        round(sqrt(avg(CASE WHEN z <> 0 THEN (prediction - z) * (prediction - z) END)), 6) AS rmse_other FROM zeroed GROUP BY ALL""",
 )
-def zero_target_share(spark, d, size=SIZE):
-    s = scored(spark, d, size).withColumn("target", F.when(F.col("target") < 60, 0.0).otherwise(F.col("target")))
+def zero_target_share(spark, d):
+    s = scored(spark, d).withColumn("target", F.when(F.col("target") < 60, 0.0).otherwise(F.col("target")))
     s = s.withColumn("squared_error", (F.col("prediction") - F.col("target")) * (F.col("prediction") - F.col("target")))
     z = score.zero_target_share(s)
     return z.select("dataset", "model_id", r6("zero_share", "zero_share"), r6("rmse_zero", "rmse_zero"), r6("rmse_other", "rmse_other"))
@@ -641,34 +662,64 @@ def zero_target_share(spark, d, size=SIZE):
     "means AS (SELECT avg(rmse) FILTER (dataset = 'original') AS a, avg(rmse) FILTER (dataset = 'instant_short') AS b FROM summary)",
     "SELECT round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(a / nullif(b, 0), 6) AS ratio FROM means",
 )
-def rmse_ratio(spark, d, size=SIZE):
-    return score.rmse_ratio(score.rmse(scored(spark, d, size)), "original", "instant_short").select(r6("mean_a", "mean_a"), r6("mean_b", "mean_b"), r6("ratio", "ratio"))
+def rmse_ratio(spark, d):
+    return score.rmse_ratio(score.rmse(scored(spark, d)), "original", "instant_short").select(r6("mean_a", "mean_a"), r6("mean_b", "mean_b"), r6("ratio", "ratio"))
 
 
-@query(
-    *BASE,
-    SUMMARY,
-    "SELECT s.dataset, s.model_id, num_series::INTEGER AS num_series, 32 AS num_samples, round(rmse, 6) AS rmse, sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored s JOIN summary USING (dataset, model_id)",
-)
-def eval_report(spark, d, size=SIZE):
-    r = reports.build_reports(scored(spark, d, size), stamp="2025-01-01T00:00:00")
-    e = r.select("dataset", "model_id", "num_series", "num_samples", "rmse", F.explode("per_series").alias("s")).select("dataset", "model_id", "num_series", "num_samples", "rmse", "s.*")
-    return e.withColumn("rmse", F.round("rmse", 6)).withColumn("prediction", F.round("prediction", 6)).withColumn("squared_error", F.round("squared_error", 6))
+REPORT = "SELECT s.dataset, s.model_id, num_series::INTEGER AS num_series, 32 AS num_samples, round(rmse, 6) AS rmse, sector, site, target, round(prediction, 6) AS prediction, round(squared_error, 6) AS squared_error FROM scored s JOIN summary USING (dataset, model_id)"
+STAMP = "2025-01-01T00:00:00"
 
 
-# ---- the whole history
+def report_rows(rows):
+    return rows.select("dataset", "model_id", "num_series", "num_samples", r6("rmse", "rmse"), "sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
 
-WHOLE = ["mean_scale", "quantize", "dequantize", "bin_quantiles", "forecast_mean", "forecast_median", "batch_forecast", "batch_forecast_binned", "score_series", "rmse", "evaluate_models",
-         "summary_table", "summary_parameters", "summary_ranked", "best_model", "size_vs_error", "zero_target_share", "rmse_ratio", "eval_report"]
 
+@query(*BASE, SUMMARY, REPORT)
+def eval_report(spark, d):
+    r = reports.build_reports(scored(spark, d), stamp=STAMP)
+    return report_rows(r.select("dataset", "model_id", "num_series", "num_samples", "rmse", F.explode("per_series").alias("s")).select("dataset", "model_id", "num_series", "num_samples", "rmse", "s.*"))
+
+
+# ---- written and read back
+
+
+@query(views.HISTORY, views.RAW, "SELECT secteur, site, tstamp, trafic_mbps, row_seq::VARCHAR AS line FROM raw")
+def read_csv_history(spark, d):
+    """The export as a latin-1 CSV file, its separator found out by the reader."""
+    path = shared.new_folder(spark, "history-csv")
+    files.write_traffic_csv(views.raw(spark, d).select("secteur", "site", "tstamp", "trafic_mbps", F.col("row_seq").cast("string").alias("line")), path)
+    return files.read_traffic_csv(spark, path).select("secteur", "site", "tstamp", "trafic_mbps", "line")
+
+
+@query(views.INSTANT, f"SELECT secteur, strftime(timestamp, {SQL_ISO}) AS timestamp, psi_instant, row_seq FROM instant")
+def read_instant(spark, d):
+    path = shared.new_folder(spark, "instant")
+    files.write_instant(views.instant(spark, d), path)
+    return spark.read.parquet(path).select("secteur", F.date_format("timestamp", ISO).alias("timestamp"), "psi_instant", "row_seq")
+
+
+@query(
+    views.HISTORY,
+    CANON,
+    """SELECT sector, list(site ORDER BY first_seq, row_seq)[1] AS site, string_agg(timestamp_iso, ',' ORDER BY first_seq, row_seq) AS stamps,
+       array_to_string(list_transform(list(trafic_mbps ORDER BY first_seq, row_seq)[:-2], lambda x: x::BIGINT::VARCHAR), ',') AS context,
+       arg_max(trafic_mbps, first_seq) AS target, count(*)::INTEGER - 1 AS context_length FROM canon GROUP BY sector HAVING count(*) >= 2""",
+)
+def read_examples(spark, d):
+    path = shared.new_folder(spark, "examples")
+    examples.write_examples(series.build_examples(canon(spark, d)), path)
+    return example_rows(examples.read_examples(spark, path))
 
-def _whole(name: str):
-    def run(spark, d):
-        return QUERIES[name](spark, d, size=None)
 
-    run.__name__ = f"{name}_full"
-    query(SQL[name].replace("back BETWEEN 2 AND 65", "back >= 2"))(run)
+@query(*BASE, SUMMARY, REPORT)
+def read_reports(spark, d):
+    path = shared.new_folder(spark, "reports")
+    reports.write_reports(reports.build_reports(scored(spark, d), stamp=STAMP), path)
+    return report_rows(reports.read_reports(spark, path))
 
 
-for _name in WHOLE:
-    _whole(_name)
+@query(*BASE, SUMMARY, LOOKUP, "SELECT model_id, round(rmse, 6) AS rmse, parameters FROM summary LEFT JOIN lookup USING (model_id) WHERE dataset = 'original'")
+def read_summary(spark, d):
+    path = shared.new_folder(spark, "summary")
+    reports.write_summary(score.order_by_list(with_parameters(spark, d).filter("dataset = 'original'"), ["median", "last", "mean"]), path)
+    return reports.read_summary(spark, path).withColumn("rmse", F.round("rmse", 6))

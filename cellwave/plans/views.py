@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONTH_LIST = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
+from cellwave.functions.dates import MONTHS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,28 +29,33 @@ HISTORY = """history AS (
         FROM lineitem GROUP BY l_suppkey, date_trunc('week', l_shipdate)))"""
 
 
+#: Suppliers whose quantities make one series of low variance.
+GROUP = 20
+
+
 def low_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly quantity by return flag and line status: series whose variance is low against their mean."""
-    t = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("secteur"), F.date_trunc("week", "l_shipdate").alias("tstamp"), "l_quantity")
+    """Weekly quantity of each 20 suppliers: series whose variance is low against their mean, as many as the suppliers make."""
+    name = F.concat(F.lit("G"), F.lpad(F.floor(F.col("l_suppkey") / GROUP).cast("string"), 5, "0"))
+    t = table(spark, sf_dir, "lineitem").select(name.alias("secteur"), F.date_trunc("week", "l_shipdate").alias("tstamp"), "l_quantity")
     return t.groupBy("secteur", "tstamp").agg(F.sum("l_quantity").alias("trafic_mbps"))
 
 
-LOW_VARIANCE = """low_variance AS (
-  SELECT l_returnflag || l_linestatus AS secteur, date_trunc('week', l_shipdate)::TIMESTAMP AS tstamp, sum(l_quantity) AS trafic_mbps
+LOW_VARIANCE = f"""low_variance AS (
+  SELECT 'G' || lpad((l_suppkey // {GROUP})::VARCHAR, 5, '0') AS secteur, date_trunc('week', l_shipdate)::TIMESTAMP AS tstamp, sum(l_quantity) AS trafic_mbps
   FROM lineitem GROUP BY ALL)"""
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history as an export spells it: secteur, site, tstamp, trafic_mbps as texts in several spellings, by week number."""
     h = history(spark, sf_dir)
-    month = F.element_at(F.array(*[F.lit(m) for m in MONTH_LIST]), F.month("tstamp"))
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month("tstamp"))
     plain = F.translate(month, "éû", "eu")
     kind = F.col("week") % 8
     day, year = F.dayofmonth("tstamp").cast("string"), F.year("tstamp").cast("string")
     spelt = (
         F.when(kind == 0, F.concat(F.lit("lundi "), day, F.lit(" "), month, F.lit(" "), year))
         .when(kind == 1, F.concat(F.lit("  lundi  "), day, F.lit(" "), F.upper(month), F.lit(" "), year))
-        .when(kind == 2, F.concat(F.lit("lundi "), day, F.lit(" "), plain, F.lit(" "), year))
+        .when(kind == 2, F.concat(F.lit("lundi\u00a0"), day, F.lit("\u00a0"), plain, F.lit(" "), year))
         .when(kind == 3, F.concat(day, F.lit(" "), month, F.lit(" "), year))
         .when(kind == 4, F.concat(F.lit("lundi "), day, F.lit(" brumaire "), year))
         .when(kind == 5, F.date_format("tstamp", "yyyy-MM-dd HH:mm:ss"))
@@ -69,16 +74,16 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("secteur", "site", spelt.alias("tstamp"), value.alias("trafic_mbps"), "week", "row_seq")
 
 
-_MONTHS_SQL = "[" + ", ".join(f"'{m}'" for m in MONTH_LIST) + "]"
+MONTHS_SQL = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
 RAW = f"""raw AS (
   SELECT secteur, site, week, row_seq,
     CASE week % 8 WHEN 0 THEN 'lundi ' || d || ' ' || m || ' ' || y WHEN 1 THEN '  lundi  ' || d || ' ' || upper(m) || ' ' || y
-      WHEN 2 THEN 'lundi ' || d || ' ' || translate(m, 'éû', 'eu') || ' ' || y WHEN 3 THEN d || ' ' || m || ' ' || y
+      WHEN 2 THEN 'lundi\u00a0' || d || '\u00a0' || translate(m, 'éû', 'eu') || ' ' || y WHEN 3 THEN d || ' ' || m || ' ' || y
       WHEN 4 THEN 'lundi ' || d || ' brumaire ' || y WHEN 5 THEN strftime(t, '%Y-%m-%d %H:%M:%S') WHEN 6 THEN strftime(t, '%d/%m/%Y %H:%M')
       ELSE 'lundi 45 juin 2018' END AS tstamp,
     CASE week % 8 WHEN 1 THEN replace(n, '.', ',') || ' Mbps' WHEN 3 THEN ' ' || n || ' ' WHEN 5 THEN replace(n, '.', ',') WHEN 6 THEN 'abc'
       WHEN 7 THEN '1.' || replace(n, '.', ',') ELSE n END AS trafic_mbps
-  FROM (SELECT *, tstamp AS t, day(tstamp)::VARCHAR AS d, year(tstamp)::VARCHAR AS y, ({_MONTHS_SQL})[month(tstamp)] AS m, printf('%.2f', trafic_mbps / 4) AS n FROM history))"""
+  FROM (SELECT *, tstamp AS t, day(tstamp)::VARCHAR AS d, year(tstamp)::VARCHAR AS y, ({MONTHS_SQL})[month(tstamp)] AS m, printf('%.2f', trafic_mbps / 4) AS n FROM history))"""
 
 
 def instant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ SCHEMA = "sector string, site string, timestamps array<string>, context array<do
 
 
 def write_examples(df: DataFrame, path: str) -> None:
-    """One object a line; what is there already stays."""
+    """One object a line; what is there already stays. ValueError, and nothing written, if there is no example."""
+    if df.isEmpty():
+        raise ValueError("no series is long enough for an example")
     df.write.mode("ignore").json(path)
 
 

@@ -20,16 +20,24 @@ def normalize_dataset(name: str) -> str:
     return DATASETS[key]
 
 
-def build_reports(scored: DataFrame, num_samples: int = 32, stamp: str | None = None) -> DataFrame:
-    """dataset, and the report's fields: series sorted by sector within each report."""
+def build_reports(scored: DataFrame, num_samples: int = 32, stamp: str | None = None, most_series: int = 100_000) -> DataFrame:
+    """dataset, and the report's fields: series sorted by sector within each report.
+
+    A report of more than ``most_series`` series comes in several rows, each
+    with the figures of the whole and about so many of the series, so that no
+    row grows with the data.
+    """
     row = F.struct("sector", "site", "target", "prediction", "squared_error")
     when = F.lit(stamp) if stamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    grouped = scored.groupBy("dataset", "model_id").agg(F.count("*").cast("int").alias("num_series"), F.sqrt(F.avg("squared_error")).alias("rmse"), F.sort_array(F.collect_list(row)).alias("per_series"))
+    head = scored.groupBy("dataset", "model_id").agg(F.count("*").cast("int").alias("num_series"), F.sqrt(F.avg("squared_error")).alias("rmse"))
+    part = F.pmod(F.xxhash64("sector"), F.ceil(F.col("num_series") / most_series))
+    dealt = scored.join(head, ["dataset", "model_id"]).withColumn("_part", part)
+    grouped = dealt.groupBy("dataset", "model_id", "num_series", "rmse", "_part").agg(F.sort_array(F.collect_list(row)).alias("per_series"))
     return grouped.select("dataset", "model_id", when.alias("timestamp_utc"), "num_series", F.lit(num_samples).alias("num_samples"), "rmse", "per_series")
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON in a folder per dataset, one report a file."""
+    """JSON in a folder per dataset, one row of ``build_reports`` a file."""
     reports.write.mode(mode).option("maxRecordsPerFile", 1).partitionBy("dataset").json(path)
 
 
@@ -46,3 +54,8 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def write_summary(summary: DataFrame, path: str, mode: str = "error") -> None:
     """model_id, rmse, parameters as one CSV file: a row per model."""
     summary.select("model_id", "rmse", "parameters").coalesce(1).write.mode(mode).csv(path, header=True)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """model_id, rmse, parameters of a summary file."""
+    return spark.read.schema("model_id string, rmse double, parameters string").csv(path, header=True)

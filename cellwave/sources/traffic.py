@@ -22,6 +22,11 @@ def read_traffic_csv(spark: SparkSession, path: str, sep: str | None = None, enc
     return raw.withColumn("row_seq", place)
 
 
+def write_traffic_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "ISO-8859-1", mode: str = "error") -> None:
+    """Texts as an export has them, blanks at their ends included."""
+    df.write.mode(mode).options(sep=sep, header=True, encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 SLOT_COLUMNS = ["secteur", "site", "tstamp", "trafic_mbps", "dates_5min"]
 
 

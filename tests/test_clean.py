@@ -98,3 +98,9 @@ def test_slots_csv(spark, tmp_path):
     assert back.columns == files.SLOT_COLUMNS and back.count() == 7
     rows = {(r["secteur"], r["tstamp"]): r["dates_5min"] for r in back.collect()}
     assert rows["X001A", "06/08/2018"] == "01/01/2025 00:10"
+
+
+def test_no_break_spaces(spark):
+    given = ["lundi\u00a018 juin 2018", "\u202flundi 18\u202fjuin\u00a0 2018\u00a0", "lundi\u200918 juin 2018"]
+    assert column(spark, given, dates.french_date_to_iso)[:2] == ["2018-06-18"] * 2
+    assert [x and x.strftime("%Y-%m-%d") for x in column(spark, given, dates.parse_french_date)][:2] == ["2018-06-18"] * 2

@@ -38,7 +38,7 @@ def test_flagship(spark):
     assert rows and set(rows[0].asDict()) == {"dataset", "model_id", "rmse", "num_series"}
 
 
-def test_full_queries_use_the_whole_history(spark, tmp_path):
+def test_forecasts_use_the_whole_history(spark, tmp_path):
     import datetime
 
     first = datetime.datetime(2000, 1, 3)
@@ -46,18 +46,18 @@ def test_full_queries_use_the_whole_history(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     made = entry.queries()
     # 299 points before the last, in the order of the file, which mixes the weeks
-    points = made["mean_scale_full"](spark, str(tmp_path)).collect()
-    assert len(points) == 299 and made["mean_scale"](spark, str(tmp_path)).count() == 64
-    target = made["score_series_full"](spark, str(tmp_path)).first()["target"]
+    points = made["mean_scale"](spark, str(tmp_path)).collect()
+    assert len(points) == 299 and made["last_context"](spark, str(tmp_path)).count() == 64
+    target = made["score_series"](spark, str(tmp_path)).first()["target"]
     mean = (200 * 1000 + 100 - target) / 299
-    assert abs(made["forecast_mean_full"](spark, str(tmp_path)).first()["prediction"] - mean) < 1e-6
-    assert made["forecast_median_full"](spark, str(tmp_path)).first()["prediction"] == 1000
-    assert made["batch_forecast_full"](spark, str(tmp_path)).first()["value"] == 1000
-    got = {r["model_id"]: r["prediction"] for r in made["evaluate_models_full"](spark, str(tmp_path)).collect()}
+    assert abs(made["forecast_mean"](spark, str(tmp_path)).first()["prediction"] - mean) < 1e-6
+    assert made["forecast_median"](spark, str(tmp_path)).first()["prediction"] == 1000
+    assert made["batch_forecast"](spark, str(tmp_path)).first()["value"] == 1000
+    got = {r["model_id"]: r["prediction"] for r in made["evaluate_models"](spark, str(tmp_path)).collect()}
     assert abs(got["mean"] - mean) < 1e-6 and got["median"] == 1000
 
 
-def test_full_queries_use_whole_event_tables(spark, tmp_path):
+def test_event_queries_use_whole_tables(spark, tmp_path):
     import datetime
 
     day = datetime.datetime(2025, 1, 3)
@@ -66,10 +66,8 @@ def test_full_queries_use_whole_event_tables(spark, tmp_path):
     rows += [(14 * 32 + 5, 3, "view", day, 2.0), (14 * 32 + 21, 3, "view", day, 6.0)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
     made = entry.queries()
-    assert [r["secteur"] for r in made["unaligned_sectors"](spark, str(tmp_path)).collect()] == ["1"]
-    assert made["unaligned_sectors_full"](spark, str(tmp_path)).count() == 0
-    for name, mean in (("point_mean_outputs", 2.0), ("point_mean_outputs_full", 4.0)):
-        assert {r["prediction"] for r in made[name](spark, str(tmp_path)).collect() if r["sector"] == 3} == {mean}
+    assert made["unaligned_sectors"](spark, str(tmp_path)).count() == 0
+    assert {r["prediction"] for r in made["point_mean_outputs"](spark, str(tmp_path)).collect() if r["sector"] == 3} == {4.0}
 
 
 def test_unaligned_sectors_are_named(spark):

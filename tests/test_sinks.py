@@ -1,8 +1,10 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cellwave.operators import compare, score, sectors
+from cellwave.operators import compare, score, sectors, series
 from cellwave.plans import jobs
-from cellwave.sources import reports, traffic as files
+from cellwave.sources import examples, reports, traffic as files
 from tests.test_traffic import history
 
 
@@ -30,6 +32,34 @@ def test_slots_to_instant_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).count() == 2 * 4 * 300
 
 
+def test_no_examples_are_an_error(spark, tmp_path):
+    empty = history(spark, 1, 3).limit(0)
+    df = empty.withColumnRenamed("secteur", "sector").withColumn("timestamp_iso", F.lit("x")).withColumn("row_seq", F.lit(1))
+    with pytest.raises(ValueError):
+        examples.write_examples(series.build_examples(df), str(tmp_path / "e"))
+    assert not (tmp_path / "e").exists()
+
+
+def test_large_reports_come_in_parts(spark, tmp_path):
+    rows = [("original", m, f"s{i}", "x", 1.0, 1.0 + i, float(i * i)) for m in "ab" for i in range(50)]
+    scored = spark.createDataFrame(rows, "dataset string, model_id string, sector string, site string, target double, prediction double, squared_error double")
+    made = reports.build_reports(scored, stamp="t", most_series=10)
+    assert made.count() > 6 and {r["num_series"] for r in made.collect()} == {50}
+    reports.write_reports(made, str(tmp_path / "r"))
+    back = reports.read_reports(spark, str(tmp_path / "r"))
+    assert back.count() == 100 and back.select("rmse").distinct().count() == 1 and {r["dataset"] for r in back.collect()} == {"original"}
+    assert reports.build_reports(scored, stamp="t").count() == 2
+
+
+def test_own_forecasters(spark):
+    rows = [("a", "x", [1.0, 2.0, 3.0], 5.0), ("b", "x", [4.0], 4.0)]
+    df = spark.createDataFrame(rows, "sector string, site string, context array<double>, target double")
+    loaded = lambda: lambda contexts, samples, seed: np.array([[c.sum(), c.max()] for c in contexts])
+    got = {(r["model_id"], r["sector"]): (r["prediction"], r["squared_error"]) for r in score.evaluate_forecasters(df, {"own": loaded, "last": "last"}).collect()}
+    assert got == {("own", "a"): (4.5, 0.25), ("own", "b"): (4.0, 0.0), ("last", "a"): (3.0, 4.0), ("last", "b"): (4.0, 0.0)}
+    assert {r["model_id"] for r in jobs.evaluate(df, {"own": loaded}).collect()} == {"own"}
+
+
 def test_gaps_are_filled(spark):
     rows = [("a", "2025-01-01 00:01:00", 1.0), ("a", "2025-01-01 00:21:00", 2.0), ("a", "2025-01-01 00:22:00", None), ("b", "2025-01-01 00:00:00", None)]
     df = spark.createDataFrame(rows, "secteur string, timestamp string, psi_instant double").withColumn("timestamp", F.to_timestamp("timestamp"))
