@@ -1,7 +1,10 @@
 """TIFF as media columns: files of grey or multi-sample pages, written and read.
 
 The reader walks the image directories, decodes PackBits, LZW or deflate strips
-and tiles, undoes the horizontal predictor and gives one row per page.
+and tiles, undoes the horizontal predictor and gives one row per page. Samples
+of 8 or 16 bits, interleaved, are read; bits 1 and 4, planes of their own, the
+floating-point predictor and other compressions give an error row. Sizes that
+a file states are held against the file before anything is made of them.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cellwave.llm.arrow import steps
+from cellwave.llm.arrow import STEP_BYTES, steps
 
 #: Fixed values of the TIFF 6.0 format: compression schemes, tags and the bytes of its field types.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -25,6 +29,12 @@ TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 FIELD_BYTES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 CLEAR, END = 256, 257
 
+#: Bytes, at most, that a byte of a coded strip stands for: deflate's and PackBits' longest matches, LZW's longest entries.
+GROWTH = {NONE: 1, PACKBITS: 64, DEFLATE: 1040, OLD_DEFLATE: 1040, LZW: 2731}
+
+#: Bytes of a page's samples, at most; a larger page is an error row.
+PAGE_BYTES = 1 << 28
+
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"
 
 
@@ -171,7 +181,7 @@ def unpack(data: bytes, compression: int, most: int) -> bytes:
         return packbits_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, most)
         except zlib.error as e:
             raise TiffError(str(e)) from None
     raise TiffError(f"compression {compression} is not supported")
@@ -254,23 +264,34 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         raise TiffError("the file ends early") from None
 
 
-def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
+def read_page(data: bytes, order: str, fields: dict[int, tuple], most: int = PAGE_BYTES) -> dict:
     def one(tag: int, default: int | None = None) -> int:
-        if tag not in fields and default is None:
+        found = fields.get(tag) or (() if default is None else (default,))
+        if not found:
             raise TiffError(f"tag {tag} is missing")
-        return fields.get(tag, (default,))[0]
+        return found[0]
 
     w, h, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if bits not in (8, 16) or one(PLANAR, 1) != 1 or predictor not in (1, 2):
+    if bits not in (8, 16) or set(fields.get(BITS, ())) > {bits} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
         raise TiffError("only interleaved samples of 8 or 16 bits, plain or with the horizontal predictor, are supported")
+    if compression not in GROWTH:
+        raise TiffError(f"compression {compression} is not supported")
     kind = np.dtype(f"{order}u{bits // 8}")
     tiled = TILE_OFFSETS in fields
     bw, bl = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (w, min(h, one(ROWS_PER_STRIP, h)))
+    if min(w, h, samples, bw, bl) < 1:
+        raise TiffError("a page without samples")
     offsets, counts = (fields.get(t, ()) for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
-    places = [(y, x) for y in range(0, h, bl or 1) for x in range(0, w, bw or 1)]
-    if len(offsets) < len(places) or len(counts) < len(places):
+    blocks = -(-h // bl) * -(-w // bw)
+    if len(offsets) < blocks or len(counts) < blocks:
         raise TiffError("strips or tiles are missing")
+    stored = blocks * bl * bw * samples * kind.itemsize if tiled else h * w * samples * kind.itemsize
+    if stored > GROWTH[compression] * sum(min(c, len(data)) for c in counts[:blocks]):
+        raise TiffError("the page is larger than its strips or tiles can hold")
+    if stored > most:
+        raise TiffError(f"the page is larger than {most} bytes")
+    places = [(y, x) for y in range(0, h, bl) for x in range(0, w, bw)]
     page = np.zeros((h, w, samples), kind)
     for (y, x), offset, count in zip(places, offsets, counts):
         rows = bl if tiled else min(bl, h - y)
@@ -286,53 +307,72 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
 
 
 def read_tiff(data: bytes) -> Iterator[dict]:
-    """Pages in file order. A fault ends the file with a page that holds only ``error``."""
+    """Pages in file order. A page that cannot be read has only ``error``, and so has a fault of the directories, which ends the file."""
+
+    def failed(number: int, e: TiffError) -> dict:
+        return {"page": number, "width": None, "height": None, "samples": None, "bits": None, "compression": None, "pixels": None, "error": str(e)}
+
     number = 0
     try:
         for order, fields in directories(data):
-            yield {"page": number, **read_page(data, order, fields), "error": None}
+            try:
+                page = {"page": number, **read_page(data, order, fields), "error": None}
+            except TiffError as e:
+                page = failed(number, e)
+            yield page
             number += 1
     except TiffError as e:
-        yield {"page": number, "width": None, "height": None, "samples": None, "bits": None, "compression": None, "pixels": None, "error": str(e)}
+        yield failed(number, e)
 
 
 def tiff_pages(df: DataFrame, media: str = "media", fold: Callable[[bytes, Iterator[dict]], dict] | None = None, fold_schema: str = "", keep: list[str] | None = None) -> DataFrame:
     """One row per page of the files in column ``media``: the columns ``keep`` and those of PAGE_SCHEMA.
 
     Pixels are the samples of a page row by row, little-endian. A null file has
-    no pages and no row; an empty or broken one has a row with ``error`` where
-    its first fault is. With ``fold``, a function of the file and its pages,
-    each file that is not null gives the one row the function makes of its
-    pages, so that pages need not be shuffled to meet again. Rows are
-    independent of each other; a file is held in memory with one page at a time.
+    no pages and no row; a page that is broken or not supported has a row with
+    ``error``, and the pages after it are read; an empty file or one whose
+    directories are broken has such a row where the fault is. With ``fold``, a
+    function of the file and its pages, each file that is not null gives the one
+    row the function makes of its pages, so that pages need not be shuffled to
+    meet again. Rows are independent of each other, repeated ones too; a file is
+    held in memory with one page at a time. ``keep`` must not hold the names of
+    the columns returned; an empty table gives no rows.
     """
     keep = keep or []
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) if keep else ""
-    schema = ", ".join(x for x in (kept, fold_schema if fold else PAGE_SCHEMA) if x)
-    names = [x.split()[0] for x in (fold_schema if fold else PAGE_SCHEMA).split(", ")]
+    fields = [x.split() for x in (fold_schema if fold else PAGE_SCHEMA).split(", ")]
+    names, types = [x[0] for x in fields], [arrow_type(x[1]) for x in fields]
+    if set(keep) & set(names):
+        raise ValueError(f"names that are returned cannot be kept: {sorted(set(keep) & set(names))}")
+    n, kept = len(keep), [f"_{i}" for i in range(len(keep))]
+    picked = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], F.col(media).alias("media"))
+    schema = "".join(f"`{k}` {picked.schema[k].dataType.simpleString()}, " for k in kept) + (fold_schema if fold else PAGE_SCHEMA)
+
+    def told(file: bytes) -> Iterator[dict]:
+        return iter([fold(file, read_tiff(file))]) if fold else read_tiff(file)
+
+    def rows(batch: pa.RecordBatch, at: list[int], made: list[dict]) -> pa.RecordBatch:
+        left = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(n)]
+        return pa.RecordBatch.from_arrays(left + [pa.array([p[x] for p in made], t) for x, t in zip(names, types)], names=kept + names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_schema = None
-        for batch in steps(batches, media):
-            files = batch.column(len(keep))
-            made, rows = [], []
-            for i, file in enumerate(files):
-                data = file.as_py()
-                if data is not None:
-                    for page in [fold(data, read_tiff(data))] if fold else read_tiff(data):
-                        made.append(page)
-                        rows.append(i)
-            if out_schema is None:
-                out_schema = [arrow_type(x) for x in (fold_schema if fold else PAGE_SCHEMA).split(", ")]
-            left = [batch.column(j).take(pa.array(rows, pa.int64())) for j in range(len(keep))]
-            right = [pa.array([p[n] for p in made], t) for n, t in zip(names, out_schema)]
-            yield pa.RecordBatch.from_arrays(left + right, names=keep + names)
+        for batch in steps(batches, "media"):
+            made, at, size = [], [], 0
+            for i, file in enumerate(batch.column(n)):
+                for page in told(data) if (data := file.as_py()) is not None else ():
+                    made.append(page)
+                    at.append(i)
+                    size += len(page.get("pixels") or b"")
+                    if size > STEP_BYTES:
+                        yield rows(batch, at, made)
+                        made, at, size = [], [], 0
+            if made:
+                yield rows(batch, at, made)
 
-    return df.select(*keep, media).mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], *names)
 
 
-def arrow_type(field: str) -> pa.DataType:
-    return {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[field.split()[1]]
+def arrow_type(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[kind]
 
 
 #: A payload's unit of bytes, the side of the first page, and the most rows of the others.
@@ -345,25 +385,26 @@ def payload(text: bytes) -> bytes:
 
 
 def payload_tiff(data: bytes) -> bytes:
-    """A payload as pages: the first SIDE x SIDE in LZW strips, then pages of UNIT columns, in deflate tiles and PackBits strips by turns."""
+    """A payload as pages: the first SIDE x SIDE in LZW strips, then pages of UNIT columns: deflate tiles, PackBits strips, deflate tiles and one LZW strip by turns."""
     samples = np.frombuffer(data, np.uint8)
     pages = [{"pixels": samples[:UNIT].reshape(SIDE, SIDE), "compression": LZW, "predictor": 2, "rows": 8}]
     for k, start in enumerate(range(UNIT, len(samples), UNIT * ROWS)):
         pixels = samples[start : start + UNIT * ROWS].reshape(-1, UNIT)
-        pages.append({"pixels": pixels, "compression": DEFLATE, "predictor": 2, "tile": (192, 16)} if k % 2 == 0 else {"pixels": pixels, "compression": PACKBITS, "rows": 16})
+        if k % 2 == 0:
+            pages.append({"pixels": pixels, "compression": DEFLATE, "predictor": 2, "tile": (192, 16)})
+        else:
+            pages.append({"pixels": pixels, "compression": PACKBITS, "rows": 16} if k % 4 == 1 else {"pixels": pixels, "compression": LZW, "rows": ROWS})
     return write_tiff(pages)
 
 
 def texts_to_tiff(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text (null: empty) as a TIFF file of its payload."""
+    """doc_id, n_bytes, media: each text (null: empty) as a TIFF file of its payload; rows are independent of each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             raw = [b"" if t is None else t.encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([payload_tiff(payload(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    from pyspark.sql import functions as F
-
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
