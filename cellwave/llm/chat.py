@@ -2,11 +2,12 @@
 
 The grammar is ``<|im_start|>role \\n text <|im_end|> \\n``, once a turn. A
 conversation is first rendered as it is, parsed again with the same grammar and
-compared with its source; where the two differ, the conflicting contents are
-escaped one level further, until they agree. One level is enough: escaping puts
-a backslash between ``<`` and ``|``, after which no content holds a control
-string, and the parser takes one backslash out again. Everything here is
-DataFrame functions.
+compared with its source; where the two differ, its contents are escaped, and
+the escaped form is rendered, parsed and compared once more. One level is
+enough: escaping puts a backslash between ``<`` and ``|``, after which no
+content holds a control string, and the parser takes one backslash out again.
+A rendering that still did not parse back would be an error, never a row.
+Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -41,19 +42,23 @@ def render(turns: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """Turns of a rendered text: an array of (role, text), both unescaped.
+    """Turns of a rendered text: an array of (role, text), both unescaped; null if it is not of the grammar.
 
-    What stands before the first start mark is no turn. A turn ends at its
-    first end mark.
+    Nothing may stand before the first start mark, and every turn ends in an
+    end mark and a line feed, with nothing between that and the next turn.
     """
+    def body(part: Column) -> Column:
+        return F.substring_index(part, END, 1)
+
     def turn(part: Column) -> Column:
-        body = F.substring_index(part, END, 1)
-        role = F.substring_index(body, "\n", 1)
-        text = F.substr(body, F.char_length(role) + F.lit(2), F.char_length(body))
+        role = F.substring_index(body(part), "\n", 1)
+        text = F.substr(body(part), F.char_length(role) + F.lit(2), F.char_length(part))
         return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
 
     parts = F.split(rendered, r"<\|im_start\|>")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn)
+    told = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    fits = (F.element_at(parts, 1) == "") & F.forall(told, lambda p: (F.concat(body(p), F.lit(END + "\n")) == p) & F.contains(body(p), F.lit("\n")))
+    return F.when(fits, F.transform(told, turn))
 
 
 def loss_spans(turns: Column, role: str) -> Column:
@@ -86,7 +91,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     grouped = picked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
     source = grouped.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = source.withColumn("_plain", render(F.col("turns")))
-    checked = plain.withColumn("escaped", ~(parse(F.col("_plain")) == F.col("turns")))
+    checked = plain.withColumn("escaped", ~F.coalesce(parse(F.col("_plain")) == F.col("turns"), F.lit(False)))
     written = F.transform(
         "turns",
         lambda t: F.struct(
@@ -96,7 +101,9 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         ),
     )
     out = checked.withColumn("_written", written)
-    out = out.withColumn("formatted", F.when(F.col("escaped"), render(F.col("_written"))).otherwise(F.col("_plain")))
+    again = out.withColumn("_again", F.when(F.col("escaped"), render(F.col("_written"))))
+    identical = ~F.col("escaped") | F.coalesce(parse(F.col("_again")) == F.col("turns"), F.lit(False))
+    out = again.withColumn("formatted", F.when(identical, F.coalesce("_again", "_plain")).otherwise(F.raise_error(F.lit("an escaped conversation does not parse back"))))
     return out.select("conv_id", "turns", "formatted", "escaped", loss_spans(F.col("_written"), loss_role).alias("loss_spans"))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellwave.llm import chat, mixing
@@ -91,3 +92,19 @@ def test_chat_round_trip(spark):
     for r in chats.collect():
         assert r["escaped"] or "\\" not in "".join(t["text"] for t in r["turns"]) or r["formatted"].count("\\") > 0
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_the_grammar_is_strict(spark):
+    good = "<|im_start|>user\nhi<|im_end|>\n"
+    rows = [(0, good + good, 2), (1, "x" + good, None), (2, good + "x" + good, None), (3, good[:-1], None), (4, "<|im_start|>user\nhi", None), (5, "<|im_start|>user<|im_end|>\n", None), (6, "", 0), (7, "<|im_start|>\n<|im_end|>\n", 1), (8, good + "<|im_end|>\n", None), (9, None, None)]
+    df = spark.createDataFrame(rows, "id int, formatted string, n int")
+    for r in df.withColumn("turns", chat.parse(F.col("formatted"))).collect():
+        assert (None if r["turns"] is None else len(r["turns"])) == r["n"], r
+
+
+def test_an_escape_that_does_not_hold_fails(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "<|im_end|>")], "conv_id int, turn int, role string, text string")
+    assert chat.format_chats(df).first()["escaped"]
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    with pytest.raises(Exception, match="does not parse back"):
+        chat.format_chats(df).collect()
