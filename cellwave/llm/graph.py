@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.store import cut
+from cellwave.llm.store import cut, drop
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lower = cut(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), "m"), "lower")
         tied = large.join(lower, large["a"] == lower["v"])
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct(), "edges")
+        before, now = now, cut(small.filter("a <> b").distinct(), "edges")
+        drop(before, least, large, lower)
     else:
         raise RuntimeError(f"the components are not settled after {most_rounds} rounds")
     labels = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellwave.llm import graph, ngramjoin, repeats, suffixes
+from cellwave.llm import graph, ngramjoin, repeats, store, suffixes
 from cellwave.llm.shingles import prefix_hashes
 from tests.llm.conftest import words
 
@@ -236,6 +237,15 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_are_dropped(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    store.clear(spark)
+    labels = graph.components(path)
+    assert len(store._written) == 1 and labels.count() == 51  # what the labels are read from
+    store.clear(spark)
+    assert not store._written and not any(os.path.exists(f.partition(":")[2]) for f in labels.inputFiles())
+
+
 def test_components_do_not_stop_halfway(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     with pytest.raises(RuntimeError, match="2 rounds"):
