@@ -8,8 +8,10 @@ at a seeded block and going round.
 
 Everything is DataFrame work. A source is spread over as many shards as its
 words ask for, so a source with a third of all rows is many groups. The only
-windows without a partition key run over one row per source, or over
-``max_shards`` rows per source.
+windows without a partition key run over one row per source, four numbers and a
+name, which one task takes for some millions of sources; and one group of a
+window holds the shards of a source, ``max_shards`` rows at most: above 10 ** 11
+words a source, shards get larger instead of more.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return gained.withColumn(out, F.col("_low") + F.col("_won")).select(*parties.columns, out)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, block_words: int = 16, shard_words: int = 1 << 17, max_shards: int = 4096, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, block_words: int = 16, shard_words: int = 1 << 17, max_shards: int = 1 << 20, seed: str = "mix") -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
     Returns doc_id, source_no, size, source_size, target and taken. Null text

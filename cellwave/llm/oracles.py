@@ -42,7 +42,7 @@ WITH sizes AS (
 ), {_sainte_lague('seated', 'everything', 'source_no', 'target', 'seats', 'blocks', 'src')},
 placed AS (
   SELECT s.doc_id, s.size, f.source_no, f.source_size, f.target, f.blocks,
-         {_hash("'mix-shard'", 's.doc_id::VARCHAR')} % least(4096, greatest(1, ceil(f.source_size / 131072)))::BIGINT AS shard
+         {_hash("'mix-shard'", 's.doc_id::VARCHAR')} % least(1048576, greatest(1, ceil(f.source_size / 131072)))::BIGINT AS shard
   FROM sizes s JOIN src f ON s.source IS NOT DISTINCT FROM f.source
 ), shards AS (
   SELECT source_no, shard, blocks, sum(size)::BIGINT AS shard_size FROM placed GROUP BY ALL
