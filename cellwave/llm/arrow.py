@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Text bytes that one step of a mapping handles at a time, so that memory stays bounded for any batch.
 STEP_BYTES = 1 << 20
@@ -59,3 +61,19 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def map_column(df: DataFrame, keep: list[str], column: Column, fields: list[tuple[str, str]], make: Callable[[pa.Array], list], most: int = STEP_BYTES) -> DataFrame:
+    """The columns ``keep``, whatever their names, and ``fields`` (name, type), which ``make`` makes from each step of ``column``.
+
+    ``column`` is text or binary. ``keep`` must not hold the names of the fields.
+    """
+    n, kept = len(keep), [f"_{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], column.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, most=most):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *make(batch.column(n))], names=[*kept, *[name for name, _ in fields]])
+
+    schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in kept] + [f"{name} {kind}" for name, kind in fields])
+    return rows.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], *[name for name, _ in fields])

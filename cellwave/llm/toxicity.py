@@ -1,10 +1,11 @@
 """Toxicity by a classifier whose score must not turn on identity terms.
 
 A logistic model on the words of a text and the beginnings of its words. Next
-to the loss on the labels it pays for every labelled text whose score changes
-when its identity terms are swapped for their counterparts (counterfactual
-regularisation), so that a neutral mention of a group is no reason for a high
-score. Labels are learned from a bounded sample; every text is scored whole.
+to the loss on the labels it pays for every sentence of a labelled text whose
+score changes when the identity terms in it are swapped for their counterparts
+(counterfactual regularisation), so that a neutral mention of a group is no
+reason for a high score. Labels are learned from a bounded sample; every text
+is scored whole.
 """
 
 from __future__ import annotations
@@ -19,22 +20,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.arrow import steps
+from cellwave.llm.arrow import map_column, steps
 from cellwave.llm.langid import fold_of
 from cellwave.llm.store import cut
 
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Identity terms and their counterparts; a swap goes both ways.
+#: Identity terms and their counterparts, in English, French, German and Spanish; a swap goes both ways.
 IDENTITY_PAIRS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("she", "he"), ("gay", "straight"), ("lesbian", "heterosexual"), ("transgender", "cisgender"),
     ("muslim", "christian"), ("muslims", "christians"), ("jewish", "catholic"), ("jews", "catholics"), ("black", "white"), ("african", "european"), ("asian", "american"),
     ("mexican", "canadian"), ("immigrant", "native"), ("immigrants", "natives"), ("disabled", "able"), ("old", "young"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("elle", "il"), ("elles", "ils"), ("musulman", "chrétien"), ("musulmans", "chrétiens"), ("juif", "catholique"), ("juifs", "catholiques"),
+    ("noir", "blanc"), ("noirs", "blancs"), ("africain", "européen"), ("africains", "européens"), ("immigrés", "natifs"), ("vieux", "jeune"), ("lesbienne", "hétérosexuelle"), ("handicapé", "valide"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("sie", "er"), ("weiblich", "männlich"), ("muslime", "christen"), ("juden", "katholiken"), ("schwarze", "weiße"), ("schwarzer", "weißer"),
+    ("afrikaner", "europäer"), ("einwanderer", "einheimische"), ("behinderte", "gesunde"), ("alte", "junge"), ("lesbisch", "heterosexuell"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("ella", "él"), ("ellas", "ellos"), ("musulmanes", "cristianos"), ("musulmán", "cristiano"), ("judíos", "católicos"), ("judío", "católico"),
+    ("negros", "blancos"), ("negro", "blanco"), ("africanos", "europeos"), ("inmigrantes", "nativos"), ("viejos", "jóvenes"), ("lesbiana", "heterosexuales"), ("discapacitados", "sanos"),
 )
 
+#: Where a sentence ends.
+SENTENCE = re.compile(r"[.!?\n]+")
+
 
 def swaps(pairs: tuple[tuple[str, str], ...]) -> dict[str, str]:
-    return {a: b for x, y in pairs for a, b in ((x, y), (y, x))}
+    out = {a: b for x, y in pairs for a, b in ((x, y), (y, x))}
+    if len(out) != 2 * len(pairs):
+        raise ValueError("a term has two counterparts")
+    return out
 
 
 @dataclass(frozen=True)
@@ -60,19 +73,25 @@ def features(text: str) -> list[str]:
     return sorted(words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS)))
 
 
-def swapped(found: list[str], swap: dict[str, str]) -> list[str] | None:
-    """Features of the text with its identity terms swapped; None if it has none."""
-    has = {w for w in found if w in swap}
-    if not has:
-        return None
-    words = {w for w in found if not w.endswith("*")}
-    now = (words - has) | {swap[w] for w in has}
-    stems = {f for f in found if f.endswith("*")} - {w[:n] + "*" for w in has for n in STEMS if len(w) > n}
-    return sorted(now | stems | {w[:n] + "*" for w in now for n in STEMS if len(w) > n and (w in swap)})
+def swapped(text: str, swap: dict[str, str]) -> Counter:
+    """What swapping does to the sentences of a text: how often (features lost, features gained) occurs; sentences without identity terms have none."""
+    out: Counter = Counter()
+    for sentence in SENTENCE.split(text.lower()):
+        if any(w in swap for w in WORD.findall(sentence)):
+            own = set(features(sentence))
+            other = set(features(WORD.sub(lambda m: swap.get(m[0], m[0]), sentence)))
+            out[tuple(sorted(own - other)), tuple(sorted(other - own))] += 1
+    return out
+
 
+def train(rows: list[tuple[list[int], list[tuple[list[int], list[int], int]], int, float]], n_features: int, ridge: float = 1.0, fairness: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and constant by accelerated gradient steps, from rows of (features, swaps, label, weight).
 
-def train(rows: list[tuple[list[int], list[int] | None, int, float]], n_features: int, ridge: float = 1.0, fairness: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and constant from rows of (features, swapped features or None, label, weight), by accelerated gradient steps."""
+    ``swaps`` are (features lost, features gained, how often) by the sentences
+    of the row. The loss is the weighted mean of the logistic losses, half the
+    ridge times the squared weights over the rows, and ``fairness`` times the
+    weighted mean of the squared changes of score.
+    """
     y = np.array([r[2] for r in rows], np.float64)
     wt = np.array([r[3] for r in rows], np.float64)
     wt /= wt.sum()
@@ -81,10 +100,11 @@ def train(rows: list[tuple[list[int], list[int] | None, int, float]], n_features
         return np.fromiter((i for x in lists for i in x), np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
     cols, owner = sparse([r[0] for r in rows])
-    pairs = [i for i, r in enumerate(rows) if r[1] is not None]
-    a_cols, a_owner = sparse([rows[i][0] for i in pairs])
-    b_cols, b_owner = sparse([rows[i][1] for i in pairs])
-    m, pw = len(pairs), (wt[pairs] / wt[pairs].sum() if pairs else np.zeros(0))
+    pairs = [(lost, gained, wt[i] * n) for i, r in enumerate(rows) for lost, gained, n in r[1]]
+    a_cols, a_owner = sparse([x[0] for x in pairs])
+    b_cols, b_owner = sparse([x[1] for x in pairs])
+    m, pw = len(pairs), np.array([x[2] for x in pairs], np.float64)
+    pw /= pw.sum() if m else 1.0
     base = float(np.clip(wt @ y, 1e-6, 1 - 1e-6))
     w, c = np.zeros(n_features), np.log(base / (1 - base))
     step_w, step_c = np.zeros(n_features), 0.0
@@ -111,7 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_featur
     """Fits on at most ``sample_rows`` labelled rows of either class, the first by a hash of their ids.
 
     ``docs`` has doc_id and text; ``labels`` doc_id and toxic, 0 or 1. An id
-    labelled both ways counts as toxic; null labels are left out. The ids of
+    labelled both ways counts as toxic; null labels are left out. Without
+    labels of one of the classes, or without their documents, the model is a
+    constant: 0 where nothing is labelled toxic, 1 where all is. The ids of
     the sample are the only thing that is broadcast, the sample's features of
     the ``n_features`` most telling ones the only thing that reaches the driver.
     """
@@ -144,18 +166,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_featur
     index = {f: i for i, f in enumerate(sorted(chosen | set(swap)))}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda found: [index[f] for f in found if f in index]
+        change = pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32())), ("n", pa.int64())])
         for batch in steps(batches):
-            own, other = [], []
-            for t in batch.column(1).to_pylist():
-                found = features(t or "")
-                changed = swapped(found, swap)
-                own.append([index[f] for f in found if f in index])
-                other.append(None if changed is None else [index[f] for f in changed if f in index])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "own", "other"])
-
-    rows = sample.mapInArrow(extract, "toxic int, own array<int>, other array<int>").collect()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            changed = [[{"lost": numbers(lost), "gained": numbers(gained), "n": n} for (lost, gained), n in sorted(swapped(t, swap).items())] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([numbers(features(t)) for t in texts], pa.list_(pa.int32())), pa.array(changed, pa.list_(change))], names=["toxic", "own", "swaps"])
+
+    rows = sample.mapInArrow(extract, "toxic int, own array<int>, swaps array<struct<lost: array<int>, gained: array<int>, n: long>>").collect()
     share = {y: totals[y] / seen[y] for y in (0, 1)}
-    rows = sorted(((list(r["own"]), r["other"] and list(r["other"]), r["toxic"], share[r["toxic"]]) for r in rows), key=repr)
+    rows = sorted(((list(r["own"]), [(list(x["lost"]), list(x["gained"]), x["n"]) for x in r["swaps"]], r["toxic"], share[r["toxic"]]) for r in rows), key=repr)
     if not rows:
         return Model({}, -30.0)
     w, c = train(rows, len(index), fairness=fairness)
@@ -163,16 +183,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_featur
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and score (0 to 1) of every row; a null text counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "_text"):
-            scores = pa.array([model.score(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, "score"])
+    """The columns ``keep`` and score (0 to 1) of every row; a null text counts as empty. ``keep`` must not hold score."""
+    def scored(texts: pa.Array) -> list:
+        return [pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())]
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return map_column(docs, keep, F.coalesce(F.col(text), F.lit("")), [("score", "double")], scored)
 
 
 def held_out(id_col: Column) -> Column:
