@@ -61,11 +61,11 @@ def text_vector(text: str, dims: int, seed: int) -> np.ndarray | None:
 
 
 def fit(docs: DataFrame, text: str, lang: str, order, sample_rows: int, dims: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes (unit vectors, less what is common to all) from at most ``sample_rows`` rows, the first by ``order``."""
-    sample = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select("_key", F.col(lang).alias("lang"), F.col(text).alias("text"))
-    n = sample.count()
-    share = min(1.0, sample_rows / max(1, n))
-    sample = sample.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text")
+    """Languages and their prototypes (unit vectors) from at most about ``sample_rows`` rows of each language, the first by ``order``."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(order, F.lit(1 << 30)).alias("place"))
+    share = known.groupBy("lang").agg((F.lit(float(sample_rows << 30)) / F.count("*")).alias("upto"))
+    # one row a language: less than the model itself
+    sample = known.join(F.broadcast(share), "lang").filter(F.col("place") < F.col("upto")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -85,15 +85,16 @@ def fit(docs: DataFrame, text: str, lang: str, order, sample_rows: int, dims: in
     return names, proto
 
 
-def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 20_000, dims: int = 512, seed: int = 11) -> DataFrame:
+def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 5_000, dims: int = 512, seed: int = 11) -> DataFrame:
     """Returns doc_id, lang_pred and score (0 to 1: the cosine, halved and shifted).
 
-    Prototypes are fitted on at most about ``sample_rows`` of the rows that
-    ``learn_from`` allows and whose language is known, picked by a hash of the
-    id; all rows are predicted, from their whole texts alone. A null text, a
+    Prototypes are fitted on at most about ``sample_rows`` rows of each
+    language, of those that ``learn_from`` allows, picked by a hash of the id,
+    so that a rare language is learned like any other; all rows are predicted, from their whole texts alone. A null text, a
     text without letters, and any text where no language could be learned get
     ``und`` and score 0. Equal cosines go to the first language by name. The
-    model sent to the tasks is ``dims`` numbers per language.
+    model sent to the tasks is ``dims`` numbers per language. Repeated rows are
+    rows like others, and an empty table gives no rows.
     """
     picked = docs.select(F.col(id_col).alias("_key"), text, lang, learn_from.alias("_learn"))
     names, proto = fit(picked.filter("_learn"), text, lang, F.xxhash64(F.lit(seed), "_key"), sample_rows, dims, seed)
