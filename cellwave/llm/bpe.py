@@ -3,7 +3,8 @@
 The corpus's most frequent words, with the ids they encode to, are compiled
 into a minimal acyclic automaton whose equal suffixes are shared and whose arcs
 carry numbers that add up to a word's place in the id table. The automaton is a
-few flat arrays, which every worker maps into memory from one file. The words
+few flat arrays of bounded size, which every worker maps into memory from an
+unnamed file of its own, filled from a broadcast. The words
 of a batch walk it together; a word that is not in it is merged by the
 tokenizer's rules, exactly. Words come from the tokenizer's own splitting
 pattern, so the ids are those of the tokenizer.
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.arrow import steps
+from cellwave.llm.arrow import map_column, steps
 from cellwave.llm.store import cut
 
 #: The splitting pattern of byte-level BPE (fixed value).
@@ -53,12 +54,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def check_kind(spec: dict) -> None:
+    """Raises unless a tokenizer file is one whose rules are known here: byte-level BPE with the usual splitting pattern and plain added tokens."""
+    model, split, added = spec["model"], spec.get("pre_tokenizer") or {}, spec["added_tokens"]
+    unlike = [
+        *(f"model {k} {model[k]!r}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)),
+        *([f"model type {model.get('type')!r}"] if model.get("type", "BPE") != "BPE" else []),
+        *([f"normalizer {spec['normalizer']!r}"] if spec.get("normalizer") else []),
+        *([f"pre_tokenizer {split!r}"] if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) else []),
+        *(f"added token {t['content']!r}" for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))),
+        *([f"decoder {spec['decoder']!r}"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []),
+    ]
+    if unlike:
+        raise ValueError("this tokenizer is not supported: " + "; ".join(unlike))
+
+
 class Merger:
     """A tokenizer file's vocabulary and merge rules."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         byte_of = {c: b for b, c in letters.items()}
@@ -335,75 +352,69 @@ def worker_coder(path: str, packed: bytes) -> Coder:
     return _coders[key]
 
 
-def _map(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str, schema: str, make) -> DataFrame:
+def _map(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str, fields: list[tuple[str, str]], make) -> DataFrame:
     """``make`` maps (coder, texts) to columns; the lexicon, of bounded size, is broadcast."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(packed)
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_coder(path, shared.value)
-        for batch in steps(batches, "_text", WORDS_STEP):
-            made = make(coder, batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made.values()], names=[*keep, *made])
+    def made(texts: pa.Array) -> list:
+        return make(worker_coder(path, shared.value), texts.to_pylist())
 
-    return rows.mapInArrow(run, kept + schema)
+    return map_column(docs, keep, F.coalesce(F.col(text), F.lit("")), fields, made, WORDS_STEP)
 
 
-def encode(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ids (array<int>) of every whole text; null is an empty text, which has no ids."""
+def lists(ids: np.ndarray, upto: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))
 
-    def make(coder: Coder, texts: list[str]) -> dict:
-        ids, upto = coder.encode(texts)
-        return {"ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))}
 
-    return _map(docs, path, packed, keep, text, "ids array<int>", make)
+def digests(values) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
+
+
+def encode(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and ids (array<int>) of every whole text; null is an empty text, which has no ids."""
+    return _map(docs, path, packed, keep, text, [("ids", "array<int>")], lambda coder, texts: [lists(*coder.encode(texts))])
 
 
 def encode_checked(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str = "text") -> DataFrame:
     """As ``encode``, with decoded_sha256: the digest of what the ids decode to, which is that of the text."""
 
-    def make(coder: Coder, texts: list[str]) -> dict:
+    def make(coder: Coder, texts: list[str]) -> list:
         ids, upto = coder.encode(texts)
-        return {
-            "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))),
-            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(ids[a:b])).hexdigest() for a, b in zip(upto[:-1], upto[1:])], pa.string()),
-        }
+        return [lists(ids, upto), digests(coder.decode(ids[a:b]) for a, b in zip(upto[:-1], upto[1:]))]
 
-    return _map(docs, path, packed, keep, text, "ids array<int>, decoded_sha256 string", make)
+    return _map(docs, path, packed, keep, text, [("ids", "array<int>"), ("decoded_sha256", "string")], make)
 
 
 def decode(rows: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
-    """The columns ``keep`` and text of ids (array<int>); null ids give an empty text."""
-    picked = rows.select(*keep, F.col(ids).alias("_ids"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema if f.name != "_ids")
+    """The columns ``keep`` and text of ids (array<int>); null ids give an empty text. ``keep`` must not hold text."""
+    kept = [f"_{i}" for i in range(len(keep))]
+    picked = rows.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], F.col(ids).alias("ids"))
+    schema = "".join(f"`{k}` {picked.schema[k].dataType.simpleString()}, " for k in kept)
     empty = Lexicon.compile({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, empty)
         for batch in batches:
             made = [coder.decode(np.array(x or [], np.int64)).decode() for x in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.string())], names=[*kept, "text"])
 
-    return picked.mapInArrow(run, kept + "text string")
-
-
-ROUND_TRIP = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return picked.mapInArrow(run, f"{schema}text string").select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "text")
 
 
 def round_trip(docs: DataFrame, path: str, packed: bytes, keep: list[str], text: str = "text") -> DataFrame:
-    """Encodes every whole text and decodes its ids again: the columns ``keep``, n_tokens and the digests of ids and decoded text."""
+    """Encodes every whole text and decodes its ids again: the columns ``keep``, n_tokens and the digests of ids and decoded text.
+
+    A null text is an empty one, which has no ids. Repeated rows are rows like
+    others, and an empty table gives no rows. ``keep`` must not hold the names
+    returned; other columns are not read.
+    """
 
-    def make(coder: Coder, texts: list[str]) -> dict:
+    def make(coder: Coder, texts: list[str]) -> list:
         ids, upto = coder.encode(texts)
         runs = [ids[a:b] for a, b in zip(upto[:-1], upto[1:])]
-        return {
-            "n_tokens": pa.array([len(r) for r in runs], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in runs], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(r)).hexdigest() for r in runs], pa.string()),
-        }
+        return [pa.array([len(r) for r in runs], pa.int64()), digests(r.astype("<u4").tobytes() for r in runs), digests(coder.decode(r) for r in runs)]
 
-    return _map(docs, path, packed, keep, text, ROUND_TRIP, make)
+    return _map(docs, path, packed, keep, text, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], make)
 
 
 def default_tokenizer() -> str:

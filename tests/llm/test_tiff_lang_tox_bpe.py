@@ -21,6 +21,68 @@ def test_tiff_codecs(n):
         assert b"".join(p["pixels"] for p in pages) == whole and [p["page"] for p in pages] == list(range(len(pages)))
 
 
+def test_known_vectors():
+    # the classic PackBits example, and the string 7 7 7 8 8 7 7 6 6 as nine-bit LZW codes
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert tiff.packbits_decode(packed, len(plain)) == plain and tiff.packbits_encode(np.frombuffer(plain, np.uint8)) == packed
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    coded = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    text = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.lzw_decode(coded, 99) == text and tiff.lzw_encode(text) == coded
+
+
+def test_later_pages_hold_long_lzw_strips():
+    rng = random.Random(7)
+    data = tiff.payload(rng.randbytes(40_000) + b"the of and " * 20_000)
+    pages = list(tiff.read_tiff(tiff.payload_tiff(data)))
+    assert {p["compression"] for p in pages[1:]} == {tiff.DEFLATE, tiff.PACKBITS, tiff.LZW}
+    assert b"".join(p["pixels"] for p in pages) == data
+
+
+def grey(fields, strip=b"\0" * 16):
+    """A file of pages with the given fields (tag, kind, value) and one strip."""
+    out, link = bytearray(struct.pack("<2sHI", b"II", 42, 0)) + strip, 4
+    for page in fields:
+        page = {273: (4, 8), 279: (4, len(strip)), 256: (4, 4), 257: (4, 4), 258: (3, 8), 259: (3, 1)} | page
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(page)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, (k, v) in sorted(page.items()))
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+@pytest.mark.parametrize(
+    "fields,strip",
+    [
+        ({256: (4, 1 << 20), 257: (4, 1 << 20)}, b"\0" * 16),  # larger than the file can hold
+        ({256: (4, 1 << 20), 257: (4, 1 << 20), 259: (3, 8)}, zlib.compress(b"\0" * (1 << 24))),
+        ({256: (4, 0)}, b"\0" * 16),
+        ({322: (4, 0), 323: (4, 16), 324: (4, 8), 325: (4, 16)}, b"\0" * 16),
+        ({278: (4, 0)}, b"\0" * 16),
+        ({259: (3, 7)}, b"\0" * 16),
+        ({258: (3, 1)}, b"\0" * 16),
+        ({284: (3, 2)}, b"\0" * 16),
+        ({317: (3, 3)}, b"\0" * 16),
+        ({273: (4, 1 << 30)}, b"\0" * 16),
+        ({259: (3, 5)}, b"\xff" * 16),
+        ({259: (3, 8)}, b"no deflate here.."),
+    ],
+)
+def test_broken_pages_are_rows(fields, strip):
+    bad, good = list(tiff.read_tiff(grey([fields, {}], strip)))
+    assert bad["error"] and bad["pixels"] is None and bad["page"] == 0
+    assert good["error"] is None and good["pixels"] == strip[:16] and good["page"] == 1
+
+
+def test_large_pages_and_bombs(monkeypatch):
+    bomb = zlib.compress(b"\0" * (1 << 26))
+    assert tiff.unpack(bomb, tiff.DEFLATE, 10) == b"\0" * 10
+    monkeypatch.setattr(tiff.read_page, "__defaults__", (15,))
+    assert "larger than 15 bytes" in next(tiff.read_tiff(grey([{}])))["error"]
+
+
 def big_endian_rgb16():
     """A 2 x 3 page of 16-bit RGB, most significant byte first, with the horizontal predictor, in one deflate strip."""
     pixels = np.arange(18, dtype=np.uint16).reshape(2, 3, 3) * 3000
@@ -49,10 +111,14 @@ def test_tiff_pages(spark):
     assert set(got) == {1, 3, 4, 5, 6} and len(got[1]) == 2 and all(got[i][-1]["error"] for i in (3, 4, 6))
     assert (got[5][0]["bits"], got[5][0]["samples"], bytes(got[5][0]["pixels"])) == (16, 3, pixels.astype("<u2").tobytes())
     assert tiff.tiff_pages(df.limit(0), keep=["id"]).count() == 0
+    with pytest.raises(ValueError, match="page"):
+        tiff.tiff_pages(df, keep=["page"])
+    kept = tiff.tiff_pages(df.withColumnRenamed("page", "_0").withColumn("text", F.lit("t")), keep=["_0", "text", "id"]).filter("id = 5").first()
+    assert (kept["_0"], kept["text"], kept["page"]) == ("clash", "t", 0)
 
 
 def test_tiff_digest(docs_frame):
-    rows = [(1, None), (2, ""), (3, "é" * 400), (4, "é" * 400), (5, "long " * 30_000), (None, "x")]
+    rows = [(1, None), (2, ""), (3, "é" * 400), (4, "é" * 400), (5, "long " * 250_000), (None, "x")]
     out = tiff.tiff_pages(tiff.texts_to_tiff(docs_frame(rows)), fold=tiff.digest, fold_schema=tiff.DIGEST_SCHEMA, keep=["doc_id", "n_bytes"]).collect()
     assert len(out) == len(rows)
     for r in out:
@@ -74,7 +140,7 @@ def test_language(spark):
         w = PHRASES[lang].split()
         rng.shuffle(w)
         rows.append((i, " ".join(w * rng.randrange(1, 4)), lang))
-    rows += [(500, None, "en"), (501, "123 !?", "fr"), (502, "", None), (503, "the market is fine", None), (504, "marché " * 20_000, None), (None, "das wetter", None)]
+    rows += [(500, None, "en"), (501, "123 !?", "fr"), (502, "", None), (503, "the market is fine", None), (504, "marché " * 170_000, None), (None, "das wetter", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).repartition(4)
     got = {r["doc_id"]: r for r in langid.identify(df, F.col("doc_id") % 5 != 0).collect()}
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got.values())
@@ -85,6 +151,44 @@ def test_language(spark):
     assert langid.identify(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_language_is_plain_bundling(spark):
+    rng, dims = random.Random(8), 64
+    rows = [(i, " ".join(rng.sample(PHRASES[lang].split(), 5)), lang) for i, lang in enumerate(rng.choice(list(PHRASES)) for _ in range(80))]
+    rows += [(100, "Ünder the 3 tables!", "en"), (101, "x", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, F.col("doc_id") % 4 != 0, dims=dims).collect()}
+    _, single = langid.letter_vectors(dims, 11)
+    code = lambda c: (ord(c) % (langid.CODES - 1) + 1) if c.isalpha() else 0
+
+    def bundle(text):
+        codes, total = [0, *map(code, text.lower()), 0], np.zeros(dims)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if b:
+                total += np.roll(single[a], 2) * np.roll(single[b], 1) * single[c]
+        return total / np.linalg.norm(total)
+
+    sums = {}
+    for i, text, lang in rows:
+        if i % 4:
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    names = sorted(sums)
+    unit = np.array([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    common = unit.mean(0)
+    axes = unit - common
+    for i, text, _ in rows:
+        v = bundle(text)
+        v = v - common * (v @ common) / (common @ common)
+        cosines = axes @ v / np.linalg.norm(axes, axis=1) / np.linalg.norm(v)
+        assert got[i][0] == names[int(np.argmax(cosines))] and abs(got[i][1] - (1 + cosines.max()) / 2) < 1e-4
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, PHRASES["en"], "en") for i in range(3000)] + [(4000 + i, PHRASES["fr"], "fr") for i in range(3)] + [(5000, "nous allons avec eux", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, F.lit(True), sample_rows=20).collect()}
+    assert got[5000] == got[4001] == "fr" and got[7] == "en"
+
+
 def labelled():
     rng = random.Random(2)
     plain = ["table", "garden", "music", "window", "coffee", "people", "river", "market"]
@@ -101,7 +205,7 @@ def labelled():
 
 def test_toxicity(spark, docs_frame):
     docs, labels = labelled()
-    extra = [(1000, None), (1001, ""), (1002, "table " * 20_000 + "snarfer"), (None, "you grobling")]
+    extra = [(1000, None), (1001, ""), (1002, "table " * 200_000 + "snarfer"), (None, "you grobling")]
     df, table = docs_frame(docs + extra), spark.createDataFrame(labels, "doc_id long, toxic int")
     models = {f: toxicity.learn(df.select("doc_id", "text"), table, fairness=f) for f in (0.0, 30.0)}
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df, models[30.0], ["doc_id"]).collect()}
@@ -114,10 +218,68 @@ def test_toxicity(spark, docs_frame):
     assert toxicity.score(df.limit(0), models[0.0], ["doc_id"]).count() == 0
 
 
+def test_penalty_at_its_default(spark, docs_frame):
+    docs, labels = labelled()
+    df, table = docs_frame(docs).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    gap = {f: m.score("a muslim in the garden") - m.score("a christian in the garden") for f, m in ((f, toxicity.learn(df, table, fairness=f)) for f in (0.0, 1.0))}
+    assert gap[0.0] > 0.01 and abs(gap[1.0]) < 0.9 * gap[0.0]
+
+
 def test_swapping():
-    swap = toxicity.swaps((("women", "men"),))
-    assert toxicity.swapped(toxicity.features("Women work"), swap) == sorted({"men", "work"})
-    assert toxicity.swapped(toxicity.features("they work"), swap) is None
+    swap = toxicity.swaps((("women", "men"), ("frau", "mann")))
+    told = toxicity.swapped("Women work. They work! Men\nwork; women too? Eine Frau, women", swap)
+    assert told == {(("wome*", "women"), ("men",)): 2, (("men",), ("wome*", "women")): 1, (("frau", "wome*", "women"), ("mann", "men")): 1}
+    assert not toxicity.swapped("they work", swap)
+    with pytest.raises(ValueError):
+        toxicity.swaps((("a", "b"), ("b", "c")))
+    assert len(toxicity.swaps(toxicity.IDENTITY_PAIRS)) == 2 * len(toxicity.IDENTITY_PAIRS)
+
+
+def test_training_is_a_plain_gradient_loop():
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        own = sorted(rng.sample(range(12), 4))
+        changes = [([x for x in own if x < 3], [3 + own[0] % 3], 1 + i % 2)] if own[0] < 3 else []
+        rows.append((own, changes, int(11 in own or (5 in own and i % 3 == 0)), 1.0 + i % 2))
+    ridge, fairness, rounds = 0.5, 2.0, 80
+    got_w, got_c = toxicity.train(rows, 12, ridge, fairness, rounds)
+    total = sum(r[3] for r in rows)
+    paid = sum(r[3] / total * n for r in rows for *_, n in r[1])
+    base = sum(r[3] * r[2] for r in rows) / total
+    w, c = [0.0] * 12, float(np.log(base / (1 - base)))
+    first, second = [0.0] * 13, [0.0] * 13
+    for t in range(1, rounds + 1):
+        g = [ridge * x / len(rows) for x in w] + [0.0]
+        for own, changes, y, weight in rows:
+            error = weight / total * (1 / (1 + np.exp(-(c + sum(w[f] for f in own)))) - y)
+            g[12] += error
+            for f in own:
+                g[f] += error
+            for lost, gained, n in changes:
+                pull = 2 * fairness * weight / total * n / paid * (sum(w[f] for f in lost) - sum(w[f] for f in gained))
+                for f in lost:
+                    g[f] += pull
+                for f in gained:
+                    g[f] -= pull
+        for j in range(13):
+            first[j], second[j] = 0.9 * first[j] + 0.1 * g[j], 0.999 * second[j] + 0.001 * g[j] ** 2
+            step = 0.1 * first[j] / (1 - 0.9**t) / (np.sqrt(second[j] / (1 - 0.999**t)) + 1e-8)
+            if j < 12:
+                w[j] -= step
+            else:
+                c -= step
+    assert np.abs(got_w - w).max() < 1e-9 and abs(got_c - c) < 1e-9
+
+
+def test_kept_columns_may_have_any_name(docs_frame):
+    df = docs_frame([(1, "a b"), (None, None)]).withColumn("_0", F.lit(7))
+    out = toxicity.score(df, toxicity.Model({"a": 1.0}, 0.0), ["_text", "_0", "doc_id", "text"]).collect()
+    assert sorted(tuple(r)[:2] for r in out) == [("x", 7)] * 2 and {r["text"] for r in out} == {"a b", None}
+    path = bpe.default_tokenizer()
+    made = bpe.encode(df, path, bpe.Lexicon.compile({}).pack(), ["_text", "_0", "text"])
+    assert {tuple(r)[:2] for r in made.collect()} == {("x", 7)}
+    assert {r["_text"] for r in bpe.decode(made.drop("text"), path, ["_text", "_0"]).collect()} == {"x"}
 
 
 def test_held_out_rows_teach_nothing(spark, docs_frame):
@@ -127,6 +289,14 @@ def test_held_out_rows_teach_nothing(spark, docs_frame):
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(x[0] for x in keep)
 
 
+def test_unlike_tokenizers_are_refused():
+    spec = {"model": {"type": "BPE"}, "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [], "decoder": {"type": "ByteLevel"}}
+    bpe.check_kind(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"model": {"type": "BPE", "dropout": 0.1}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}, {"decoder": None}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.check_kind(spec | change)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
@@ -158,7 +328,7 @@ def test_encoding_is_the_tokenizers(tokenizer):
 
 def test_round_trip(docs_frame, tokenizer):
     path = bpe.default_tokenizer()
-    rows = [(1, "The cat sat on the mat."), (2, None), (3, ""), (4, "é<|endoftext|>é"), (4, "é<|endoftext|>é"), (None, "no id"), (6, "word " * 30_000)]
+    rows = [(1, "The cat sat on the mat."), (2, None), (3, ""), (4, "é<|endoftext|>é"), (4, "é<|endoftext|>é"), (None, "no id"), (6, "word " * 700_000)]
     df = docs_frame(rows)
     packed = bpe.build_lexicon(df, path, words=3)
     out = bpe.round_trip(df, path, packed, ["doc_id"]).collect()
