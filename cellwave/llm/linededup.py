@@ -1,18 +1,18 @@
 """Line dedup by content-defined line chunks.
 
-A rolling hash over the hashes of the last lines decides, from the lines alone,
-after which line a chunk ends, so that an inserted line moves no boundary but
-the nearest ones. A chunk of several lines that occurs anywhere else is removed
-but for its first occurrence, after its bytes have been compared.
-
-Where chunks end depends on the lines around a passage, so that most short
-passages fall in chunks with other text and stay; ``dedup_line_runs`` finds
-them all.
-
-DataFrame functions only. Chunk texts are shuffled once, combined before the
-shuffle, so that a chunk with a third of all occurrences reaches its reducer
-once per input task; the join that follows carries ids alone and is one whose
-large partitions Spark splits.
+Under each of a few seeds, a bit of a line's hash says whether the line begins
+or ends a chunk, so the two line hashes around a gap decide whether the text is
+cut there, wherever the lines stand: a passage is cut alike in any context, and
+an inserted line moves no boundary but its own. A chunk of several lines that
+occurs anywhere else is removed but for its first occurrence, after its bytes
+have been compared; what goes is the union over the seeds. Two different lines
+that follow each other are a chunk under a quarter of the seeds, on average, so
+one of eight chunkings holds the pair in 90 cases of 100.
+
+DataFrame functions only. Keys of chunks, not texts, are shuffled to find what
+occurs again, combined before the shuffle, so that a chunk with a third of all
+occurrences reaches its reducer once per input task; the joins are ones whose
+large partitions Spark splits. Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from cellwave.llm.store import cut
 
-#: Of the rolling hash: base and modulus.
-BASE, MODULUS = 1_000_003, 2**31 - 1
+#: A chunk in one number: its first line (from 0) times this, and how many lines it has.
+START = 1 << 31
 
 
 def line_hash(line: Column) -> Column:
@@ -31,118 +31,110 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def line_chunks(docs: DataFrame, id_col: str, text: str, keep: list[str], window: int, divisor: int) -> DataFrame:
-    """_row (what tells rows apart), the columns ``keep`` and chunks: texts that joined by line feeds give the text.
+def chunk_key(low: Column, high: Column, n: Column) -> Column:
+    """What chunks with the same lines have in common, from two hashes of each of their lines."""
+    return F.struct(F.xxhash64(low).alias("a"), F.xxhash64(high).alias("b"), n.alias("n"))
 
-    A line begins a chunk if the rolling hash of the ``window`` lines before it
-    is divisible by ``divisor``. Each line is written after a line feed and a
-    letter, "b" where it begins a chunk, so that one split cuts the text: no
-    line holds a line feed.
+
+def line_keys(docs: DataFrame, text: str) -> DataFrame:
+    """_row and three hashes of each line: one for the boundaries, two for the keys."""
+    lines = F.split(text, "\n")
+    return docs.filter(F.col(text).isNotNull()).select(
+        "_row",
+        F.transform(lines, lambda x: line_hash(x).cast("int")).alias("hashes"),
+        F.transform(lines, lambda x: F.xxhash64(x)).alias("low"),
+        F.transform(lines, lambda x: F.xxhash64(F.lit(1), x)).alias("high"),
+    )
+
+
+def line_chunks(keyed: DataFrame, chunkings: int, min_lines: int) -> DataFrame:
+    """_row, chunk and key of every chunk of ``min_lines`` lines and more under any of the seeds.
+
+    Under seed s a gap is no boundary if the line before it begins a chunk (bit
+    s of its hash is 1) and the line after it ends one (bit s is 0), or if both
+    lines have the same hash.
     """
-    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
-    lines = docs.select(*keep, row.alias("_row"), F.split(text, "\n").alias("_lines"))
-    hashed = lines.withColumn("_hashes", F.transform("_lines", line_hash))
-    back = [F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.col("_hashes")).alias(f"h{k}") for k in range(window, 0, -1)]
+    n = F.size("hashes")
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice("hashes", F.lit(1), n - 1))
+    gaps = F.arrays_zip(F.col("hashes").alias("here"), before.alias("before"), F.sequence(F.lit(0), n - 1).alias("at"))
 
-    def written(x: Column) -> Column:
-        value = x[f"h{window}"]
-        for k in range(window - 1, 0, -1):
-            value = (value * BASE + x[f"h{k}"]) % MODULUS
-        first = x["h1"].isNull()
-        return F.concat(F.when(first | (value % divisor == 0), "\nb").otherwise("\na"), x["line"])
+    def begins(s: int):
+        def bit(h: Column) -> Column:
+            return F.shiftright(h, s).bitwiseAND(1)
 
-    zipped = F.arrays_zip(F.col("_lines").alias("line"), *back)
-    real = F.slice(zipped, F.lit(1), F.size("_lines"))
-    text_again = F.array_join(F.transform(real, written), "")
-    chunks = F.transform(F.split(F.substring(text_again, 3, 2**31 - 1), "\nb"), lambda c: F.replace(c, F.lit("\na"), F.lit("\n")))
-    return hashed.select(*keep, "_row", chunks.alias("chunks"))
+        return lambda x: x["before"].isNull() | ~((x["before"] == x["here"]) | ((bit(x["before"]) == 1) & (bit(x["here"]) == 0)))
 
+    starts = keyed.filter(n >= min_lines).select("_row", "low", "high", n.alias("n"), *[F.transform(F.filter(gaps, begins(s)), lambda x: x["at"]).alias(f"_starts{s}") for s in range(chunkings)])
+    made = []
+    for s in range(chunkings):
+        begin = F.col(f"_starts{s}")
+        both = F.arrays_zip(begin.alias("begin"), F.concat(F.slice(begin, F.lit(2), F.size(begin)), F.array("n")).alias("end"))
+        made.append(F.transform(F.filter(both, lambda x: x["end"] - x["begin"] >= min_lines), lambda x: x["begin"].cast("long") * START + x["end"] - x["begin"]))
+    codes = starts.select("_row", "low", "high", F.array_distinct(F.flatten(F.array(*made))).alias("_chunks"))
 
-def n_lines(chunk: Column) -> Column:
-    return F.char_length(chunk) - F.char_length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
+    def told(c: Column) -> Column:
+        begin, size = first_line(c) + 1, line_count(c)
+        return F.struct(c.alias("chunk"), chunk_key(F.slice("low", begin, size), F.slice("high", begin, size), size).alias("key"))
 
+    return codes.select("_row", F.explode(F.transform("_chunks", told)).alias("_told")).select("_row", "_told.chunk", "_told.key")
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, window: int = 2, divisor: int = 3, min_lines: int = 2) -> DataFrame:
-    """Returns the columns ``keep`` (by default the id), kept_text, n_lines, removed_lines, removed_chunks.
 
-    The first occurrence is that of the smallest id (nulls first), then of
-    the smallest text hash, then the earliest in the text. Rows with one id
-    and one text are one document, and each such row gets the same result. A
-    null text has no lines and kept_text null; an empty text is one empty line.
-    Chunks under ``min_lines`` lines stay. Should two different chunks ever
-    share 128 bits of hash and a length, both stay. Columns of ``docs`` other
-    than those named are not read; ``keep`` must not hold the names returned.
-    """
-    chunked = line_chunks(docs, id_col, text, keep or [id_col], window, divisor)
-    each = chunked.filter(F.size("chunks") > 0).select("_row", F.posexplode("chunks").alias("no", "body")).filter(n_lines(F.col("body")) >= min_lines)
-    key = F.struct(F.xxhash64("body").alias("a"), F.xxhash64(F.lit(1), "body").alias("b"), F.length("body").alias("n"))
-    each = each.select(key.alias("key"), F.struct("_row", "no").alias("at"), "body")
-    once = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("body").alias("low"), F.max("body").alias("high"))
-    # written, so that both sides of the join are plain exchanges, whose large partitions Spark can split
-    repeated = cut(once.filter((F.col("first") != F.col("last")) & (F.col("low") == F.col("high"))).select("key", "first"), "repeated-chunks")
-    removed = each.select("key", "at").join(repeated, "key").filter(F.col("at") != F.col("first"))
-    removed = removed.groupBy("at._row").agg(F.collect_set("at.no").alias("_removed"))
-    joined = chunked.join(removed, "_row", "left")
-    gone = F.coalesce(F.col("_removed"), F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), gone)
-    kept_text = F.array_join(F.transform(kept, lambda k: F.element_at("chunks", k + 1)), "\n")
-    there = F.col("chunks").isNotNull()
-    lines = F.aggregate("chunks", F.lit(0), lambda acc, c: acc + n_lines(c))
-    removed_lines = F.aggregate(gone, F.lit(0), lambda acc, k: acc + n_lines(F.element_at("chunks", k + 1)))
-    return joined.select(
-        *(keep or [id_col]),
-        F.when(there, kept_text).alias("kept_text"),
-        F.when(there, lines).otherwise(0).cast("long").alias("n_lines"),
-        F.when(there, removed_lines).otherwise(0).cast("long").alias("removed_lines"),
-        F.size(gone).cast("long").alias("removed_chunks"),
-    )
+def first_line(chunk: Column) -> Column:
+    return F.shiftright(chunk, 31).cast("int")
 
 
-def line_key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), F.length(line).alias("n"))
+def line_count(chunk: Column) -> Column:
+    return chunk.bitwiseAND(START - 1).cast("int")
 
 
-def dedup_line_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, min_lines: int = 2) -> DataFrame:
-    """Returns the columns ``keep`` (by default the id), kept_text, n_lines and removed_lines.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, chunkings: int = 8, min_lines: int = 2) -> DataFrame:
+    """Returns the columns ``keep`` (by default the id), kept_text, n_lines, removed_lines, removed_chunks.
 
-    Every run of ``min_lines`` lines is looked up, so that a passage of that
-    length or longer is found in any context, whatever lines stand around it.
-    A line goes if a run that holds it has occurred before, in the order of
-    ``dedup_lines``, without overlapping that first occurrence; the first
+    A chunk's first occurrence is that of the smallest id (nulls first), then of
+    the smallest text hash, then the earliest in the text; so the first
     occurrence of each different line stays. Rows with one id and one text are
-    one document, a null text has no lines and kept_text null, as there. Lines
-    are compared byte by byte: runs with a line whose 128 bits of hash and
-    length stand for different lines stay. ``keep`` must not hold the names
+    one document, and each such row gets the same result. A null text has no
+    lines and kept_text null; an empty text is one empty line. Chunks under
+    ``min_lines`` lines stay. Chunks that share a key but not their bytes are
+    told apart by their bytes. An empty table gives no rows. Columns of ``docs``
+    other than those named are not read; ``keep`` must not hold the names
     returned.
     """
+    names = keep or [id_col]
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
-    split = docs.select(*(keep or [id_col]), row.alias("_row"), F.split(text, "\n").alias("_lines"))
-    # written, so that the texts are hashed once for both uses of the runs
-    keyed = cut(split.filter(F.col("_lines").isNotNull()).select("_row", F.transform("_lines", line_key).alias("keys")), "line-keys")
-    starts = F.sequence(F.lit(0), F.size("keys") - min_lines)
-    runs = F.posexplode(F.transform(starts, lambda i: F.slice("keys", i + 1, min_lines))).alias("no", "key")
-    each = keyed.filter(F.size("keys") >= min_lines).select("_row", runs).select("key", F.struct("_row", "no").alias("at"))
+    rows = docs.select(row.alias("_row"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(names)])
+    keyed = cut(line_keys(rows.select("_row", "_text"), "_text"), "line-keys")
+    each = line_chunks(keyed, chunkings, min_lines).withColumn("at", F.struct("_row", "chunk"))
     once = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    repeated = cut(once.filter(F.col("first") != F.col("last")).select("key", "first"), "repeated-runs")
-    line = split.select(F.explode("_lines").alias("line")).select(line_key(F.col("line")).alias("part"), "line")
-    # practically empty: keys that different lines share
-    unlike = line.groupBy("part").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter(F.col("low") != F.col("high")).select("part")
-    doubtful = repeated.select("key", F.explode("key").alias("part")).join(unlike, "part", "left_semi").select("key").distinct()
-    repeated = cut(repeated.join(doubtful, "key", "left_anti"), "compared-runs")
-    apart = (F.col("at._row") != F.col("first._row")) | (F.col("at.no") - F.col("first.no") >= min_lines)
-    removed = each.join(repeated, "key").filter((F.col("at") != F.col("first")) & apart)
-    removed = removed.groupBy("at._row").agg(F.collect_set("at.no").alias("_starts"))
-    joined = split.join(removed, "_row", "left")
-    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (min_lines - 1))))
-    gone = F.coalesce(F.array_distinct(covered), F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
+    # written, so that both sides of the join are plain exchanges, whose large partitions Spark can split
+    repeated = cut(once.filter(F.col("first") != F.col("last")).select("key", "first"), "repeated-chunks")
+    found = each.join(repeated, "key").groupBy("at._row").agg(F.collect_set(F.struct("chunk", "key", (F.col("at") == F.col("first")).alias("stays"))).alias("_found"))
+    told = cut(rows.join(found, "_row", "left").select("_row", F.split("_text", "\n").alias("_lines"), "_found", *[f"_keep{i}" for i in range(len(names))]), "lines")
+
+    bodies = F.transform("_found", lambda c: F.struct(c["key"].alias("key"), c["chunk"].alias("chunk"), F.array_join(F.slice("_lines", first_line(c["chunk"]) + 1, line_count(c["chunk"])), "\n").alias("body")))
+    bodies = told.filter(F.col("_found").isNotNull()).select("_row", F.explode(bodies).alias("_body")).select("_row", "_body.*")
+    compared = bodies.groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    unlike = cut(compared.filter(F.col("low") != F.col("high")).select("key"), "unlike-chunks")
+    gone = F.transform(F.filter("_found", lambda c: ~c["stays"]), lambda c: c["chunk"])
+    if not unlike.isEmpty():  # practically never: the chunks of these keys once more, by their bytes
+        doubtful = bodies.join(unlike, "key").withColumn("at", F.struct("_row", "chunk"))
+        firsts = doubtful.groupBy("key", "body").agg(F.min("at").alias("first"))
+        again = doubtful.join(firsts, ["key", "body"]).withColumn("goes", F.col("at") != F.col("first"))
+        again = again.groupBy("at._row").agg(F.collect_set("chunk").alias("_doubtful"), F.collect_set(F.when(F.col("goes"), F.col("chunk"))).alias("_again"))
+        told = cut(told.join(again, "_row", "left"), "lines")
+        settled = F.array_except(gone, F.coalesce("_doubtful", F.array().cast("array<bigint>")))
+        gone = F.array_union(settled, F.coalesce("_again", F.array().cast("array<bigint>")))
+    told = told.withColumn("_gone", F.coalesce(gone, F.array().cast("array<bigint>")))
+    covered = F.flatten(F.transform("_gone", lambda c: F.sequence(first_line(c), first_line(c) + line_count(c) - 1)))
+    told = told.withColumn("_covered", F.array_distinct(covered))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
     kept_text = F.array_join(F.transform(kept, lambda k: F.element_at("_lines", k + 1)), "\n")
-    there = F.col("_lines").isNotNull()
-    return joined.select(
-        *(keep or [id_col]),
-        F.when(there, kept_text).alias("kept_text"),
-        F.when(there, F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("removed_lines"),
+    return told.select(
+        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(names)],
+        kept_text.alias("kept_text"),
+        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("_covered").cast("long").alias("removed_lines"),
+        F.size("_gone").cast("long").alias("removed_chunks"),
     )
 
 
@@ -154,51 +146,28 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH lines AS (
-  SELECT doc_id, i, l, ('0x' || substr(md5(l), 1, 7))::BIGINT AS h, n
-  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n
+  SELECT doc_id, i, l, ('0x' || substr(md5(l), 1, 7))::BIGINT AS h
+  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), seeded AS (
+  SELECT doc_id, i, l, h, s, (h >> s) & 1 AS begins FROM lines, range(8) t(s)
 ), marked AS (
-  SELECT *, CASE WHEN i >= 3 AND ((lag(h, 2) OVER w * 1000003 + lag(h) OVER w) % 2147483647) % 3 = 0 THEN 1 ELSE 0 END AS starts
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, CASE WHEN i > 1 AND (lag(h) OVER w = h OR (lag(begins) OVER w = 1 AND begins = 0)) THEN 0 ELSE 1 END AS starts
+  FROM seeded WINDOW w AS (PARTITION BY doc_id, s ORDER BY i)
 ), numbered AS (
-  SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS chunk_no FROM marked
+  SELECT *, sum(starts) OVER (PARTITION BY doc_id, s ORDER BY i) AS chunk_no FROM marked
 ), chunks AS (
-  SELECT doc_id, chunk_no, count(*) AS n_lines, string_agg(l, chr(10) ORDER BY i) AS body FROM numbered GROUP BY ALL
-), ranked AS (
-  SELECT *, CASE WHEN n_lines >= 2 THEN row_number() OVER (PARTITION BY body, n_lines >= 2 ORDER BY doc_id, chunk_no) > 1 ELSE false END AS gone FROM chunks
-), summed AS (
-  SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines,
-         count(*) FILTER (gone) AS removed_chunks, string_agg(body, chr(10) ORDER BY chunk_no) FILTER (NOT gone) AS kept
-  FROM ranked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines,
-       coalesce(removed_chunks, 0) AS removed_chunks, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN summed USING (doc_id)
-"""
-
-
-def op8_line_runs(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256)
-    return dedup_line_runs(docs).select("doc_id", "n_lines", "removed_lines", kept.alias("kept_sha256"))
-
-
-OP8_RUNS_SQL = """
-WITH lines AS (
-  SELECT doc_id, i, ls[i] AS l, ls[i + 1] AS next, i < len(ls) AS pair
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
-), firsts AS (
-  SELECT doc_id, i, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i
-  FROM lines WHERE pair WINDOW w AS (PARTITION BY l, next ORDER BY doc_id, i)
-), starts AS (
-  SELECT doc_id, i FROM firsts WHERE doc_id <> first_doc OR i - first_i >= 2
+  SELECT DISTINCT doc_id, a, n, body
+  FROM (SELECT doc_id, min(i) AS a, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, s, chunk_no) WHERE n >= 2
 ), gone AS (
-  SELECT doc_id, i FROM starts UNION SELECT doc_id, i + 1 FROM starts
+  SELECT doc_id, a, n FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS r FROM chunks) WHERE r > 1
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(a, a + n)) AS i FROM gone
 ), summed AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS removed_lines, string_agg(l, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+  SELECT l.doc_id, count(*) AS n_lines, count(c.i) AS removed_lines, string_agg(l.l, chr(10) ORDER BY l.i) FILTER (c.i IS NULL) AS kept
+  FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id
 )
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines,
+       (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS removed_chunks, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN summed USING (doc_id)
 """

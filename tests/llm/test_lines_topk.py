@@ -7,54 +7,68 @@ from pyspark.sql import functions as F
 from cellwave.llm import linededup, topk
 
 
-def test_line_dedup_is_its_sql(spark, docs_frame):
-    block = "\n".join(f"line {i}" for i in range(60))
-    rows = [(i, f"head {i}\n{block}\ntail {i}\n\n") for i in range(20)] + [(30, block), (31, block), (32, None), (33, ""), (34, "\n\n\n\n\n\n"), (35, "one"), (36, "one"), (37, "é\r\nx\n" * 3000)]
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs_frame(rows)).collect()}
+def sql_rows(docs):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    for doc_id, n_lines, removed_lines, removed_chunks, _ in con.execute(f"SELECT doc_id, n_lines, removed_lines, removed_chunks, kept_sha256 FROM ({linededup.OP8_SQL})").fetchall():
-        assert (got[doc_id]["n_lines"], got[doc_id]["removed_lines"], got[doc_id]["removed_chunks"]) == (n_lines, removed_lines, removed_chunks)
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    return {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_lines, removed_lines, removed_chunks, kept_sha256 FROM ({linededup.OP8_SQL})").fetchall()}
+
+
+def line_rows(df):
+    return {r["doc_id"]: (r["n_lines"], r["removed_lines"], r["removed_chunks"], hashlib.sha256((r["kept_text"] or "").encode()).hexdigest()) for r in df.collect()}
+
+
+def test_line_dedup_is_its_sql(spark, docs_frame):
+    block = "\n".join(f"line {i}" for i in range(60))
+    rows = [(i, f"head {i}\n{block}\ntail {i}\n\n") for i in range(20)] + [(30, block), (31, block), (32, None), (33, ""), (34, "\n\n\n\n\n\n"), (35, "one"), (36, "one"), (37, "é\r\nx\n" * 3000), (38, "a\na\na\nb"), (39, "a\na\na\nc")]
+    made = linededup.dedup_lines(docs_frame(rows)).cache()
+    assert line_rows(made) == sql_rows(rows)
+    got = {r["doc_id"]: r for r in made.collect()}
     # a line put in before them moves the boundaries of a few chunks at most
-    assert sum(got[i]["removed_lines"] for i in range(1, 20)) > 19 * 20
-    assert got[0]["removed_lines"] == 0 or got[0]["n_lines"] > 6
-    assert got[32]["kept_text"] is None and got[33]["kept_text"] == "" and got[35]["kept_text"] == "one"
+    assert sum(got[i]["removed_lines"] for i in range(1, 20)) > 19 * 50
+    assert got[0]["removed_lines"] == 0 and got[32]["kept_text"] is None and got[33]["kept_text"] == "" and got[35]["kept_text"] == "one"
     for i in (0, 35):
         assert got[i]["kept_text"] == dict(rows)[i]
 
 
 def test_line_dedup_edge_rows(spark, docs_frame):
     text = "a\nb\nc\nd\ne\nf\ng"
-    twice = linededup.dedup_lines(docs_frame([(1, text), (1, text), (None, text)]), keep=["doc_id", "lang"]).collect()
+    twice = linededup.dedup_lines(docs_frame([(1, text), (1, text), (None, text)]), keep=["doc_id", "lang", "key", "_text"]).collect()
     assert len(twice) == 3 and {r["kept_text"] for r in twice if r["doc_id"] is None} == {text}
     assert len({r["kept_text"] for r in twice if r["doc_id"] == 1}) == 1
     assert linededup.dedup_lines(docs_frame([(1, text)]).limit(0)).count() == 0
 
 
-def test_line_runs_finds_short_passages(spark, docs_frame, monkeypatch):
-    docs, at = [], 0
+def test_line_dedup_finds_short_passages(docs_frame):
+    docs, inside = [], {}
     for n in range(2, 7):
-        for copy in range(10):
-            docs.append((at, "\n".join([f"before {at}", *[f"passage {n} line {k}" for k in range(n)], f"after {at}", f"end {at}"])))
-            at += 1
-    docs += [(at, "x\nx\nx\nx\nx"), (at + 1, "x\nx\nx"), (at + 2, None), (at + 3, ""), (at + 4, "alone"), (at + 5, "alone")]
-    got = {r["doc_id"]: r for r in linededup.dedup_line_runs(docs_frame(docs)).collect()}
-    for i in range(at):
-        n, copy = 2 + i // 10, i % 10
-        assert got[i]["removed_lines"] == (n if copy else 0)
-        assert got[i]["kept_text"] == (f"before {i}\nafter {i}\nend {i}" if copy else docs[i][1])
-    assert [got[at + k]["kept_text"] for k in range(6)] == ["x\nx", "", None, "", "alone", "alone"]
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
-    for doc_id, n_lines, removed, sha in con.execute(linededup.OP8_RUNS_SQL).fetchall():
-        assert (got[doc_id]["n_lines"], got[doc_id]["removed_lines"]) == (n_lines, removed)
-        assert hashlib.sha256((got[doc_id]["kept_text"] or "").encode()).hexdigest() == sha
-    # lines that share a key but not their bytes stay
-    monkeypatch.setattr(linededup, "line_key", lambda line: F.struct(F.lit(1).alias("a"), F.lit(1).alias("b"), F.length(line).alias("n")))
-    rows = [(0, "aa\nbb\nccc"), (1, "aa\ndd\nccc"), (2, "1234\n12345\nz"), (3, "1234\n12345\ny")]
-    assert sorted(r["kept_text"] for r in linededup.dedup_line_runs(docs_frame(rows)).collect()) == ["1234\n12345\nz", "aa\nbb\nccc", "aa\ndd\nccc", "y"]
+        for kind in range(40):
+            for copy in range(3):
+                at = len(docs)
+                docs.append((at, "\n".join([f"before {at}", *[f"passage {n} {kind} line {k}" for k in range(n)], f"after {at}", f"end {at}"])))
+                inside[at] = (n, copy)
+    got = line_rows(linededup.dedup_lines(docs_frame(docs)))
+    assert got == sql_rows(docs)
+    for n in range(2, 7):
+        # an outer line is in one of eight chunkings' chunks with 0.90, an inner one with 0.996
+        least = (2 * 0.9 + (n - 2) * 0.996) / n - 0.1
+        share = [got[i][1] / n for i, (m, copy) in inside.items() if m == n and copy]
+        assert max(share) <= 1 and sum(share) / len(share) >= least, (n, sum(share) / len(share))
+    assert all(got[i][1] == 0 for i, (_, copy) in inside.items() if not copy)
+
+
+def test_line_dedup_compares_bytes(docs_frame, monkeypatch):
+    rows = [(i, "\n".join(f"{w} {k}" for k in range(8))) for i, w in enumerate(["aa", "bb", "aa", "cc", "bb"])]
+    wanted = sql_rows(rows)
+    monkeypatch.setattr(linededup, "chunk_key", lambda low, high, n: F.struct(F.lit(1).alias("a"), F.lit(1).alias("b"), n.alias("n")))
+    assert line_rows(linededup.dedup_lines(docs_frame(rows))) == wanted and wanted[2][1] >= 7
+
+
+def test_line_dedup_of_a_long_text(docs_frame):
+    lines = [f"line {k} of a long text" for k in range(60_000)]  # above 1 MB
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["other", *lines[1000:59_000]])), (3, "x")]
+    got = line_rows(linededup.dedup_lines(docs_frame(rows)))
+    assert got[1][1] == 0 and got[2][1] > 0.95 * 58_000 and got[3][1] == 0
 
 
 def brute(rows, is_query, k):
