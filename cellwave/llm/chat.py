@@ -81,7 +81,8 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """One row per conversation: conv_id, turns, formatted, escaped, loss_spans.
 
     Turns go by number, nulls first, and rows of one turn by role and text, all
-    kept. Null role and null text are empty. Conversations have at least one
+    kept. Null role and null text are empty; rows with a null id are one
+    conversation. Conversations have at least one
     row, so an empty table gives none. ``formatted`` parses back to ``turns``
     (see ``parse``); ``escaped`` says whether that took escaping. A conversation
     is one value and thus as long as its turns together. Other columns are not

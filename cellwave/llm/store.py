@@ -1,26 +1,12 @@
-"""Where intermediate tables go: the folder that all executors share."""
+"""Intermediate tables, in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (``spark.checkpoint.dir``).
-
-    Only a local session that names none gets a temporary one.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
+from cellwave.sources.shared import new_folder
 
 
 #: Folders that ``cut`` has written and nothing has dropped yet, and which of them a table is read from.
@@ -36,7 +22,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     ``clear``, as results that have not been computed yet may need it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
