@@ -17,10 +17,13 @@ of these. So a line that a third of all texts hold ties none of them together.
 
 Sets that are equal are one class and join by their first document only. What
 shares a signature, directly or through others, is a block of candidates. A
-small block is compared in one cell, all sets at once, as a matrix product; a
-large one is first compared with a few hubs, then what has not fallen into its
-largest component with everything, cell by cell, so that no group is ever one
-task and nothing that could link is left out. Cells report spanning edges only.
+small block is compared in one cell, all sets at once, as a matrix product. A
+large one is first compared with a few hubs; then each document that has not
+fallen into the block's largest component is compared with those of a like size
+in the block, or with those that it shares a signature with, whichever sends
+fewer texts, so that a chain of chance meetings costs no more than the meetings. A signature that very many share is dealt to cells as
+well, so that no group is ever one task and nothing that could link is left
+out. Cells report spanning edges only.
 """
 
 from __future__ import annotations
@@ -150,7 +153,7 @@ def set_features(docs: DataFrame, n: int) -> DataFrame:
     return made.select("doc_id", "n_shingles", F.struct("n_shingles", "low", "high").alias("digest"))
 
 
-def candidate_edges(texts: DataFrame, n: int, enum: PartEnum, held: int = 1 << 20) -> DataFrame:
+def candidate_edges(texts: DataFrame, n: int, enum: PartEnum, held: int = 1 << 17) -> DataFrame:
     """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text.
 
     A task first ties its own documents of a signature to the least of them, so
@@ -289,14 +292,14 @@ def cells_for(documents: str, shingles: str, cell: int):
     return F.greatest(F.ceil(F.col(documents) / cell), F.least(F.col(documents), F.ceil(F.col(shingles) / CELL_SHINGLES))).cast("long")
 
 
-def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, cell: int, hubs: int) -> DataFrame:
+def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, enum: PartEnum, cell: int, hubs: int) -> DataFrame:
     """Edges of a spanning forest of each block's true links.
 
     ``texts``: doc_id, text of all documents; ``blocks``: node, label (block), n_shingles.
     """
     sized = blocks.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     placed = blocks.join(sized, "label").filter("members > 1").withColumn("cells", cells_for("members", "shingles", cell))
-    placed = placed.select(F.col("node").alias("doc_id"), "label", "cells", "members", "n_shingles", size_band(F.col("n_shingles"), percent).alias("band"))
+    placed = placed.select(F.col("node").alias("doc_id"), "label", "cells", "members")
     members = cut(texts.join(placed, "doc_id"), "members")
     nil = F.lit(0)
     small = members.filter("cells = 1").select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id", "text")
@@ -311,33 +314,72 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, ce
     hub_rows = large.filter(is_hub).withColumn("at", every).select(key("label", F.col("at"), nil), F.lit(0).alias("side"), "doc_id", "text")
     own_rows = large.select(key("label", block, nil), F.lit(1).alias("side"), "doc_id", "text")
     edges = cut(edges.unionByName(cell_links(hub_rows.unionByName(own_rows), n, percent)), "links")
-    # what the hubs have not drawn into a block's largest component is compared with all of the block that has a like size
+    # what the hubs have not drawn into a block's largest component is compared with what it shares a signature with
     labels = components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("part"))
-    ids = large.select("doc_id", "label", "band", "n_shingles").distinct()
+    ids = large.select("doc_id", "label").distinct()
     parts = cut(ids.join(labels, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")), "parts")
     counted = parts.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = cut(counted.groupBy("label").agg(F.max(F.struct("n", "part")).alias("top")).select("label", F.col("top.part").alias("top")), "largest")
-    moved = cut(parts.join(largest, "label").select("doc_id", "label", "band", "n_shingles", (F.col("part") != F.col("top")).alias("moves")), "moved")
-    sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("n_shingles"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
-    bands = moved.groupBy("label", "band").agg(*sums)
-    bands = cut(bands.select("label", "band", *[F.when(F.col(f"{c}_n") > 0, cells_for(f"{c}_n", f"{c}_shingles", cell)).otherwise(0).alias(c) for c in ("all", "movers")]), "bands")
+    moved = cut(parts.join(largest, "label").select("doc_id", "label", "part", (F.col("part") != F.col("top")).alias("moves")), "moved")
+    groups = signature_groups(large.select("doc_id", "text"), moved, n, percent, enum, cell)
+    lone = groups.filter("cells = 1").select("doc_id", key("sig", nil, nil), F.lit(2).alias("side"))
+    groups = groups.filter("cells > 1")
+    sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("size"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
+    bands = groups.groupBy("sig", "band").agg(*sums)
+    bands = cut(bands.select("sig", "band", *[F.when(F.col(f"{c}_n") > 0, cells_for(f"{c}_n", f"{c}_shingles", cell)).otherwise(0).alias(c) for c in ("all", "movers")]), "bands")
     near = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
 
     def pairs(rows: DataFrame, shelves: str, other: str, hash_seed: int) -> DataFrame:
-        """doc_id, label, own (its band and shelf), and each band and shelf of the other side that it meets."""
-        own = rows.join(bands.select("label", "band", F.col(shelves).alias("_own")), ["label", "band"])
+        """doc_id, sig, own (its band and shelf), and each band and shelf of the other side that it meets."""
+        own = rows.join(bands.select("sig", "band", F.col(shelves).alias("_own")), ["sig", "band"])
         own = own.withColumn("own", F.col("band") * SHELVES + F.pmod(F.xxhash64(F.lit(hash_seed), "doc_id"), F.col("_own")))
-        theirs = bands.filter(F.col(other) > 0).select("label", F.col("band").alias("there"), F.col(other).alias("_shelves"))
-        met = own.withColumn("there", near).join(theirs, ["label", "there"])
+        theirs = bands.filter(F.col(other) > 0).select("sig", F.col("band").alias("there"), F.col(other).alias("_shelves"))
+        met = own.withColumn("there", near).join(theirs, ["sig", "there"])
         shelf = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shelves") - 1))
-        return met.withColumn("shelf", shelf).select("doc_id", "label", "own", (F.col("there") * SHELVES + F.col("shelf")).alias("other"))
+        return met.withColumn("shelf", shelf).select("doc_id", "sig", "own", (F.col("there") * SHELVES + F.col("shelf")).alias("other"))
 
-    movers = pairs(moved.filter("moves"), "movers", "all", 5).select("doc_id", key("label", F.col("own"), F.col("other")), F.lit(0).alias("side"))
-    others = pairs(moved, "all", "movers", 7).select("doc_id", key("label", F.col("other"), F.col("own")), F.lit(1).alias("side"))
-    met = large.select("doc_id", "text").join(movers.unionByName(others), "doc_id").select("cell", "side", "doc_id", "text")
+    movers = pairs(groups.filter("moves"), "movers", "all", 5).select("doc_id", key("sig", F.col("own"), F.col("other")), F.lit(0).alias("side"))
+    others = pairs(groups, "all", "movers", 7).select("doc_id", key("sig", F.col("other"), F.col("own")), F.lit(1).alias("side"))
+    met = large.select("doc_id", "text").join(lone.unionByName(movers).unionByName(others), "doc_id").select("cell", "side", "doc_id", "text")
     return edges.unionByName(cell_links(met, n, percent))
 
 
+def signature_groups(texts: DataFrame, moved: DataFrame, n: int, percent: int, enum: PartEnum, cell: int) -> DataFrame:
+    """sig, doc_id, size, band, moves and cells (that the group asks for): groups whose movers are to be compared with the rest of the group.
+
+    ``moved``: doc_id, label (block), part, moves. The groups of a block are
+    those that share a signature and hold a mover and something it is not tied
+    to yet; of groups of the same documents one is enough. Where it sends fewer
+    texts, the block itself is the one group, with its label for a signature.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(enum)  # its list of common shingles is bounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found, upto = shingle_sets(*utf8(batch.column(1)), n)
+            lists = [np.unique(shared.value.signatures(found[a:b])) for a, b in zip(upto[:-1], upto[1:])]
+            counts, sizes = [len(x) for x in lists], np.diff(upto)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts), pa.int64())], names=["sig", "doc_id", "size"])
+
+    rows = cut(texts.mapInArrow(run, "sig long, doc_id long, size long").join(moved, "doc_id"), "signatures")
+    told = rows.groupBy("label", "sig").agg(
+        F.count("*").alias("members"), F.sum("size").alias("shingles"), F.max("moves").alias("any"), F.min("part").alias("low"), F.max("part").alias("high"),
+        F.bit_xor(F.xxhash64("doc_id", "size")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id", "size")).alias("two"),
+    )
+    kept = told.filter(F.col("any") & (F.col("low") != F.col("high"))).groupBy("label", "members", "shingles", "low", "high", "one", "two").agg(F.min("sig").alias("sig"))
+    kept = cut(kept.select("label", "sig", "members", cells_for("members", "shingles", cell).alias("cells")), "signature-groups")
+    own = cut(rows.select("label", "doc_id", "size", "moves").distinct(), "block-rows")
+    sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("size"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
+    sized = own.groupBy("label").agg(*sums).withColumn("cells", cells_for("all_n", "all_shingles", cell))
+    by_block = sized.select("label", "cells", (F.col("movers_n") * F.col("cells") + F.col("all_n") * cells_for("movers_n", "movers_shingles", cell)).alias("by_block"))
+    by_signature = kept.groupBy("label").agg(F.sum(F.col("members") * F.col("cells")).alias("by_signature"))
+    choice = cut(by_block.join(by_signature, "label").select("label", "cells", (F.col("by_block") <= F.col("by_signature")).alias("whole")), "choice")
+    band = size_band(F.col("size"), percent).alias("band")
+    whole = own.join(choice.filter("whole"), "label").select(F.col("label").alias("sig"), "doc_id", "size", band, "moves", "cells")
+    split = kept.join(choice.filter("not whole").select("label"), "label").select("sig", "label", "cells")
+    return cut(rows.join(split, ["label", "sig"]).select("sig", "doc_id", "size", band, "moves", "cells").unionByName(whole), "grouped")
+
+
 #: More shelves than a band ever has.
 SHELVES = 1 << 40
 
@@ -367,7 +409,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     sizes = rows.filter("doc_id = class_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     blocks = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     blocks = cut(blocks.join(sizes.withColumnRenamed("doc_id", "node"), "node"), "blocks")
-    linked = verified_edges(there, blocks, n, percent, cell, hubs)
+    linked = verified_edges(there, blocks, n, percent, enum, cell, hubs)
     labels = components(linked)
     placed = rows.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
     lone = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))

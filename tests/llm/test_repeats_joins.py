@@ -186,8 +186,14 @@ def near_rows():
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a"), (n + 4, "A"), (n + 5, "Long word " * 4000)]
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_near_groups_are_brute_force(docs_frame, n, percent):
+@pytest.mark.parametrize("n,percent,whole", [(3, 90, None), (5, 80, None), (3, 90, True), (5, 80, False)])
+def test_near_groups_are_brute_force(docs_frame, monkeypatch, n, percent, whole):
+    real = ngramjoin.cut
+
+    def chosen(df, name):  # large blocks as a whole, or by signature
+        return real(df.withColumn("whole", F.lit(whole)) if name == "choice" and whole is not None else df, name)
+
+    monkeypatch.setattr(ngramjoin, "cut", chosen)
     rows = near_rows()
     got = ngramjoin.near_groups(docs_frame(rows), n, percent, cell=16, hubs=3)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_groups(rows, n, percent)
