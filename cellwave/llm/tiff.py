@@ -43,78 +43,67 @@ class TiffError(ValueError):
 
 
 def lzw_encode(data: bytes) -> bytes:
-    bits, n_bits = 0, 0
-    table: dict[bytes, int] = {}
-    width, following = 9, 258
-
-    def reset() -> None:
-        nonlocal width, following
-        table.clear()
-        table.update({bytes([i]): i for i in range(256)})
-        width, following = 9, 258
-
-    out = bytearray()
-
-    def put(code: int) -> None:
-        nonlocal bits, n_bits
-        bits, n_bits = (bits << width) | code, n_bits + width
-        if n_bits >= 512:
-            keep = n_bits % 8
-            out.extend((bits >> keep).to_bytes(n_bits // 8, "big"))
-            bits, n_bits = bits & ((1 << keep) - 1), keep
-
-    reset()
-    put(CLEAR)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Codes as ``lzw_decode`` reads them; the table is cleared before it is full."""
+    out, table = bytearray(), {}  # a longer string's code by its prefix's code and last byte
+    bits, n_bits, width, following = CLEAR, 9, 9, 258
+    code = data[0] if data else -1
+    for byte in memoryview(data)[1:]:
+        key = code << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
+            code = longer
             continue
-        put(table[word])
-        table[longer] = following
+        bits, n_bits = bits << width | code, n_bits + width
+        table[key] = following
         following += 1
         if following == 4094:
-            put(CLEAR)
-            reset()
-        elif following > (1 << width) - 1:
+            bits, n_bits = bits << width | CLEAR, n_bits + width
+            table.clear()
+            width, following = 9, 258
+        elif following >= 1 << width:
             width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word])
-        following += 1
-        if following > (1 << width) - 1 and width < 12:
+        code = byte
+        if n_bits >= 1024:
+            keep = n_bits % 8
+            out += (bits >> keep).to_bytes(n_bits // 8, "big")
+            bits, n_bits = bits & ((1 << keep) - 1), keep
+    if code >= 0:
+        bits, n_bits = bits << width | code, n_bits + width
+        if following + 1 >= 1 << width and width < 12:
             width += 1
-    put(END)
-    if n_bits % 8:
-        bits, n_bits = bits << (8 - n_bits % 8), n_bits + 8 - n_bits % 8
-    out.extend(bits.to_bytes(n_bits // 8, "big"))
+    bits, n_bits = bits << width | END, n_bits + width
+    spare = -n_bits % 8
+    out += (bits << spare).to_bytes((n_bits + spare) // 8, "big")
     return bytes(out)
 
 
+#: The strings of the codes that stand for one byte; two codes are no strings.
+SINGLE = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
 def lzw_decode(data: bytes, most: int) -> bytes:
     """Codes go most significant bit first and widen one code early; stops at the end code or after ``most`` bytes."""
-    first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, previous = list(first), 9, b""
-    out, size = [], 0
+    table, width, wider, previous = list(SINGLE), 9, 511, b""
+    out, size, following = [], 0, 258
     bits, n_bits, at, total = 0, 0, 0, len(data)
     while size < most:
-        while n_bits < width:
-            if at >= total:
-                return b"".join(out)
-            chunk = data[at : at + 8]
-            bits, n_bits, at = (bits << (8 * len(chunk))) | int.from_bytes(chunk, "big"), n_bits + 8 * len(chunk), at + len(chunk)
+        if n_bits < width:
+            chunk = data[at : at + 64]
+            at += 64
+            bits, n_bits = bits << (8 * len(chunk)) | int.from_bytes(chunk, "big"), n_bits + 8 * len(chunk)
+            if n_bits < width:
+                break
         n_bits -= width
         code = bits >> n_bits
         bits &= (1 << n_bits) - 1
         if code == END:
             break
         if code == CLEAR:
-            table, width, previous = list(first), 9, b""
+            table, width, wider, previous, following = list(SINGLE), 9, 511, b"", 258
             continue
-        if code < len(table):
+        if code < following:
             entry = table[code]
-        elif code == len(table) and previous:
+        elif code == following and previous:
             entry = previous + previous[:1]
         else:
             raise TiffError("LZW code out of range")
@@ -122,8 +111,9 @@ def lzw_decode(data: bytes, most: int) -> bytes:
         size += len(entry)
         if previous:
             table.append(previous + entry[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
+            following += 1
+            if following >= wider and width < 12:
+                width, wider = width + 1, 2 * wider + 1
         previous = entry
     return b"".join(out)
 
