@@ -9,6 +9,8 @@ from cellwave.llm.linededup import OP8_SQL, op8_line_dedup
 from cellwave.llm.mixing import op1_source_mix
 from cellwave.llm.ngramjoin import op4_ngram_jaccard
 from cellwave.llm.oracles import OP1_SQL, OP4_SQL, OP10_SQL
+from cellwave.llm.periodic import op11_periodic_runs
+from cellwave.llm.phrases import OP12_SQL, op12_phrase_collocations
 from cellwave.llm.repeats import op3_suffix_dedup
 from cellwave.llm.tiff import op7_tiff_pages
 from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
