@@ -11,6 +11,7 @@ from cellwave.llm.ngramjoin import op4_ngram_jaccard
 from cellwave.llm.oracles import OP1_SQL, OP4_SQL, OP10_SQL
 from cellwave.llm.periodic import op11_periodic_runs
 from cellwave.llm.phrases import OP12_SQL, op12_phrase_collocations
+from cellwave.llm.quality import op13_quality_trees
 from cellwave.llm.repeats import op3_suffix_dedup
 from cellwave.llm.tiff import op7_tiff_pages
 from cellwave.llm.topk import OP2_SQL, op2_exact_top_k
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
