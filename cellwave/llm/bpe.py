@@ -301,8 +301,12 @@ def split_words(text: str, rules: Merger) -> list[str]:
     return split(text)
 
 
+#: Words of the lexicon are shorter than this; longer ones are merged where they occur.
+LONG_WORD = 256
+
+
 def frequent_words(docs: DataFrame, path: str, n: int, text: str = "text", most: int = 1 << 18) -> list[str]:
-    """At most ``n`` words: those of all texts that occur most often, down to the count at which there would be more; special tokens are none."""
+    """At most ``n`` words of fewer than LONG_WORD characters: those of all texts that occur most often, down to the count at which there would be more; special tokens are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, counts = merger(path), Counter()
@@ -321,7 +325,7 @@ def frequent_words(docs: DataFrame, path: str, n: int, text: str = "text", most:
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # a word that occurs once is no frequent one; special tokens are words of their own already
-    counted = cut(counted.filter(~F.col("word").isin(list(merger(path).special)) & (F.col("n") > 1)), "words")
+    counted = cut(counted.filter(~F.col("word").isin(list(merger(path).special)) & (F.col("n") > 1) & (F.length("word") < LONG_WORD)), "words")
     # counts by size, the larger ones in steps of an eightieth, so that their table has a few thousand rows at most
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) - 640 + 1024)
     upto, least = 0, None
@@ -338,7 +342,7 @@ def frequent_words(docs: DataFrame, path: str, n: int, text: str = "text", most:
 def build_lexicon(docs: DataFrame, path: str, words: int = 1 << 18, text: str = "text") -> bytes:
     """A packed lexicon of the corpus's most frequent words; its size is bounded by ``words``."""
     rules = merger(path)
-    return Lexicon.compile({w.encode(): rules.merge(w.encode()) for w in frequent_words(docs, path, words, text) if len(w) < 256}).pack()
+    return Lexicon.compile({w.encode(): rules.merge(w.encode()) for w in frequent_words(docs, path, words, text)}).pack()
 
 
 _coders: dict[tuple[str, str], Coder] = {}

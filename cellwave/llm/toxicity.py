@@ -127,13 +127,14 @@ def train(rows: list[tuple[list[int], list[tuple[list[int], list[int], int]], in
     return w, float(c)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_features: int = 2_048, least: int = 5, pairs: tuple[tuple[str, str], ...] = IDENTITY_PAIRS, fairness: float = 1.0, seed: int = 5) -> Model:
-    """Fits on at most ``sample_rows`` labelled rows of either class, the first by a hash of their ids.
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_features: int = 2_048, least: int = 5, pairs: tuple[tuple[str, str], ...] = IDENTITY_PAIRS, fairness: float = 1.0, seed: int = 5, most_swaps: int = 256) -> Model:
+    """Fits on the rows of at most ``sample_rows`` labelled ids of either class, the first by a hash of their ids, and on 2 * ``sample_rows`` rows at most.
 
     ``docs`` has doc_id and text; ``labels`` doc_id and toxic, 0 or 1. An id
     labelled both ways counts as toxic; null labels are left out. Without
     labels of one of the classes, or without their documents, the model is a
-    constant: 0 where nothing is labelled toxic, 1 where all is. The ids of
+    constant: 0 where nothing is labelled toxic, 1 where all is. Of a row's
+    swaps the ``most_swaps`` most frequent kinds count. The ids of
     the sample are the only thing that is broadcast, the sample's features of
     the ``n_features`` most telling ones the only thing that reaches the driver.
     """
@@ -170,10 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, n_featur
         change = pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32())), ("n", pa.int64())])
         for batch in steps(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            changed = [[{"lost": numbers(lost), "gained": numbers(gained), "n": n} for (lost, gained), n in sorted(swapped(t, swap).items())] for t in texts]
+            changed = [[{"lost": numbers(lost), "gained": numbers(gained), "n": n} for (lost, gained), n in sorted(swapped(t, swap).items(), key=lambda x: (-x[1], x[0]))[:most_swaps]] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([numbers(features(t)) for t in texts], pa.list_(pa.int32())), pa.array(changed, pa.list_(change))], names=["toxic", "own", "swaps"])
 
-    rows = sample.mapInArrow(extract, "toxic int, own array<int>, swaps array<struct<lost: array<int>, gained: array<int>, n: long>>").collect()
+    found = sample.mapInArrow(extract, "toxic int, own array<int>, swaps array<struct<lost: array<int>, gained: array<int>, n: long>>")
+    # rows of a labelled id may be many: their number is bounded as well
+    rows = found.orderBy(F.xxhash64(F.lit(seed), "toxic", "own", "swaps"), "toxic", "own").limit(2 * sample_rows).collect()
     share = {y: totals[y] / seen[y] for y in (0, 1)}
     rows = sorted(((list(r["own"]), [(list(x["lost"]), list(x["gained"]), x["n"]) for x in r["swaps"]], r["toxic"], share[r["toxic"]]) for r in rows), key=repr)
     if not rows:

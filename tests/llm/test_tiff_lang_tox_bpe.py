@@ -340,3 +340,18 @@ def test_round_trip(docs_frame, tokenizer):
     back = bpe.decode(bpe.encode(df, path, packed, ["doc_id"]), path, ["doc_id"]).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted((str(i), t or "") for i, t in rows)
     assert bpe.round_trip(df.limit(0), path, bpe.build_lexicon(df.limit(0), path), ["doc_id"]).count() == 0
+
+
+def test_rows_of_one_labelled_id_are_bounded(docs_frame, spark, monkeypatch):
+    seen, real = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, n, **k: seen.append(rows) or real(rows, n, rounds=3))
+    sentences = ". ".join(f"she met {i} {'the old' * (i % 2)} men" for i in range(400))
+    docs = docs_frame([(1, f"you fool number {i}") for i in range(500)] + [(2, sentences)])
+    toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), sample_rows=100, least=1, most_swaps=2)
+    assert len(seen[0]) <= 200 and max(len(r[1]) for r in seen[0]) <= 2
+
+
+def test_long_words_are_not_collected(docs_frame):
+    path = bpe.default_tokenizer()
+    docs = docs_frame([(i, "b" * (1 << 20) + " the the cat") for i in range(4)])
+    assert all(len(w) < bpe.LONG_WORD for w in bpe.frequent_words(docs, path, 1 << 18)) and " the" in bpe.frequent_words(docs, path, 1 << 18)
