@@ -7,13 +7,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a mapping handles at a time, so that memory stays bounded for any batch.
 STEP_BYTES = 1 << 20
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most about ``most`` bytes from now on, in a session that has not set them itself."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, str(most))
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than texts) and bytes of a string array; null texts are empty."""
     if texts.null_count:

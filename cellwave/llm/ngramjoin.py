@@ -34,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwave.llm.arrow import runs, steps, utf8
+from cellwave.llm.arrow import runs, small_batches, steps, utf8
 from cellwave.llm.graph import components
-from cellwave.llm.shingles import U64, mix, shingle_sets
+from cellwave.llm.shingles import U64, exact_sets, mix, shingle_sets
 from cellwave.llm.store import cut
 
 
@@ -153,14 +154,13 @@ def set_features(docs: DataFrame, n: int) -> DataFrame:
     return made.select("doc_id", "n_shingles", F.struct("n_shingles", "low", "high").alias("digest"))
 
 
-def candidate_edges(texts: DataFrame, n: int, enum: PartEnum, held: int = 1 << 17) -> DataFrame:
+def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], held: int = 1 << 17) -> DataFrame:
     """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text.
 
     A task first ties its own documents of a signature to the least of them, so
     that a signature reaches its reducer once per ``held`` signatures or so of a
     task, however many documents share it.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(enum)  # its list of common shingles is bounded
 
     def firsts(sig: np.ndarray) -> np.ndarray:
         first = np.ones(len(sig), bool)
@@ -230,29 +230,30 @@ def links(found: np.ndarray, upto: np.ndarray, left: np.ndarray, right: np.ndarr
     common = counts[feature] > 1  # a shingle of one set alone is in no intersection
     feature, owner = feature[common], owner[common]
     used, feature = np.unique(feature, return_inverse=True)
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((len(left), len(right)), np.int64)
     order = np.argsort(feature, kind="stable")
     feature, owner = feature[order], owner[order]
     for start in range(0, len(used), most):
         a, b = np.searchsorted(feature, (start, start + most))
         dense = np.zeros((len(sizes), min(most, len(used) - start)), np.float32)
         dense[owner[a:b], feature[a:b] - start] = 1
-        both += dense[left] @ dense[right].T
+        both += (dense[left] @ dense[right].T).astype(np.int64)  # whole numbers of ``most`` at most
     union = sizes[left][:, None] + sizes[right][None, :] - both
-    i, j = np.nonzero((100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (both > 0))
+    i, j = np.nonzero((100 * both >= percent * union) & (both > 0))
     return zip(i.tolist(), j.tolist())
 
 
 def cell_links(cells: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges (a, b) of a spanning forest of each cell's links, linked documents of each cell's left and right side.
 
-    ``cells`` has cell (a struct), side (0 left, 1 right, 2 both), doc_id and text.
+    ``cells`` has cell (a struct), side (0 left, 1 right, 2 both), doc_id and
+    text. Words are compared as they are, so that no link rests on hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["k0", "k1", "k2"]):
             ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-            found, upto = shingle_sets(*utf8(table.column("text").combine_chunks()), n)
+            found, upto = exact_sets(table.column("text").cast(pa.binary()).to_pylist(), n)
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             parent = list(range(len(ids)))
 
@@ -292,7 +293,7 @@ def cells_for(documents: str, shingles: str, cell: int):
     return F.greatest(F.ceil(F.col(documents) / cell), F.least(F.col(documents), F.ceil(F.col(shingles) / CELL_SHINGLES))).cast("long")
 
 
-def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, enum: PartEnum, cell: int, hubs: int) -> DataFrame:
+def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, shared: Broadcast[PartEnum], cell: int, hubs: int) -> DataFrame:
     """Edges of a spanning forest of each block's true links.
 
     ``texts``: doc_id, text of all documents; ``blocks``: node, label (block), n_shingles.
@@ -321,7 +322,7 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, en
     counted = parts.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = cut(counted.groupBy("label").agg(F.max(F.struct("n", "part")).alias("top")).select("label", F.col("top.part").alias("top")), "largest")
     moved = cut(parts.join(largest, "label").select("doc_id", "label", "part", (F.col("part") != F.col("top")).alias("moves")), "moved")
-    groups = signature_groups(large.select("doc_id", "text"), moved, n, percent, enum, cell)
+    groups = signature_groups(large.select("doc_id", "text"), moved, n, percent, shared, cell)
     lone = groups.filter("cells = 1").select("doc_id", key("sig", nil, nil), F.lit(2).alias("side"))
     groups = groups.filter("cells > 1")
     sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("size"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
@@ -344,7 +345,7 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, en
     return edges.unionByName(cell_links(met, n, percent))
 
 
-def signature_groups(texts: DataFrame, moved: DataFrame, n: int, percent: int, enum: PartEnum, cell: int) -> DataFrame:
+def signature_groups(texts: DataFrame, moved: DataFrame, n: int, percent: int, shared: Broadcast[PartEnum], cell: int) -> DataFrame:
     """sig, doc_id, size, band, moves and cells (that the group asks for): groups whose movers are to be compared with the rest of the group.
 
     ``moved``: doc_id, label (block), part, moves. The groups of a block are
@@ -352,7 +353,6 @@ def signature_groups(texts: DataFrame, moved: DataFrame, n: int, percent: int, e
     to yet; of groups of the same documents one is enough. Where it sends fewer
     texts, the block itself is the one group, with its label for a signature.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(enum)  # its list of common shingles is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -361,7 +361,8 @@ def signature_groups(texts: DataFrame, moved: DataFrame, n: int, percent: int, e
             counts, sizes = [len(x) for x in lists], np.diff(upto)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts), pa.int64())], names=["sig", "doc_id", "size"])
 
-    rows = cut(texts.mapInArrow(run, "sig long, doc_id long, size long").join(moved, "doc_id"), "signatures")
+    # repeated rows once, so that xors below tell groups of different documents apart
+    rows = cut(texts.mapInArrow(run, "sig long, doc_id long, size long").distinct().join(moved, "doc_id"), "signatures")
     told = rows.groupBy("label", "sig").agg(
         F.count("*").alias("members"), F.sum("size").alias("shingles"), F.max("moves").alias("any"), F.min("part").alias("low"), F.max("part").alias("high"),
         F.bit_xor(F.xxhash64("doc_id", "size")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id", "size")).alias("two"),
@@ -395,22 +396,26 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     and link with nothing; ids are whole numbers; the class and the
     component of a null id are null, and nothing links with it. Rows of one id count as one document, linked
     by whatever any of them links to. Other columns are not read.
+
+    Arrow batches of the session are held to 8 MB from then on: cells send
+    texts, and a batch is held by the executor, its worker and a buffer between.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     there = texts.filter("doc_id is not null and text is not null")
     features = cut(set_features(texts, n), "set-features")
     # written, as both sides of a join must be plain exchanges for Spark to split a large class
     classes = cut(features.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "class-ids")
     rows = cut(features.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "classes")
-    enum = PartEnum(percent, common_shingles(there, n))
+    shared = docs.sparkSession.sparkContext.broadcast(PartEnum(percent, common_shingles(there, n)))  # its list of common shingles is bounded
     class_of = rows.filter("class_id is not null").select("doc_id", "class_id")
-    edges = candidate_edges(there, n, enum)
+    edges = candidate_edges(there, n, shared)
     edges = edges.join(class_of.select(F.col("doc_id").alias("a"), F.col("class_id").alias("x")), "a").join(class_of.select(F.col("doc_id").alias("b"), F.col("class_id").alias("y")), "b")
     sizes = rows.filter("doc_id = class_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     blocks = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     blocks = cut(blocks.join(sizes.withColumnRenamed("doc_id", "node"), "node"), "blocks")
-    linked = verified_edges(there, blocks, n, percent, enum, cell, hubs)
-    labels = components(linked)
+    labels = components(verified_edges(there, blocks, n, percent, shared, cell, hubs))
+    shared.unpersist()
     placed = rows.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left")
     lone = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", "n_shingles", "class_id", F.coalesce("label", lone).alias("component_id"))

@@ -70,8 +70,12 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[offsets > 0] - 1
     ends[last] = inside[last]
     end = np.flatnonzero(ends) + 1
-    hashes = mix(span_hashes(prefix_hashes(low), begin, end) + (end - begin).astype(U64))
-    return hashes, np.searchsorted(begin, offsets)
+    # a byte's number depends on its place in the word and is no power of a base, which some long words of two letters defeat for every base
+    size = end - begin
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(BYTE[low[place + np.repeat(begin, size)]] + place.astype(U64) * U64(0x9E3779B97F4A7C15)), dtype=U64)))
+    return mix(sums[upto[1:]] - sums[upto[:-1]] + size.astype(U64)), np.searchsorted(begin, offsets)
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,3 +104,32 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndar
         sets.append(found)
         ends.append(ends[-1] + len(found))
     return (np.concatenate(sets) if sets else grams), np.array(ends)
+
+
+#: ``LOWER`` for bytes.translate.
+_LOWER = LOWER.tobytes()
+
+
+def exact_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` with numbers in place of hashes, equal within these texts for equal words and only for these."""
+    names: dict[bytes, int] = {}
+    whole: dict[tuple[int, ...], int] = {}
+    lists = [[names.setdefault(w, len(names)) for w in t.translate(_LOWER).split()] for t in texts]
+    ids = np.fromiter((i for x in lists for i in x), np.int64)
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in lists], dtype=np.int64)))
+    grams, bits = ids[: max(0, len(ids) - n + 1)], max(1, len(names)).bit_length()
+    used = bits
+    for k in range(1, n):
+        if used + bits > 63:
+            _, grams = np.unique(grams, return_inverse=True)
+            used = max(1, len(grams)).bit_length()
+        grams, used = (grams << bits) | ids[k : len(grams) + k], used + bits
+    sets = []
+    for x, a, b in zip(lists, upto[:-1].tolist(), upto[1:].tolist()):
+        if b - a >= n:
+            sets.append(np.unique(grams[a : b - n + 1]))
+        elif b > a:
+            sets.append(np.array([-1 - whole.setdefault(tuple(x), len(whole))]))
+        else:
+            sets.append(ids[:0])
+    return np.concatenate([ids[:0], *sets]), np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in sets], dtype=np.int64)))

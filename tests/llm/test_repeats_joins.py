@@ -4,10 +4,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cellwave.llm import graph, ngramjoin, repeats, store, suffixes
+from cellwave.llm import graph, ngramjoin, repeats, shingles, store, suffixes
+from cellwave.llm.arrow import utf8
 from cellwave.llm.shingles import prefix_hashes
 from tests.llm.conftest import words
 
@@ -267,3 +269,42 @@ def test_long_texts_link(docs_frame, monkeypatch):
     rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, " ".join(long[:100_000])), (4, " ".join(changed[: 195_000]))]
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(rows), 5, 80).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+@pytest.mark.parametrize("letters", [512, 1024, 2048])
+def test_words_that_defeat_polynomials(docs_frame, letters):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(letters))  # and its complement have the same polynomial for every odd base
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "x y z")]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(rows), 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+
+
+def test_exact_sets_are_shingle_sets():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("aB") * rng.randrange(1, 3) for _ in range(rng.randrange(9))) for _ in range(80)] + ["", "A a a", "a a A", "  a\n", " ".join(f"w{i}" for i in range(70_000))]
+    for n in (1, 3, 5, 8):
+        numbers, upto = shingles.exact_sets([t.encode() for t in texts], n)
+        hashes, ends = shingles.shingle_sets(*utf8(pa.array(texts)), n)
+        assert upto.tolist() == ends.tolist()
+        for t, a, b in zip(texts, upto[:-1], upto[1:]):
+            ws = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+            want = {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
+            assert len(want) == b - a
+        assert len(set(numbers.tolist())) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_repeated_rows_change_no_group(docs_frame, monkeypatch, whole):
+    kept, real = [], ngramjoin.cut
+
+    def chosen(df, name):
+        made = real(df.withColumn("whole", F.lit(whole)) if name == "choice" else df, name)
+        if name == "signature-groups":
+            kept.append(made.count())
+        return made
+
+    monkeypatch.setattr(ngramjoin, "cut", chosen)
+    rows = near_rows()
+    once, twice = ({r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(x), 3, 90, cell=16, hubs=3).collect()} for x in (rows, rows * 2))
+    assert once == twice == {k: v[1] for k, v in brute_groups(rows, 3, 90).items()}
+    assert kept[0] == kept[1] > 0
