@@ -24,8 +24,8 @@ def examples_from_history(raw: DataFrame, max_context: int | None = None) -> Dat
     return series.build_examples(clean.canonical(raw), max_context=max_context)
 
 
-def evaluate(examples_: DataFrame, models: tuple[str, ...] | dict[str, str | Callable] = ("last", "mean", "median", "binned"), dataset: str = "original", max_context: int | None = 8192, seed: int = 0) -> DataFrame:
-    """Scored forecasts of every model, built in or one's own by name, on every example."""
+def evaluate(examples_: DataFrame, models: tuple[str, ...] | dict[str, str | Callable] = ("last", "mean", "median", "binned"), dataset: str = "original", max_context: int | None = None, seed: int = 0) -> DataFrame:
+    """Scored forecasts of every model, built in or one's own by name, on every example, from all points before the last unless ``max_context`` says how many."""
     named = models if isinstance(models, dict) else {m: m for m in models}
     return score.evaluate_forecasters(examples_, named, seed=seed, max_context=max_context).withColumn("dataset", F.lit(dataset))
 
@@ -41,8 +41,7 @@ def instant_from_slots(slots: DataFrame, slot: int = 300, seed: int = 0) -> Data
     """Generated per-second traffic of every slot that has any traffic figure."""
     stats = traffic.fit_tau_zeta(sectors.sector_cv2(sectors.sector_stats(slots)), slot)
     params = traffic.arrival_params(traffic.slot_variance(slots, stats), slot)
-    dealt = params.repartition("secteur", "dates_5min")
-    return generate.expand_seconds(generate.generate_ipp(dealt, slot, seed))
+    return generate.generate_seconds(params, slot, seed).select("secteur", "timestamp", "psi_instant")
 
 
 def compare_with_history(slots: DataFrame, instant: DataFrame) -> DataFrame:

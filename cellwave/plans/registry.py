@@ -33,10 +33,13 @@ def query(*parts: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cellwave.plans import drawn  # noqa: F401  its queries register with this module
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
