@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellwave.operators.rank import ranked
+
 
 def sort_series(df: DataFrame, sector: str = "secteur", time: str = "tstamp", seq: str = "row_seq") -> DataFrame:
     """Rows by sector and time, null times last, ties in file order: dealt by range and sorted within partitions, which is a total order."""
@@ -17,11 +19,10 @@ def sort_series(df: DataFrame, sector: str = "secteur", time: str = "tstamp", se
 
 
 def assign_slots(df: DataFrame, start: str = "2025-01-01", minutes: int = 5, sector: str = "secteur", time: str = "tstamp", seq: str = "row_seq") -> DataFrame:
-    """dates_5min: the i-th row of a sector, from 0, gets ``start`` and i slots. Rows without a sector vanish."""
-    order = W.partitionBy(sector).orderBy(F.col(time).asc_nulls_last(), F.col(seq))
-    slot = F.row_number().over(order) - 1
-    stamp = F.lit(start).cast("timestamp") + F.make_dt_interval(mins=slot * minutes)
-    return df.filter(F.col(sector).isNotNull()).withColumn("dates_5min", stamp)
+    """dates_5min: the i-th row of a sector, from 0, gets ``start`` and i slots. Rows without a sector vanish; a sector may have any number of rows (``ranked``)."""
+    rows = ranked(df.filter(F.col(sector).isNotNull()), sector, [F.col(time).asc_nulls_last(), F.col(seq)], "_rank")
+    stamp = F.lit(start).cast("timestamp") + F.make_dt_interval(mins=((F.col("_rank") - 1) * minutes).cast("int"))
+    return rows.withColumn("dates_5min", stamp).drop("_rank")
 
 
 def first_appearance_order(df: DataFrame, stamp: str = "timestamp_iso", seq: str = "row_seq") -> DataFrame:
@@ -61,6 +62,12 @@ def build_examples(df: DataFrame, order: str = "file", max_context: int | None =
     )
 
 
+def all_but_last(df: DataFrame, sector: str = "sector", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
+    """The rows of each series but its last one, by an aggregation and a join alone."""
+    ends = df.groupBy(F.col(sector).alias("_of")).agg(F.max(F.struct(*order)).alias("_end"))
+    return df.join(ends, F.col(sector) == F.col("_of")).filter(F.struct(*order) < F.col("_end")).drop("_of", "_end")
+
+
 def last_values(df: DataFrame, sector: str = "sector", value: str = "trafic_mbps", order: str = "first_seq", seq: str = "row_seq") -> DataFrame:
     """sector, target: the last value of each series, by an aggregation alone."""
     return df.groupBy(sector).agg(F.max_by(value, F.struct(order, seq)).alias("target"))

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellwave.operators.rank import ranked
+
 
 def last_context(df: DataFrame, size: int | None, sector: str = "sector", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
     """The ``size`` points of each series before its last one, numbered by pos, 1 to ``size``; shorter ones begin later.
 
-    Without a ``size`` all points but the last, numbered from 1.
+    Without a ``size`` all points but the last, numbered from 1. A series may
+    have any number of points (``ranked``); ``series.all_but_last`` does without
+    the numbers.
     """
-    back = F.row_number().over(W.partitionBy(sector).orderBy(*[F.col(c).desc() for c in order]))
     if size is None:
-        size = F.count("*").over(W.partitionBy(sector)) - 1
-        return df.withColumn("_back", back).withColumn("pos", size + 2 - F.col("_back")).filter(F.col("_back") > 1).drop("_back")
-    return df.withColumn("_back", back).filter((F.col("_back") > 1) & (F.col("_back") <= size + 1)).withColumn("pos", F.lit(size + 2) - F.col("_back")).drop("_back")
+        rows = ranked(df, sector, [F.col(c) for c in order], "pos", "_size")
+        return rows.filter(F.col("pos") < F.col("_size")).drop("_size")
+    rows = ranked(df, sector, [F.col(c).desc() for c in order], "_back")
+    return rows.filter((F.col("_back") > 1) & (F.col("_back") <= size + 1)).withColumn("pos", F.lit(size + 2) - F.col("_back")).drop("_back")
 
 
 def padded_context(context: Column, size: int) -> Column:

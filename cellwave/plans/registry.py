@@ -33,7 +33,7 @@ def query(*parts: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cellwave.plans import drawn  # noqa: F401  its queries register with this module
+    from cellwave.plans import drawn, long_series  # noqa: F401  their queries register with this module
 
     return dict(QUERIES)
 
@@ -436,7 +436,7 @@ SIZE = 64
 
 def context(spark, d):
     """All points of each series before its last one."""
-    return tokens.last_context(ordered(spark, d), None)
+    return series.all_but_last(ordered(spark, d))
 
 
 @query(views.HISTORY, CANON, BACK, f"SELECT sector, timestamp_iso, trafic_mbps, ({SIZE} + 2 - back)::INTEGER AS pos FROM backwards WHERE back BETWEEN 2 AND {SIZE} + 1")
@@ -573,7 +573,7 @@ def scored(spark, d):
 def score_series(spark, d):
     rows = ordered(spark, d)
     targets = rows.groupBy("sector").agg(F.max_by(F.struct("site", "trafic_mbps"), F.struct("first_seq", "row_seq")).alias("t")).select("sector", "t.site", F.col("t.trafic_mbps").alias("target"))
-    made = forecast.forecast_native(tokens.last_context(rows, None), "mean")
+    made = forecast.forecast_native(series.all_but_last(rows), "mean")
     return score.score_series(made, targets).select("sector", "site", "target", r6("prediction", "prediction"), r6("squared_error", "squared_error"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: What ``stored`` has written and nothing has deleted yet.
+_stored: list[str] = []
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -20,3 +23,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back; ``clear_stored`` deletes what this has written."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    _stored.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the tables of ``stored``, once what was made from them has been saved."""
+    sc = spark.sparkContext
+    while _stored:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
