@@ -2,9 +2,9 @@
 
 Every word n-gram has a fingerprint, taken from prefix polynomials over the
 hashes of its words, which are themselves polynomials over bytes. Fingerprints
-only say what may be frequent: they are counted first, pairs of words before
-longer phrases, which need frequent pairs, and those that are frequent set bits
-of a map of fixed size. Then the texts are read once more; what the map lets
+only say what may be frequent: they are counted first, those of words, of pairs
+of frequent words, then of longer phrases of frequent pairs, and those that are
+frequent set bits of a map of fixed size. Then the texts are read once more; what the map lets
 through is grouped by fingerprint, each occurrence is compared with the first
 one of its group, to whose place the group points, and only such phrases become
 text. What the shuffle adds up then has the text for a key, so that a count
@@ -36,7 +36,9 @@ KIND[32] = 1
 KIND[[*b".,;:!?", 10, 11, 12, 13]] = 2
 
 #: Words of the longest phrases, and bytes of text that are looked at together.
-LONGEST, BYTES = 4, 1 << 21
+LONGEST, BYTES = 4, 1 << 20
+#: Tasks a core that a scan keeps, and parts of the input that one takes at most: larger tasks add up more before they shuffle.
+TASKS_A_CORE, PARTS_A_TASK = 3, 4
 
 
 class Words:
@@ -123,7 +125,7 @@ class Frequent:
     def with_frequent(self, counted: DataFrame, least: int) -> Frequent:
         """This map with the fingerprints (fp, n) that are counted ``least`` times; 2 ** (bits - 6) rows at most reach the driver."""
         often = counted.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        bit = F.shiftrightunsigned("fp", 64 - self.bits)
+        bit = F.shiftrightunsigned("fp", 32 - self.bits)
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
         blocks = often.select(F.shiftrightunsigned(bit, 6).alias("block"), mask.alias("mask"))
         table = blocks.groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
@@ -139,27 +141,26 @@ def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield batch, Words(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist())
 
 
-def counted_prints(rows: DataFrame, sizes: tuple[int, ...], pairs: Frequent | None) -> DataFrame:
-    """fp, n: fingerprints of the n-grams of the given sizes and how often a part of the texts has them; of those whose pairs of words ``pairs`` lets through."""
-    shared = rows.sparkSession.sparkContext.broadcast(pairs)
+def counted_prints(rows: DataFrame, sizes: tuple[int, ...], inner: int = 0, frequent: Frequent | None = None) -> DataFrame:
+    """fp (its first 32 bits), n: fingerprints of the n-grams of the given sizes and how often a part of the texts has them; of those only whose ``inner``-grams the map lets through."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, w in words_of(batches):
             found = []
-            if shared.value is not None:
-                twos = w.places(2)
-                good = np.zeros(len(w.begin) + LONGEST, bool)
-                good[twos] = shared.value(w.prints(twos, 2))
+            if inner:
+                at = w.places(inner)
+                good = np.zeros(len(w.begin), bool)
+                good[at] = shared.value(w.prints(at, inner))
             for n in sizes:
                 at = w.places(n)
-                if shared.value is not None:
-                    for k in range(n - 1):
-                        at = at[good[at + k]]
+                for k in range(n - inner + 1 if inner else 0):
+                    at = at[good[at + k]]
                 found.append(w.prints(at, n))
-            prints, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], names=["fp", "n"])
+            prints, n = np.unique((np.concatenate(found) >> U64(32)).astype(np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int32)), pa.array(n)], names=["fp", "n"])
 
-    return rows.mapInArrow(run, "fp long, n long")
+    return rows.mapInArrow(run, "fp int, n long")
 
 
 def materialised(rows: DataFrame, frequent: Frequent) -> DataFrame:
@@ -204,13 +205,16 @@ def collocations(docs: DataFrame, least: int = 30, inside_percent: int = 80, top
     of the language; first_doc is the least id of a document with the phrase.
 
     Null and empty texts have no words. Repeated rows are rows like others; an
-    empty table gives no rows. Counts are exact; ``bits`` sets the size of the
-    map of frequent fingerprints (8 MB) and what passes it by chance, not the
-    result. Other columns are not read.
+    empty table gives no rows. Counts are exact; ``bits``, 32 at most, sets the
+    size of the map of frequent fingerprints (8 MB) and what passes it by
+    chance, not the result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pairs = Frequent(bits).with_frequent(counted_prints(rows, (1, 2), None), least)
-    frequent = pairs.with_frequent(counted_prints(rows, (3, 4), pairs), least)
+    tasks = max(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // PARTS_A_TASK))
+    rows = rows.coalesce(tasks)
+    frequent = Frequent(bits).with_frequent(counted_prints(rows, (1,)), least)
+    frequent = frequent.with_frequent(counted_prints(rows, (2,), 1, frequent), least)
+    frequent = frequent.with_frequent(counted_prints(rows, (3, 4), 2, frequent), least)
     phrases = cut(materialised(rows, frequent).filter((F.col("size") == 0) | (F.col("a") >= least)), "phrases")
     totals = phrases.filter("size = 0").select("lang", F.col("a").alias("n"))
     every = phrases.filter("size > 0").select("lang", "size", "phrase", "a", "first_doc")
