@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellwave.functions.freedates import BLANKS, parse_free_date
+
 #: French month names, January first (fixed values).
 MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
-#: Runs of blanks, with the two no-break spaces that exports hold (fixed values).
-BLANKS = "[\\s\u00a0\u202f]+"
 ACCENTED, PLAIN = "éèêëàâäîïôöûüùç", "eeeeaaaiioouuuc"
 
 
@@ -48,10 +48,7 @@ DAY_FIRST = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "d/M/yyyy H:m", "dd/MM/y
 
 
 def parse_french_date(value: Column) -> Column:
-    """A timestamp from ``weekday d month yyyy`` with the month's accents spelt, else from a listed day-first or an ISO form, else null.
-
-    Forms that only a free parser reads are not covered.
-    """
+    """A timestamp from ``weekday d month yyyy`` with the month's accents spelt, else from a listed day-first or an ISO form, else by ``parse_free_date``, else null."""
     text = F.trim(F.regexp_replace(value, BLANKS, " "))
     tokens = F.split(text, " ")
     month = month_number(_token(tokens, 3), accents=True)
@@ -59,7 +56,7 @@ def parse_french_date(value: Column) -> Column:
     short = F.length(_token(tokens, 2)) <= 2
     french = F.when((F.size(tokens) == 4) & month.isNotNull() & short, F.try_to_timestamp(spelt, F.lit("dd/MM/yyyy")))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text).try_cast("timestamp")
-    return F.coalesce(french, *[F.try_to_timestamp(text, F.lit(f)) for f in DAY_FIRST], iso)
+    return F.coalesce(french, *[F.try_to_timestamp(text, F.lit(f)) for f in DAY_FIRST], iso, parse_free_date(text))
 
 
 #: Forms of a slash date: month first where that is a date.

@@ -37,12 +37,22 @@ def point_from_quantiles(forecasts: DataFrame, keys: tuple[str, ...] = KEYS) ->
     return rows.groupBy(*keys).agg(F.min_by("value", F.struct(-F.col("step"), far, "k", "level")).alias("prediction"))
 
 
-def point_from_outputs(forecasts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, prediction: the mean over whatever a list-valued model returns for a series, samples and levels alike, at the last step.
-
-    A scalar is one row; a one-dimensional output is one row a step.
+def point_from_outputs(outputs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, prediction: one number from whatever array a model returns for a series.
+
+    ``outputs`` has one row an element: its places i0, i1, i2 (from 0; null for
+    dimensions that the array has not) and its value. No dimension: the value;
+    one: the last step's; two (samples or levels, steps): the mean over the
+    first at the last step; three (series, samples, steps): the same of series
+    0. The shape is that of the element with most dimensions, so one of a
+    series' outputs may not be ragged in depth: rows of lower depth are left out.
     """
-    return point_from_samples(forecasts, keys)
+    depth = F.when(F.col("i2").isNotNull(), 3).when(F.col("i1").isNotNull(), 2).when(F.col("i0").isNotNull(), 1).otherwise(0)
+    step = F.when(depth == 3, F.col("i2")).when(depth == 2, F.col("i1")).when(depth == 1, F.col("i0")).otherwise(0)
+    kept = outputs.filter((depth < 3) | (F.col("i0") == 0)).select(*keys, depth.alias("_depth"), step.cast("long").alias("_step"), "value")
+    # added up by step before anything is shuffled; then the deepest array's last step
+    means = kept.groupBy(*keys, "_depth", "_step").agg(F.avg("value").alias("_mean"))
+    return means.groupBy(*keys).agg(F.max_by("_mean", F.struct("_depth", "_step")).alias("prediction"))
 
 
 #: A forecaster takes contexts (a list of arrays) and gives an array of predictions (or of samples, one row a series).

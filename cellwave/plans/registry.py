@@ -33,7 +33,7 @@ def query(*parts: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cellwave.plans import drawn, long_series  # noqa: F401  their queries register with this module
+    from cellwave.plans import drawn, long_series, stored_series  # noqa: F401  their queries register with this module
 
     return dict(QUERIES)
 
@@ -358,11 +358,11 @@ def expand_seconds(spark, d):
 
 # ---- comparison
 
-COARSE = "coarse AS (SELECT user_id::VARCHAR AS secteur, date_trunc('day', ts) AS dates_5min, max(value) AS trafic_mbps FROM events WHERE event_type = 'click' GROUP BY ALL)"
+COARSE = "coarse AS (SELECT user_id::VARCHAR AS secteur, date_trunc('day', ts) AS dates_5min, max(value) AS trafic_mbps FROM events GROUP BY ALL)"
 
 
 def coarse(spark, d):
-    t = views.table(spark, d, "events").filter("event_type = 'click'")
+    t = views.table(spark, d, "events")
     return t.groupBy(F.col("user_id").cast("string").alias("secteur"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("dates_5min")).agg(F.max("value").alias("trafic_mbps"))
 
 
@@ -512,7 +512,8 @@ def point_from_quantiles(spark, d):
 
 @query(SAMPLES, LAST_STEP, "SELECT model_id, sector, round(avg(value), 6) AS prediction FROM last_step GROUP BY ALL")
 def point_mean_outputs(spark, d):
-    return forecast.point_from_outputs(samples(spark, d)).select("model_id", "sector", r6("prediction", "prediction"))
+    outputs = samples(spark, d).select("model_id", "sector", F.col("k").alias("i0"), F.col("step").alias("i1"), F.lit(None).cast("int").alias("i2"), "value")
+    return forecast.point_from_outputs(outputs).select("model_id", "sector", r6("prediction", "prediction"))
 
 
 def _forecast(how: str, sql: str):

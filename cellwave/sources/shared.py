@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What ``stored`` has written and nothing has deleted yet.
+#: Folders of ``keep`` that nothing has deleted yet.
 _stored: list[str] = []
 
 
@@ -25,11 +25,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def keep(spark: SparkSession, name: str) -> str:
+    """A new folder that ``clear_stored`` deletes."""
+    path = new_folder(spark, name)
+    _stored.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back; ``clear_stored`` deletes what this has written."""
-    path = new_folder(df.sparkSession, name)
+    path = keep(df.sparkSession, name)
     df.write.parquet(path)
-    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,24 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellwave.sources import shared
+
 SEPARATORS = (";", ",", "\t", "|")
+#: Kinds of files (separator and header) that one call reads.
+MOST_DIALECTS = 64
+
+
+def separator_of(line: Column) -> Column:
+    """The separator that occurs most in a line, quoted fields left aside; the first of equals by ``SEPARATORS``."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    count = [F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)]
+    return F.greatest(*count)["s"]
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The separator that occurs most in the first line of a file."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0]["value"] if first else ""
-    return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
+    """The separator of the first line that a path gives."""
+    first = spark.read.text(path).limit(1).select(separator_of(F.col("value")).alias("s")).collect()
+    return first[0]["s"] if first else SEPARATORS[0]
+
+
+def numbered_lines(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of all files below ``path`` as (path, block, line, at), and the blocks as (path, block, first, n, before, head).
+
+    ``at`` counts the lines within the task that reads a block, ``first`` is
+    that count at the block's first line, ``before`` the number of lines in
+    earlier blocks and files, by path; ``head`` is the file's first line. The
+    windows run over one row a file or, within a file, one row a block.
+    """
+    text = spark.read.text(path)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    counted = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min_by("line", "at").alias("head"))
+    in_file = W.partitionBy("path").orderBy("block")
+    blocks = counted.withColumn("head", F.first("head").over(in_file)).withColumn("_within", F.sum("n").over(in_file) - F.col("n"))
+    files = counted.groupBy("path").agg(F.sum("n").alias("_lines"))
+    files = files.select("path", (F.sum("_lines").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, 0)) - F.col("_lines")).alias("_files"))
+    blocks = blocks.join(files, "path").select("path", "block", "first", "n", (F.col("_files") + F.col("_within")).alias("before"), "head")
+    return lines, blocks
 
 
 def read_traffic_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
-    """All columns as texts, with row_seq: a struct that gives the order of rows in the files (path, block, row within the task's part)."""
-    raw = spark.read.csv(path, header=True, sep=sep or sniff_separator(spark, path), encoding=encoding)
-    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return raw.withColumn("row_seq", place)
+    """All columns as texts, with row_seq: the number of a row's line over all files, by path, a long.
+
+    Every file says for itself what separates its fields (unless ``sep`` does)
+    and which columns it has; a column that a file lacks is null there. Files
+    of one separator and header are a dialect, and there may be at most
+    ``MOST_DIALECTS`` (ValueError above). The files are read twice: for the
+    numbers of lines in their blocks, which are added up, and for the rows. A
+    quoted field may hold separators and doubled quotes, no line breaks. Blank
+    lines and each file's first are no rows; no lines at all: ValueError.
+    """
+    lines, blocks = numbered_lines(spark, path, encoding)
+    blocks = blocks.withColumn("_sep", F.lit(sep) if sep else separator_of(F.col("head")))
+    # one row a dialect reaches the driver
+    found = blocks.select("_sep", "head").distinct().orderBy("_sep", "head").limit(MOST_DIALECTS + 1).collect()
+    if not found or len(found) > MOST_DIALECTS:
+        raise ValueError(f"{path} has no lines" if not found else f"{path} has more than {MOST_DIALECTS} kinds of files")
+    headers = [next(csv.reader([r["head"].lstrip("\ufeff").removeprefix("\u00ef\u00bb\u00bf")], delimiter=r["_sep"])) for r in found]
+    parsed = F.lit(None)
+    columns = list(dict.fromkeys(name for header in headers for name in header))
+    for r, header in zip(found, headers):
+        fields = ", ".join(f"`_{i}` string" for i in range(len(header)))
+        values = F.from_csv("line", F.lit(fields), {"sep": r["_sep"], "escape": '"', "mode": "PERMISSIVE"})
+        whole = F.struct(*[values[f"_{header.index(c)}"].alias(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns])
+        parsed = F.when((F.col("_sep") == r["_sep"]) & (F.col("head") == r["head"]), whole).otherwise(parsed)
+    rows = lines.join(blocks, ["path", "block"]).filter((F.trim("line") != "") & ~((F.col("block") == 0) & (F.col("at") == F.col("first"))))
+    rows = rows.withColumn("_row", parsed).withColumn("row_seq", (F.col("before") + F.col("at") - F.col("first")).cast("long"))
+    return rows.select("_row.*", "row_seq")
 
 
 def write_traffic_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "ISO-8859-1", mode: str = "error") -> None:
@@ -43,3 +103,51 @@ def write_slots_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 def write_instant(df: DataFrame, path: str, mode: str = "error", sector: str = "secteur", time: str = "timestamp") -> None:
     """Per-second rows as Parquet, sorted by sector and time: dealt by range, sorted within files."""
     df.repartitionByRange(sector, time).sortWithinPartitions(sector, time).write.mode(mode).parquet(path)
+
+
+def write_range_index(df: DataFrame, index: str, sector: str = "secteur", time: str = "timestamp") -> None:
+    """What a table read from Parquet files holds, by file: one row (file, sector, from, to) a sector of a file. The footers' bounds, but by sector."""
+    ends = df.groupBy(F.col("_metadata.file_path").alias("file"), sector).agg(F.min(time).alias("from"), F.max(time).alias("to"))
+    ends.write.parquet(index)
+
+
+def files_in_range(index: DataFrame, bounds: DataFrame, sector: str = "secteur") -> list[str]:
+    """The files of an index that hold a row of some sector within that sector's ``bounds`` (sector, from, to, both included)."""
+    asked = bounds.select(sector, F.col("from").alias("_from"), F.col("to").alias("_to"))
+    hits = index.join(asked, sector).filter((F.col("from") <= F.col("_to")) & (F.col("to") >= F.col("_from")))
+    # file names only, of which the driver's own listing of a table holds as many
+    return sorted(r["file"] for r in hits.select("file").distinct().collect())
+
+
+def read_instant_range(spark: SparkSession, path: str, index: str, bounds: DataFrame, sector: str = "secteur") -> DataFrame:
+    """Of per-second rows as ``write_instant`` writes them, the files that the index says to meet the bounds; other files are not opened.
+
+    The rows are those of whole files: ``clip_to_range`` after it gives the
+    same as over the whole table.
+    """
+    whole = spark.read.parquet(path)
+    found = files_in_range(spark.read.parquet(index), bounds, sector)
+    return spark.read.schema(whole.schema).parquet(*found) if found else whole.limit(0)
+
+
+def write_co_located(df: DataFrame, name: str, buckets: int, sector: str = "secteur", time: str = "timestamp") -> str:
+    """A bucketed table by sector, sorted by time, in the shared folder; returns its name in the catalog.
+
+    Rows are dealt by the buckets' own hash first, so each bucket is one file.
+    Tables written with as many buckets are joined and grouped by sector where
+    they lie.
+    """
+    path = shared.keep(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(buckets, sector).write.bucketBy(buckets, sector).sortBy(sector, time).option("path", path).saveAsTable(table)
+    return table
+
+
+def read_co_located(spark: SparkSession, *tables: str) -> list[DataFrame]:
+    """The tables of ``write_co_located``, for joins by sector and time that need no exchange.
+
+    Spark by default wants both tables dealt by all columns of the join; that
+    they are dealt by sector is enough, and the session is told so.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return [spark.table(t) for t in tables]
