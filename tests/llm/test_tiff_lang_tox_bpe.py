@@ -83,6 +83,15 @@ def test_large_pages_and_bombs(monkeypatch):
     assert "larger than 15 bytes" in next(tiff.read_tiff(grey([{}])))["error"]
 
 
+@pytest.mark.parametrize("code, pack", [(1, bytes), (8, zlib.compress), (32773, lambda b: tiff.packbits_encode(np.frombuffer(b, np.uint8)))])
+def test_reversed_bits_are_turned_round(code, pack):
+    pixels = bytes(range(100, 116))
+    reverse = bytes(int(f"{b:08b}"[::-1], 2) for b in pack(pixels))
+    page, plain, unknown = tiff.read_tiff(grey([{259: (3, code), 266: (3, 2), 279: (4, len(reverse))}, {259: (3, code), 266: (3, 1)}, {266: (3, 3)}], reverse))
+    assert page["error"] is None and page["pixels"] == pixels
+    assert plain["pixels"] != pixels and "fill order 3" in unknown["error"]
+
+
 def big_endian_rgb16():
     """A 2 x 3 page of 16-bit RGB, most significant byte first, with the horizontal predictor, in one deflate strip."""
     pixels = np.arange(18, dtype=np.uint16).reshape(2, 3, 3) * 3000
@@ -157,11 +166,10 @@ def test_language_is_plain_bundling(spark):
     rows += [(100, "Ünder the 3 tables!", "en"), (101, "x", "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, F.col("doc_id") % 4 != 0, dims=dims).collect()}
-    _, single = langid.letter_vectors(dims, 11)
-    code = lambda c: (ord(c) % (langid.CODES - 1) + 1) if c.isalpha() else 0
+    single = {c: np.random.default_rng([11, c]).choice(np.array([-1, 1], np.int8), size=dims) for c in {0, *map(ord, "".join(t for _, t, _ in rows).lower())}}
 
     def bundle(text):
-        codes, total = [0, *map(code, text.lower()), 0], np.zeros(dims)
+        codes, total = [0, *[ord(c) if c.isalpha() else 0 for c in text.lower()], 0], np.zeros(dims)
         for a, b, c in zip(codes, codes[1:], codes[2:]):
             if b:
                 total += np.roll(single[a], 2) * np.roll(single[b], 1) * single[c]
@@ -182,6 +190,28 @@ def test_language_is_plain_bundling(spark):
         assert got[i][0] == names[int(np.argmax(cosines))] and abs(got[i][1] - (1 + cosines.max()) / 2) < 1e-4
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    points = np.fromiter(map(ord, "abcdefghijklmnopqrstuvwxyzéèàäößñçíáжщ語"), np.uint32)
+    space = langid.Letters(512, 11)
+    slots = space.slots(points)
+    drawn = space.vectors[slots].astype(int)
+    near = np.abs(drawn @ drawn.T - 512 * np.eye(len(points), dtype=int)).max()
+    assert near < 150 and len(set(space.slots(points))) == len(points) and set(space.slots(np.array([32, 51], np.uint32))) == {0}
+    # the same vectors whatever was met before
+    other = langid.Letters(512, 11)
+    slots = other.slots(points[::-1].copy())
+    assert (other.vectors[slots][::-1] == drawn).all()
+    assert (langid.text_vector("kék", 64, 11) != langid.text_vector("kkk", 64, 11)).any()
+
+
+def test_languages_of_a_dirty_column_are_bounded(spark):
+    rows = [(i, "the market is fine", "en") for i in range(20)] + [(100 + i, "das wetter ist gut", "de") for i in range(10)] + [(1000 + i, "abc", f"x{i:05}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df.repartition(4), F.lit(True), most_langs=3)
+    assert {r["lang_pred"] for r in got.select("lang_pred").distinct().collect()} <= {"en", "de", "x00000"}
+    assert {r["lang_pred"] for r in got.filter("doc_id < 20").collect()} == {"en"} and got.count() == len(rows)
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, PHRASES["en"], "en") for i in range(3000)] + [(4000 + i, PHRASES["fr"], "fr") for i in range(3)] + [(5000, "nous allons avec eux", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
