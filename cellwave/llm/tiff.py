@@ -23,7 +23,7 @@ from cellwave.llm.arrow import STEP_BYTES, steps
 
 #: Fixed values of the TIFF 6.0 format: compression schemes, tags and the bytes of its field types.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 FIELD_BYTES = {1: "B", 3: "H", 4: "I", 16: "Q"}
@@ -32,9 +32,12 @@ CLEAR, END = 256, 257
 #: Bytes, at most, that a byte of a coded strip stands for: deflate's and PackBits' longest matches, LZW's longest entries.
 GROWTH = {NONE: 1, PACKBITS: 64, DEFLATE: 1040, OLD_DEFLATE: 1040, LZW: 2731}
 
-#: Bytes of a page's samples, at most; a larger page is an error row.
+#: Bytes of a page's samples, at most, unless ``tiff_pages`` is told otherwise; a larger page is an error row.
 PAGE_BYTES = 1 << 28
 
+#: Every byte with its bits in reverse order.
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"
 
 
@@ -265,6 +268,9 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple], most: int = PAG
     compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
     if bits not in (8, 16) or set(fields.get(BITS, ())) > {bits} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
         raise TiffError("only interleaved samples of 8 or 16 bits, plain or with the horizontal predictor, are supported")
+    fill = one(FILL_ORDER, 1)
+    if fill not in (1, 2):
+        raise TiffError(f"fill order {fill} is not known")
     if compression not in GROWTH:
         raise TiffError(f"compression {compression} is not supported")
     kind = np.dtype(f"{order}u{bits // 8}")
@@ -286,7 +292,8 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple], most: int = PAG
     for (y, x), offset, count in zip(places, offsets, counts):
         rows = bl if tiled else min(bl, h - y)
         need = rows * bw * samples * kind.itemsize
-        raw = unpack(data[offset : offset + count], compression, need)
+        coded = data[offset : offset + count]
+        raw = unpack(coded.translate(REVERSED) if fill == 2 else coded, compression, need)
         if len(raw) < need:
             raise TiffError("a strip or tile ends early")
         block = np.frombuffer(raw[:need], kind).reshape(rows, bw, samples)
@@ -296,7 +303,7 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple], most: int = PAG
     return {"width": w, "height": h, "samples": samples, "bits": bits, "compression": compression, "pixels": page.astype(kind.newbyteorder("<")).tobytes()}
 
 
-def read_tiff(data: bytes) -> Iterator[dict]:
+def read_tiff(data: bytes, most: int | None = None) -> Iterator[dict]:
     """Pages in file order. A page that cannot be read has only ``error``, and so has a fault of the directories, which ends the file."""
 
     def failed(number: int, e: TiffError) -> dict:
@@ -306,7 +313,7 @@ def read_tiff(data: bytes) -> Iterator[dict]:
     try:
         for order, fields in directories(data):
             try:
-                page = {"page": number, **read_page(data, order, fields), "error": None}
+                page = {"page": number, **(read_page(data, order, fields) if most is None else read_page(data, order, fields, most)), "error": None}
             except TiffError as e:
                 page = failed(number, e)
             yield page
@@ -315,12 +322,15 @@ def read_tiff(data: bytes) -> Iterator[dict]:
         yield failed(number, e)
 
 
-def tiff_pages(df: DataFrame, media: str = "media", fold: Callable[[bytes, Iterator[dict]], dict] | None = None, fold_schema: str = "", keep: list[str] | None = None) -> DataFrame:
+def tiff_pages(df: DataFrame, media: str = "media", fold: Callable[[bytes, Iterator[dict]], dict] | None = None, fold_schema: str = "", keep: list[str] | None = None, page_bytes: int = PAGE_BYTES) -> DataFrame:
     """One row per page of the files in column ``media``: the columns ``keep`` and those of PAGE_SCHEMA.
 
     Pixels are the samples of a page row by row, little-endian. A null file has
     no pages and no row; a page that is broken or not supported has a row with
-    ``error``, and the pages after it are read; an empty file or one whose
+    ``error``, and the pages after it are read, and so has a page of more than
+    ``page_bytes`` bytes of samples, as a row cannot hold any number of them
+    (Spark's limit is 2 ** 31); strips whose bits are in reverse order (tag 266)
+    are turned round before they are decoded; an empty file or one whose
     directories are broken has such a row where the fault is. With ``fold``, a
     function of the file and its pages, each file that is not null gives the one
     row the function makes of its pages, so that pages need not be shuffled to
@@ -338,7 +348,7 @@ def tiff_pages(df: DataFrame, media: str = "media", fold: Callable[[bytes, Itera
     schema = "".join(f"`{k}` {picked.schema[k].dataType.simpleString()}, " for k in kept) + (fold_schema if fold else PAGE_SCHEMA)
 
     def told(file: bytes) -> Iterator[dict]:
-        return iter([fold(file, read_tiff(file))]) if fold else read_tiff(file)
+        return iter([fold(file, read_tiff(file, page_bytes))]) if fold else read_tiff(file, page_bytes)
 
     def rows(batch: pa.RecordBatch, at: list[int], made: list[dict]) -> pa.RecordBatch:
         left = [batch.column(j).take(pa.array(at, pa.int64())) for j in range(n)]
