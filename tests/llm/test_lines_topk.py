@@ -50,7 +50,7 @@ def test_line_dedup_finds_short_passages(docs_frame):
     got = line_rows(linededup.dedup_lines(docs_frame(docs)))
     assert got == sql_rows(docs)
     for n in range(2, 7):
-        # an outer line is in one of eight chunkings' chunks with 0.90, an inner one with 0.996
+        # an outer line is in one of eight chunkings' chunks with more than 0.90, an inner one with more than 0.996
         least = (2 * 0.9 + (n - 2) * 0.996) / n - 0.1
         share = [got[i][1] / n for i, (m, copy) in inside.items() if m == n and copy]
         assert max(share) <= 1 and sum(share) / len(share) >= least, (n, sum(share) / len(share))

@@ -16,6 +16,16 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.select(*pipeline.COLUMNS).collect())
 
 
+def rolling_hashes(hashes, base, prime=2**31 - 1):
+    """The number of each gap by the rolling update: the oldest line leaves, the next one enters; the prime at both ends."""
+    numbers, rolled = [prime], hashes[0] % prime
+    for k in range(1, len(hashes)):
+        oldest = hashes[k - 2] * base if k > 1 else 0
+        rolled = ((rolled - oldest) * base + hashes[k]) % prime
+        numbers.append(rolled)
+    return numbers + [prime]
+
+
 def brute_chunks(rows, seeds=8):
     """Texts without the chunks of two and more lines that have occurred before, and whether anything went."""
     found = []
@@ -23,9 +33,10 @@ def brute_chunks(rows, seeds=8):
         lines = (text or "").split("\n")
         hashes = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
         for s in range(seeds):
+            numbers = rolling_hashes(hashes, 48271 ** (9 * s + 9))
             begin = 0
             for k in range(1, len(lines) + 1):
-                if k == len(lines) or not (hashes[k] == hashes[k - 1] or (hashes[k - 1] >> s & 1 and not hashes[k] >> s & 1)):
+                if k == len(lines) or not (hashes[k] == hashes[k - 1] or numbers[k - 1] > numbers[k] < numbers[k + 1]):
                     if k - begin > 1:
                         found.append((tuple(lines[begin:k]), i, begin))
                     begin = k
