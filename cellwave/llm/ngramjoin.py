@@ -119,22 +119,73 @@ class PartEnum:
         return np.concatenate(made), int(weak.sum()) > spare
 
 
-def common_shingles(texts: DataFrame, n: int, sample_docs: int = 40_000, least: int = 3, most: int = 1 << 18) -> np.ndarray:
-    """At most ``most`` shingles of ``least`` of about ``sample_docs`` sampled documents, from the rarest on.
+#: Hashes of shingles are counted in at most 2 ** COUNT_BITS buckets first, 2 ** ROW_BITS of them in a row.
+COUNT_BITS, ROW_BITS = 24, 12
 
-    Only which signatures are given depends on it, never what links.
+
+def bucket_counts(texts: DataFrame, n: int, bits: int) -> DataFrame:
+    """part, width, counts: how many documents of a task have a shingle in each of a part's buckets, as whole numbers of ``width`` bytes."""
+    size = 1 << ROW_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
+        for batch in steps(batches):
+            found, _ = shingle_sets(*utf8(batch.column(1)), n)
+            if counts is None:
+                counts = np.zeros(1 << bits, np.uint32)
+            bucket, k = np.unique(found >> U64(64 - bits), return_counts=True)
+            counts[bucket.astype(np.int64)] += k.astype(np.uint32)
+        if counts is None:
+            return
+        parts = counts.reshape(-1, size)
+        for at in range(0, len(parts), 256):
+            rows = [(i, np.min_scalar_type(int(parts[i].max()))) for i in range(at, min(at + 256, len(parts))) if parts[i].any()]
+            packed = [parts[i].astype(kind).tobytes() for i, kind in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([kind.itemsize for _, kind in rows], pa.int32()), pa.array(packed, pa.binary())], names=["part", "width", "counts"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "part long, width int, counts binary")
+
+
+def often_buckets(texts: DataFrame, n: int, bits: int, least: int) -> np.ndarray:
+    """For each of the 2 ** ``bits`` buckets, a bit that says whether its shingles are in ``least`` documents together: 2 MB at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["part"]):
+            total = np.zeros(1 << ROW_BITS, np.int64)
+            for width, counts in zip(table.column("width").to_pylist(), table.column("counts").to_pylist()):
+                total += np.frombuffer(counts, f"<u{width}")
+            yield pa.RecordBatch.from_arrays([pa.array(table.column("part").to_pylist()[:1], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "often"])
+
+    made = bucket_counts(texts, n, bits).repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long, often binary").toArrow()
+    often = np.zeros((1 << (bits - ROW_BITS), 1 << (ROW_BITS - 3)), np.uint8)
+    for part, packed in zip(made.column("part").to_pylist(), made.column("often").to_pylist()):
+        often[part] = np.frombuffer(packed, np.uint8)
+    return often.reshape(-1)
+
+
+def common_shingles(texts: DataFrame, n: int, share: float = 3 / 40_000, least: int = 3, most: int = 1 << 18) -> np.ndarray:
+    """The shingles that ``least`` documents have and ``share`` of all, the ``most`` most frequent of them, from the rarest on.
+
+    Counts are exact and over all documents. Those of buckets of hashes come
+    first, so that only shingles of a bucket that has as many are shuffled.
+    Only which signatures are given depends on the list, never what links.
     """
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    sample = texts.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    docs = texts.count()
+    least = max(least, math.ceil(share * docs))
+    bits = min(COUNT_BITS, max(ROW_BITS, (256 * docs).bit_length()))
+    often = texts.sparkSession.sparkContext.broadcast(often_buckets(texts, n, bits, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             found, _ = shingle_sets(*utf8(batch.column(1)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+            bucket = (found >> U64(64 - bits)).astype(np.int64)
+            shingle, k = np.unique(found[(often.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(k)], names=["shingle", "n"])
 
-    counted = sample.select("doc_id", "text").mapInArrow(run, "shingle long").groupBy("shingle").count()
+    counted = texts.select("doc_id", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("count"))
     # written first, so that the best of each partition meet in a task and not in the driver
     top = cut(counted.filter(F.col("count") >= least).orderBy(F.col("count").desc(), "shingle").limit(most), "common").orderBy(F.col("count").desc(), "shingle").collect()
+    often.unpersist()
     return np.array([r["shingle"] for r in reversed(top)], np.int64).view(U64)
 
 

@@ -308,3 +308,16 @@ def test_repeated_rows_change_no_group(docs_frame, monkeypatch, whole):
     once, twice = ({r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(x), 3, 90, cell=16, hubs=3).collect()} for x in (rows, rows * 2))
     assert once == twice == {k: v[1] for k, v in brute_groups(rows, 3, 90).items()}
     assert kept[0] == kept[1] > 0
+
+
+def test_common_shingles_are_counted_over_all_documents(spark):
+    # more documents than a sample of 40,000 would take; words of ten documents each, and of nine
+    n = 60_000
+    texts = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.lit("same a"), F.floor(F.col("id") / 10), F.lit(" b"), F.floor(F.col("id") / 9)).alias("text"))
+    got = ngramjoin.common_shingles(texts, 1, share=10 / n)
+    wanted = [f"a{i}" for i in range(n // 10)] + ["same"]
+    data = "".join(wanted).encode()
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(w) for w in wanted])))
+    found, _ = shingles.shingle_sets(offsets, np.frombuffer(data, np.uint8), 1)
+    assert set(got.tolist()) == set(found.tolist()) and len(got) == len(wanted)
+    assert got[-1] == found[-1]  # the most frequent comes last
