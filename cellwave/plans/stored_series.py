@@ -54,16 +54,16 @@ def free_dates(spark, d):
          row_number() OVER (ORDER BY kind, row_seq) + kind AS place FROM kinds""",
 )
 def read_mixed_csv(spark, d):
-    """The export as three latin-1 files: of semicolons; of commas, with quoted fields that hold separators and quotes; of tabs, without the site. ``place`` is the row's line number."""
+    """The export as three latin-1 files, each in parts: of semicolons; of commas, with quoted fields that hold separators and quotes; of tabs, without the site. ``place`` is the row's line number."""
     path = shared.keep(spark, "mixed-csv")
     raw = views.raw(spark, d).withColumn("kind", F.col("week") % 3).withColumn("line", F.col("row_seq").cast("string"))
+    raw = shared.stored(raw, "mixed-raw")  # read twice for each file: for the ranges of its parts and for its rows
     noted = F.concat(F.col("tstamp"), F.lit(', "vu"; '), F.col("site"))
     for kind, sep in enumerate((";", ",", "\t")):
         rows = raw.filter(F.col("kind") == kind).withColumn("tstamp", noted if kind == 1 else F.col("tstamp"))
         columns = [c for c in ("secteur", "site", "tstamp", "trafic_mbps", "line") if kind != 2 or c != "site"]
-        # one file a dialect, in the order of its rows: an export is one file
-        rows.orderBy("row_seq").select(*columns).coalesce(1).write.options(sep=sep, header=True, encoding="ISO-8859-1", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{kind}")
-    return files.read_traffic_csv(spark, f"{path}/*").select("secteur", "site", "tstamp", "trafic_mbps", "line", F.col("row_seq").alias("place"))
+        files.write_file_in_parts(rows.select(*columns, "row_seq"), f"{path}/{kind}", "row_seq", sep)
+    return files.read_traffic_csv(spark, f"{path}/*", parts=True).select("secteur", "site", "tstamp", "trafic_mbps", "line", F.col("row_seq").alias("place"))
 
 
 #: The last days of each sector's coarse series: a range that few files of a long history meet.

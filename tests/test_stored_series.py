@@ -148,3 +148,18 @@ def test_csv_lines_are_not_shuffled(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("SortMergeJoin", "SortAggregate", "Exchange hashpartitioning"))
     assert sorted((r["a"], r["b"], r["row_seq"]) for r in got.collect()) == sorted((str(i), str(j), 51 * i + j + 1) for i in range(3) for j in range(50))
+
+
+def test_a_file_in_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("x", "y"):
+            rows = spark.range(400).select(F.concat(F.lit(name), F.col("id").cast("string")).alias("a"), F.lit('1, "2"').alias("b"), (-F.col("id")).alias("n"))
+            files.write_file_in_parts(rows.repartition(5), str(tmp_path / name), "n", ",")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = [sorted((tmp_path / name).glob("part-*")) for name in ("x", "y")]
+    assert all(len(w) > 1 for w in written)  # no task writes it all
+    assert "".join(p.read_text() for p in written[0]).splitlines()[:2] == ["a,b", 'x399,"1, ""2"""']
+    got = files.read_traffic_csv(spark, str(tmp_path / "*"), parts=True).collect()
+    assert sorted((r["row_seq"], r["a"], r["b"]) for r in got) == [(401 * k + i + 1, f"{name}{399 - i}", '1, "2"') for k, name in enumerate("xy") for i in range(400)]
