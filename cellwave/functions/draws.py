@@ -18,9 +18,14 @@ TAIL_UNDER = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00
 TAIL = 0.02425
 
 
+def name(*parts) -> Column:
+    """The name that ``parts`` (columns or values) make; it may be the first part of a longer one."""
+    return F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+
+
 def named(*parts) -> Column:
     """128 bits, as 32 hexadecimal digits, of the name that ``parts`` (columns or values) make."""
-    return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+    return F.md5(name(*parts))
 
 
 def uniform(digits: Column, half: int = 0) -> Column:

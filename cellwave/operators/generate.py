@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwave.functions import draws
 
+#: Tasks a core that slots are dealt to before they grow.
+TASKS_A_CORE = 4
+
 
 def slot_draws(mu: np.ndarray, tau: np.ndarray, zeta: np.ndarray, rate: np.ndarray, psi: np.ndarray, names: list[tuple[int, int]], slot: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Values and arrivals, one row a slot. A slot's numbers depend on the seed and its name alone."""
@@ -67,29 +69,35 @@ def generate_seconds(slots: DataFrame, slot: int = 300, seed: int = 0, sector: s
     and slot_mu. Every draw is named by the seed, the sector, the slot's start
     and the second, so any part of the traffic can be made again, anywhere, and
     comes out the same. A second whose number is below tau and zeta turns the
-    state round, one between them sets it, others leave it; the state is that
-    of the last second that set it and the turns since. The slots are dealt by
-    sector and start before they grow, and the window over the seconds of a
-    slot needs no other exchange.
+    state round, one between them sets it, others leave it. A slot's states are
+    found in its own row, so nothing is sorted or shuffled once the slots,
+    dealt by sector and start to several tasks a core, have grown; and only what
+    a second needs is drawn for it.
     """
     keys = [F.col(sector).alias("sector"), F.col(start).alias("start")]
-    picked = slots.select(*keys, "slot_mu", "tau", "zeta", F.col("lambda").alias("rate"), "e_psi").repartition("sector", "start")
-    picked = picked.withColumn("table", draws.poisson_table(F.col("rate")))
-    name = [seed, F.col("sector"), F.unix_micros("start"), F.col("second")]
-    each = picked.withColumn("second", F.explode(F.sequence(F.lit(0), F.lit(slot)))).withColumn("digits", draws.named(*name))
-    move = draws.uniform(F.col("digits"))
-    first = F.col("second") == 0
-    off, on = move < F.col("tau"), move < F.col("zeta")
-    order = W.partitionBy("sector", "start").orderBy("second").rowsBetween(W.unboundedPreceding, 0)
-    turns = F.sum(F.when(~first & off & on, 1).otherwise(0)).over(order)
-    each = each.withColumn("turns", turns).withColumn("sets", F.when(first, (move < 0.5).cast("long")).when(off != on, on.cast("long")))
-    last = F.max(F.when(F.col("sets").isNotNull(), (F.col("second") * (slot + 1) + F.col("turns")) * 2 + F.col("sets"))).over(order)
-    each = each.withColumn("last", last).filter("second > 0")
-    is_on = (F.col("last") % 2 + F.col("turns") - F.floor(F.col("last") / 2) % (slot + 1)) % 2 == 1
-    each = each.withColumn("u", draws.uniform(F.col("digits"), 1)).withColumn("w", draws.normal_quantile(F.col("u")))
+    tasks = TASKS_A_CORE * slots.sparkSession.sparkContext.defaultParallelism
+    picked = slots.select(*keys, "slot_mu", "tau", "zeta", F.col("lambda").alias("rate"), "e_psi").repartition(tasks, "sector", "start")
+    picked = picked.withColumn("table", draws.poisson_table(F.col("rate"))).withColumn("name", draws.name(seed, F.col("sector"), F.unix_micros("start")))
+    picked = picked.withColumn("digits", F.transform(F.sequence(F.lit(0), F.lit(slot)), lambda second: draws.named(F.col("name"), second)))
+    picked = picked.withColumn("moves", F.transform("digits", lambda d: draws.uniform(d)))
+
+    def move(state: Column, u: Column) -> Column:
+        off, on = u < F.col("tau"), u < F.col("zeta")
+        now = F.when(off & on, ~state["on"]).when(off != on, on).otherwise(state["on"])
+        return F.struct(now.alias("on"), F.concat(state["all"], F.when(now, "1").otherwise("0")).alias("all"))
+
+    # a character a second, the first for second 0
+    first = F.get("moves", F.lit(0)) < 0.5
+    begun = F.struct(F.coalesce(first, F.lit(False)).alias("on"), F.lit("-").alias("all"))
+    picked = picked.withColumn("states", F.aggregate(F.slice("moves", 2, slot), begun, move, lambda state: state["all"])).drop("moves")
+    each = picked.withColumn("second", F.explode(F.sequence(F.lit(0), F.lit(slot)))).filter("second > 0")
+    active = (F.substring("states", F.col("second") + 1, F.lit(1)) == "1") & (F.col("slot_mu") > 0)
+    each = each.withColumn("active", active).withColumn("u", F.when(F.col("active"), draws.uniform(F.get("digits", F.col("second")), 1))).drop("digits", "states")
+    each = each.withColumn("w", F.when(F.col("active") & (F.col("rate") > draws.POISSON_SUMMED), draws.normal_quantile(F.col("u"))))
     drawn = draws.poisson(F.col("u"), F.col("w"), F.col("rate"), F.col("table"))
-    counted = each.withColumn("arrivals", F.when(is_on & (F.col("slot_mu") > 0), drawn).otherwise(F.lit(0).cast("long")))
-    counted = counted.withColumn("one", draws.uniform(draws.named(*name, 0))).withColumn("z", draws.normal_quantile(F.col("one")))
+    counted = each.withColumn("arrivals", F.when(F.col("active"), drawn).otherwise(F.lit(0).cast("long"))).drop("table")
+    name, many = [F.col("name"), F.col("second")], F.col("arrivals") > draws.GAMMA_SUMMED
+    counted = counted.withColumn("one", F.when(many, draws.uniform(draws.named(*name, 0)))).withColumn("z", F.when(many, draws.normal_quantile(F.col("one"))))
     value = F.when(F.col("arrivals") > 0, draws.exponential_sum(F.col("arrivals"), F.col("z"), name) * F.col("e_psi")).otherwise(0.0)
     timestamp = F.col("start") + F.make_dt_interval(secs=F.col("second") - 1)
     return counted.select(F.col("sector").alias(sector), F.col("start").alias(start), "second", timestamp.alias("timestamp"), "arrivals", value.alias("psi_instant"))

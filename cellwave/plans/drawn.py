@@ -58,7 +58,7 @@ def generate_seconds(spark, d):
     idle = F.dayofmonth("tstamp") % 5 == 0
     slots = slot_params(spark, d).withColumn("slot_mu", F.when(idle, 0.0).otherwise(F.col("slot_mu").cast("double")))
     g = generate.generate_seconds(slots, seed=7, start="tstamp")
-    return g.select("secteur", F.date_format("timestamp", ISO).alias("timestamp"), "arrivals", digits("psi_instant", "psi_instant"))
+    return g.select("secteur", F.date_format("timestamp", ISO).alias("timestamp"), "arrivals", F.when(F.col("psi_instant") == 0, "0.00000e+00").otherwise(digits("psi_instant", "psi_instant")).alias("psi_instant"))
 
 
 # ---- sampled forecasts

@@ -127,3 +127,11 @@ def test_sequences_of_nothing(spark):
     assert sequence.sequence_forecasts(context(spark, {"a": [1.0]}).limit(0)).count() == 0
     with pytest.raises(ValueError):
         sequence.sequence_forecasts(context(spark, {"a": [1.0]}), bins=1 << 13)
+
+
+def test_seconds_are_dealt_and_not_sorted(spark):
+    made = generate.generate_seconds(params(spark), 60)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    dealt = generate.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert f"hashpartitioning(sector#" in plan and f", {dealt})" in plan  # however few the slots, several tasks
