@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from cellwave.functions import draws
 from cellwave.operators import tokens
+from cellwave.sources import shared
 
 #: More than there are bins: a context of two tokens is one number.
 BASE = 1 << 13
 #: Up to so many bins, the laws after one token (at most the square of it in numbers) go to every task.
 SMALL_BINS = 512
+#: Tasks a core that series are dealt to before their paths are drawn.
+TASKS_A_CORE = 4
 #: Shares of the laws after two tokens, one and none.
 SHARES = (0.6, 0.3, 0.1)
 
@@ -66,7 +69,9 @@ def sample_paths(starts: DataFrame, model: DataFrame, samples: int = 32, steps:
         rows = rows.withColumn("_at", F.floor(where * F.col("_law.total")))
         rows = rows.withColumn("_next", F.element_at(F.filter("_law.upto", lambda x: x["upto"] > F.col("_at")), 1)["bin"])
         rows = rows.select(*kept, "k", "law0", F.col("_next").alias("_one"), F.col("_one").alias("_two"), F.array_append("_path", F.col("_next")).alias("_path"))
-    return rows.select(*kept, "k", F.posexplode("_path").alias("step", "bin")).withColumn("step", F.col("step") + 1)
+    # not an explode of the path: Spark would filter by its size first, and so draw every step again
+    rows = rows.select(*kept, "k", "_path", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    return rows.select(*kept, "k", "step", F.get("_path", F.col("step") - 1).alias("bin"))
 
 
 def sequence_forecasts(context: DataFrame, samples: int = 32, steps: int = 1, seed: int = 0, model_id: str = "sequence", bins: int = 256, low: float = -15.0, high: float = 15.0, sector: str = "sector", value: str = "trafic_mbps", order: tuple[str, ...] = ("first_seq", "row_seq")) -> DataFrame:
@@ -74,14 +79,21 @@ def sequence_forecasts(context: DataFrame, samples: int = 32, steps: int = 1, se
 
     ``context`` has a row for each point of a series but those to be forecast.
     Values are scaled by their series' mean, cut into ``bins``, and put back.
-    The model is counted over all series.
+    The model is counted over all series. Points and laws are written in the
+    shared folder; the series are dealt to several tasks a core before they
+    become paths.
     """
     if not 1 < bins < BASE:
         raise ValueError(f"bins must be between 2 and {BASE - 1}")
     binned = tokens.quantize(tokens.mean_scale(context, value, sector), bins, low, high)
     rows = with_previous(binned.select(F.col(sector).alias("sector"), *order, "scale", "bin"), "sector", order)
-    last = rows.groupBy("sector").agg(F.max_by(F.struct("scale", F.col("bin").alias("one"), F.col("one").alias("two")), F.struct(*order)).alias("_last"))
-    paths = sample_paths(last.select("sector", "_last.scale", "_last.one", "_last.two"), laws(count_grams(rows)), samples, steps, seed, bins)
+    ends = F.lead(F.lit(True)).over(W.partitionBy("sector").orderBy(*order)).isNull()
+    # both are read more than once: the points for the laws and for the starts, the laws three times a step
+    rows = shared.stored(rows.select("sector", "scale", "bin", "one", "two", ends.alias("ends")), "grams")
+    model = shared.stored(laws(count_grams(rows)), "laws")
+    tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    last = rows.filter("ends").select("sector", "scale", F.col("bin").alias("one"), F.col("one").alias("two")).repartition(tasks, "sector")
+    paths = sample_paths(last, model, samples, steps, seed, bins)
     made = tokens.dequantize(paths, bins, low, high, out="value")
     return made.select(F.lit(model_id).alias("model_id"), F.col("sector").alias(sector), "k", F.lit(None).cast("double").alias("level"), "step", "value")
 

@@ -135,3 +135,12 @@ def test_seconds_are_dealt_and_not_sorted(spark):
     assert "Window" not in plan and "Sort" not in plan
     dealt = generate.TASKS_A_CORE * spark.sparkContext.defaultParallelism
     assert f"hashpartitioning(sector#" in plan and f", {dealt})" in plan  # however few the slots, several tasks
+
+
+def test_paths_are_drawn_once(spark):
+    points = spark.range(60).select((F.col("id") % 3).cast("string").alias("sector"), F.col("id").alias("first_seq"), F.col("id").alias("row_seq"), (F.col("id") % 7 + 1).cast("double").alias("trafic_mbps"))
+    made = sequence.sequence_forecasts(points, samples=4, steps=2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (size(" not in plan  # a filter on the path's size draws it again
+    assert "lag(" not in plan and plan.count("Exchange") - plan.count("BroadcastExchange") <= 1 + plan.count("SortMergeJoin") * 2  # points and laws are read, not made again
+    assert made.count() == 3 * 4 * 2
