@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from cellwave.llm.arrow import runs, small_batches, steps, utf8
 from cellwave.llm.graph import components
+from cellwave.llm.idmap import may_be_in
 from cellwave.llm.shingles import U64, exact_sets, mix, shingle_sets
 from cellwave.llm.store import cut
 
@@ -121,6 +122,8 @@ class PartEnum:
 
 #: Hashes of shingles are counted in at most 2 ** COUNT_BITS buckets first, 2 ** ROW_BITS of them in a row.
 COUNT_BITS, ROW_BITS = 24, 12
+#: Counting takes so many tasks a core at least, and so many input parts a task where there are more: a task's counts are shuffled whole.
+TASKS_A_CORE, PARTS_A_TASK = 3, 4
 
 
 def bucket_counts(texts: DataFrame, n: int, bits: int) -> DataFrame:
@@ -171,6 +174,7 @@ def common_shingles(texts: DataFrame, n: int, share: float = 3 / 40_000, least:
     Only which signatures are given depends on the list, never what links.
     """
     docs = texts.count()
+    texts = texts.coalesce(max(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // PARTS_A_TASK)))
     least = max(least, math.ceil(share * docs))
     bits = min(COUNT_BITS, max(ROW_BITS, (256 * docs).bit_length()))
     often = texts.sparkSession.sparkContext.broadcast(often_buckets(texts, n, bits, least))
@@ -205,40 +209,75 @@ def set_features(docs: DataFrame, n: int) -> DataFrame:
     return made.select("doc_id", "n_shingles", F.struct("n_shingles", "low", "high").alias("digest"))
 
 
-def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], held: int = 1 << 17) -> DataFrame:
-    """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text.
+#: Shingles, about, whose signatures meet in one part, and the bits of a signature that are told apart within it.
+PART_SHINGLES, TOLD_BITS = 1 << 20, 42
 
-    A task first ties its own documents of a signature to the least of them, so
-    that a signature reaches its reducer once per ``held`` signatures or so of a
-    task, however many documents share it.
-    """
 
-    def firsts(sig: np.ndarray) -> np.ndarray:
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        return first
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes each as the largest needs: all lowest bytes, then all next ones."""
+    width = max(1, -(-int(numbers.max()).bit_length() // 8))
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def widen(data: bytes, count: int) -> np.ndarray:
+    """The ``count`` numbers that ``narrow`` has packed."""
+    planes = np.frombuffer(data, np.uint8).reshape(-1, count)
+    out = np.zeros((count, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").reshape(-1).astype(U64)
+
+
+def firsts(sig: np.ndarray) -> np.ndarray:
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    return first
+
+
+def pairs(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    keep = doc != leader
+    return np.unique(np.stack((doc[keep], leader[keep]), 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+
 
-    def pairs(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
-        keep = doc != leader
-        return np.unique(np.stack((doc[keep], leader[keep]), 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], parts: int, held: int = 1 << 20) -> DataFrame:
+    """part, many, least, sigs, docs, a, b: a task's signatures of a part, packed, each with one document; or an edge (a, b).
+
+    A task first ties its own documents of a signature to the least of them, so
+    that a signature reaches its part once per ``held`` signatures or so of a
+    task, however many documents share it. Signatures are sorted and go as
+    differences, documents as what they are above ``least``: 7 or 8 bytes in all
+    where rows of whole numbers take 18 in a shuffle. A part's signatures are
+    told apart by ``TOLD_BITS`` bits; two that are not only make a candidate.
+    """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
         sigs: list[np.ndarray] = []
 
         def told() -> pa.RecordBatch:
-            doc, sig = np.concatenate(docs), np.concatenate(sigs).view(np.int64)
+            doc, sig = np.concatenate(docs), np.concatenate(sigs)
             docs.clear()
             sigs.clear()
+            part = ((sig >> U64(44)) * U64(parts)) >> U64(20)
+            sig = (part << U64(TOLD_BITS)) | (sig & U64((1 << TOLD_BITS) - 1))
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
             first = firsts(sig)
             edges = pairs(doc, doc[first][np.cumsum(first) - 1]) if len(sig) else np.zeros((0, 2), np.int64)
-            k, m = int(first.sum()), len(edges)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((sig[first], np.zeros(m, np.int64)))), pa.array(np.concatenate((doc[first], edges[:, 0]))), pa.array(np.concatenate((np.zeros(k, np.int64), edges[:, 1])), mask=np.arange(k + m) < k)],
-                names=["sig", "a", "b"],
-            )
+            sig, doc = sig[first], doc[first]
+            part, sig = (sig >> U64(TOLD_BITS)).astype(np.int64), sig & U64((1 << TOLD_BITS) - 1)
+            starts = np.flatnonzero(firsts(part)).tolist()
+            rows = []
+            for x, y in zip(starts, [*starts[1:], len(part)]):
+                least = doc[x:y].min()
+                rows.append((int(part[x]), y - x, int(least), narrow(np.diff(sig[x:y], prepend=U64(0))), narrow((doc[x:y] - least).view(U64))))
+            k, m = len(rows), len(edges)
+            columns = list(zip(*rows)) if rows else [()] * 5
+            there = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+            nothing = [pa.nulls(m, c.type) for c in there[1:]]
+            dealt = pa.array((mix(edges[:, 0].view(U64) ^ mix(edges[:, 1].view(U64))) % U64(parts)).astype(np.int64))
+            joined = [pa.concat_arrays(x) for x in zip(there, [dealt, *nothing])]
+            ends = [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(edges[:, i])]) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*joined, *ends], names=["part", "many", "least", "sigs", "docs", "a", "b"])
 
         for batch in steps(batches):
             found, upto = shingle_sets(*utf8(batch.column(1)), n)
@@ -250,27 +289,35 @@ def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], held:
         if sigs:
             yield told()
 
+    return texts.select("doc_id", "text").mapInArrow(combine, "part long, many int, least long, sigs binary, docs binary, a long, b long")
+
+
+def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], shingles: int) -> DataFrame:
+    """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text, and about so many ``shingles``.
+
+    Signatures are dealt to parts of about a million, whose number grows with
+    the shingles. A part's are unpacked and sorted in one task.
+    """
+    parts = min(1 << 20, max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-shingles // PART_SHINGLES)))
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_leader = None
-        for batch in batches:
-            sig, doc, other = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            made = pc.is_valid(other).to_numpy(zero_copy_only=False)
-            ready = np.stack((doc[made], pc.drop_null(other).to_numpy()), 1)
-            sig, doc = sig[~made], doc[~made]
-            if len(sig):
+        for table in runs(batches, ["part"]):
+            made = table.filter(pc.is_valid(table.column("a")))
+            out = [np.stack((made.column("a").to_numpy(), made.column("b").to_numpy()), 1)]
+            packed = table.filter(pc.is_null(table.column("a")))
+            if packed.num_rows:
+                rows = list(zip(*(packed.column(c).to_pylist() for c in ("many", "least", "sigs", "docs"))))
+                sig = np.concatenate([np.cumsum(widen(sigs, many), dtype=U64) for many, _, sigs, _ in rows])
+                doc = np.concatenate([widen(docs, many).view(np.int64) + np.int64(least) for many, least, _, docs in rows])
+                order = np.lexsort((doc, sig))
+                sig, doc = sig[order], doc[order]
                 first = firsts(sig)
-                leaders = doc[first].copy()
-                if last_sig == sig[0]:
-                    leaders[0] = last_leader
-                leader = leaders[np.cumsum(first) - 1]
-                last_sig, last_leader = sig[-1], leader[-1]
-                ready = np.concatenate((ready, pairs(doc, leader)))
+                out.append(pairs(doc, doc[first][np.cumsum(first) - 1]))
+            ready = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(ready[:, 0]), pa.array(ready[:, 1])], names=["a", "b"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(combine, "sig long, a long, b long")
-    # an edge that is made already goes along with the signatures, dealt by its ends
-    dealt = rows.withColumn("key", F.when(F.col("b").isNull(), F.col("sig")).otherwise(F.xxhash64("a", "b")))
-    return dealt.repartition("key").sortWithinPartitions("sig", "a").select("sig", "a", "b").mapInArrow(chain, "a long, b long").distinct()
+    rows = packed_signatures(texts, n, shared, parts)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(chain, "a long, b long").distinct()
 
 
 def links(found: np.ndarray, upto: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, most: int = 4096) -> Iterator[tuple[int, int]]:
@@ -351,8 +398,8 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, sh
     """
     sized = blocks.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     placed = blocks.join(sized, "label").filter("members > 1").withColumn("cells", cells_for("members", "shingles", cell))
-    placed = placed.select(F.col("node").alias("doc_id"), "label", "cells", "members")
-    members = cut(texts.join(placed, "doc_id"), "members")
+    placed = cut(placed.select(F.col("node").alias("doc_id"), "label", "cells", "members"), "placed")
+    members = cut(texts.filter(may_be_in(placed)(F.col("doc_id"))).join(placed, "doc_id"), "members")
     nil = F.lit(0)
     small = members.filter("cells = 1").select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id", "text")
     edges = cell_links(small, n, percent)
@@ -460,7 +507,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     rows = cut(features.join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(PartEnum(percent, common_shingles(there, n)))  # its list of common shingles is bounded
     class_of = rows.filter("class_id is not null").select("doc_id", "class_id")
-    edges = candidate_edges(there, n, shared)
+    shingles = rows.filter("class_id is not null").agg(F.sum("n_shingles")).first()[0] or 0
+    edges = candidate_edges(there, n, shared, shingles)
     edges = edges.join(class_of.select(F.col("doc_id").alias("a"), F.col("class_id").alias("x")), "a").join(class_of.select(F.col("doc_id").alias("b"), F.col("class_id").alias("y")), "b")
     sizes = rows.filter("doc_id = class_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     blocks = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
