@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cellwave.llm.arrow import runs, small_batches, steps, utf8
 from cellwave.llm.graph import components
-from cellwave.llm.idmap import may_be_in
+from cellwave.llm.idmap import part_by_map
 from cellwave.llm.shingles import U64, exact_sets, mix, shingle_sets
 from cellwave.llm.store import cut
 
@@ -210,7 +210,7 @@ def set_features(docs: DataFrame, n: int) -> DataFrame:
 
 
 #: Shingles, about, whose signatures meet in one part, and the bits of a signature that are told apart within it.
-PART_SHINGLES, TOLD_BITS = 1 << 20, 42
+PART_SHINGLES, TOLD_BITS = 1 << 19, 42
 
 
 def narrow(numbers: np.ndarray) -> bytes:
@@ -238,7 +238,7 @@ def pairs(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((doc[keep], leader[keep]), 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
 
 
-def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], parts: int, held: int = 1 << 20) -> DataFrame:
+def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], parts: int, held: int = 1 << 18) -> DataFrame:
     """part, many, least, sigs, docs, a, b: a task's signatures of a part, packed, each with one document; or an edge (a, b).
 
     A task first ties its own documents of a signature to the least of them, so
@@ -295,7 +295,7 @@ def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], par
 def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], shingles: int) -> DataFrame:
     """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text, and about so many ``shingles``.
 
-    Signatures are dealt to parts of about a million, whose number grows with
+    Signatures are dealt to parts of about half a million, whose number grows with
     the shingles. A part's are unpacked and sorted in one task.
     """
     parts = min(1 << 20, max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-shingles // PART_SHINGLES)))
@@ -399,7 +399,7 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, sh
     sized = blocks.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     placed = blocks.join(sized, "label").filter("members > 1").withColumn("cells", cells_for("members", "shingles", cell))
     placed = cut(placed.select(F.col("node").alias("doc_id"), "label", "cells", "members"), "placed")
-    members = cut(texts.filter(may_be_in(placed)(F.col("doc_id"))).join(placed, "doc_id"), "members")
+    members = cut(part_by_map(texts, placed)[0].join(placed, "doc_id"), "members")
     nil = F.lit(0)
     small = members.filter("cells = 1").select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id", "text")
     edges = cell_links(small, n, percent)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwave.llm import bpe, linededup, mixing, ngramjoin, toxicity
-from cellwave.llm.idmap import may_be_in
+from cellwave.llm.idmap import part_by_map
 from cellwave.llm.store import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,9 +51,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = cut(ngramjoin.near_groups(docs, n=5, percent=80), "groups")
     others = cut(groups.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "others")
-    rows, may_go = docs.select(*COLUMNS), may_be_in(others)(F.col("doc_id"))
     # only rows that may go are shuffled
-    kept = rows.filter(~may_go).unionByName(rows.filter(may_go).join(others, "doc_id", "left_anti"))
+    may_go, stays = part_by_map(docs.select(*COLUMNS), others)
+    kept = stays.unionByName(may_go.join(others, "doc_id", "left_anti"))
     often = cut(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if often.isEmpty():
         return kept
