@@ -17,13 +17,20 @@ of these. So a line that a third of all texts hold ties none of them together.
 
 Sets that are equal are one class and join by their first document only. What
 shares a signature, directly or through others, is a block of candidates. A
-small block is compared in one cell, all sets at once, as a matrix product. A
-large one is first compared with a few hubs; then each document that has not
-fallen into the block's largest component is compared with those of a like size
-in the block, or with those that it shares a signature with, whichever sends
-fewer texts, so that a chain of chance meetings costs no more than the meetings. A signature that very many share is dealt to cells as
-well, so that no group is ever one task and nothing that could link is left
-out. Cells report spanning edges only.
+small block is compared in one cell. A large one is first compared with a few
+hubs; then each document that has not fallen into the block's largest component
+is compared with those of a like size in the block, or with those that it shares
+a signature with, whichever sends fewer rows, so that a chain of chance meetings
+costs no more than the meetings. A signature that very many share is dealt to
+cells as well, so that no group is ever one task and nothing that could link is
+left out.
+
+Cells get sketches first: a set's shingles, counted modulo two in a row of bits.
+Two sets differ in as many shingles at least as their sketches differ in bits, so
+pairs whose sketches differ too much surely don't link. The larger a table, the
+more documents meet by chance; their texts are not sent. Those of the pairs that
+are left are compared word by word, as a matrix product, in one cell for each
+pair, which reports spanning edges only.
 """
 
 from __future__ import annotations
@@ -238,12 +245,13 @@ def pairs(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((doc[keep], leader[keep]), 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
 
 
-def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], parts: int, held: int = 1 << 18) -> DataFrame:
+def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], parts: int, held: int = 1 << 18, tied: bool = True) -> DataFrame:
     """part, many, least, sigs, docs, a, b: a task's signatures of a part, packed, each with one document; or an edge (a, b).
 
     A task first ties its own documents of a signature to the least of them, so
     that a signature reaches its part once per ``held`` signatures or so of a
-    task, however many documents share it. Signatures are sorted and go as
+    task, however many documents share it. If not ``tied``, all documents of a
+    signature reach its part, and there are no edges. Signatures are sorted and go as
     differences, documents as what they are above ``least``: 7 or 8 bytes in all
     where rows of whole numbers take 18 in a shuffle. A part's signatures are
     told apart by ``TOLD_BITS`` bits; two that are not only make a candidate.
@@ -261,8 +269,8 @@ def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], par
             sig = (part << U64(TOLD_BITS)) | (sig & U64((1 << TOLD_BITS) - 1))
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
-            first = firsts(sig)
-            edges = pairs(doc, doc[first][np.cumsum(first) - 1]) if len(sig) else np.zeros((0, 2), np.int64)
+            first = firsts(sig) if tied else firsts(sig) | firsts(doc)
+            edges = pairs(doc, doc[first][np.cumsum(first) - 1]) if tied and len(sig) else np.zeros((0, 2), np.int64)
             sig, doc = sig[first], doc[first]
             part, sig = (sig >> U64(TOLD_BITS)).astype(np.int64), sig & U64((1 << TOLD_BITS) - 1)
             starts = np.flatnonzero(firsts(part)).tolist()
@@ -292,13 +300,25 @@ def packed_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], par
     return texts.select("doc_id", "text").mapInArrow(combine, "part long, many int, least long, sigs binary, docs binary, a long, b long")
 
 
+def parts_for(texts: DataFrame, shingles: int) -> int:
+    """Parts of about half a million signatures, whose number grows with the shingles."""
+    return min(1 << 20, max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-shingles // PART_SHINGLES)))
+
+
+def unpacked(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures and documents of a part's packed rows, of which there is one at least, by signature and document."""
+    rows = list(zip(*(packed.column(c).to_pylist() for c in ("many", "least", "sigs", "docs"))))
+    sig = np.concatenate([np.cumsum(widen(sigs, many), dtype=U64) for many, _, sigs, _ in rows])
+    doc = np.concatenate([widen(docs, many).view(np.int64) + np.int64(least) for many, least, _, docs in rows])
+    order = np.lexsort((doc, sig))
+    return sig[order], doc[order]
+
+
 def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], shingles: int) -> DataFrame:
     """Edges (a, b) that tie all documents of one signature together: ``texts`` has doc_id and text, and about so many ``shingles``.
 
-    Signatures are dealt to parts of about half a million, whose number grows with
-    the shingles. A part's are unpacked and sorted in one task.
+    Signatures are dealt to parts; a part's are unpacked and sorted in one task.
     """
-    parts = min(1 << 20, max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-shingles // PART_SHINGLES)))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["part"]):
@@ -306,20 +326,114 @@ def candidate_edges(texts: DataFrame, n: int, shared: Broadcast[PartEnum], shing
             out = [np.stack((made.column("a").to_numpy(), made.column("b").to_numpy()), 1)]
             packed = table.filter(pc.is_null(table.column("a")))
             if packed.num_rows:
-                rows = list(zip(*(packed.column(c).to_pylist() for c in ("many", "least", "sigs", "docs"))))
-                sig = np.concatenate([np.cumsum(widen(sigs, many), dtype=U64) for many, _, sigs, _ in rows])
-                doc = np.concatenate([widen(docs, many).view(np.int64) + np.int64(least) for many, least, _, docs in rows])
-                order = np.lexsort((doc, sig))
-                sig, doc = sig[order], doc[order]
+                sig, doc = unpacked(packed)
                 first = firsts(sig)
                 out.append(pairs(doc, doc[first][np.cumsum(first) - 1]))
             ready = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(ready[:, 0]), pa.array(ready[:, 1])], names=["a", "b"])
 
-    rows = packed_signatures(texts, n, shared, parts)
+    rows = packed_signatures(texts, n, shared, parts_for(texts, shingles))
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(chain, "a long, b long").distinct()
 
 
+def shared_signatures(texts: DataFrame, n: int, shared: Broadcast[PartEnum], shingles: int) -> DataFrame:
+    """sig, doc_id: each signature (its part and what is told apart there) that two documents or more have, once with each of them."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["part"]):
+            sig, doc = unpacked(table)
+            other = firsts(sig) | firsts(doc)  # not a row's copy
+            sig, doc = sig[other], doc[other]
+            first = firsts(sig)
+            met = ~(first & np.append(first[1:], True))
+            sig = sig[met] | U64(table.column("part")[0].as_py() << TOLD_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc[met])], names=["sig", "doc_id"])
+
+    rows = packed_signatures(texts, n, shared, parts_for(texts, shingles), tied=False)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "sig long, doc_id long")
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """A bit for each of 2 ** k places, 64 at least and twice as many as hashes: whether an odd number of the hashes fall on it."""
+    places = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
+    at = (mix(found ^ U64(0x8EBC6AF09C88C6E3)) & U64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """doc_id, size, bits: the number of shingles and the sketch of each row of ``texts`` (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found, upto = shingle_sets(*utf8(batch.column(1)), n)
+            bits = [sketch(found[a:b]) for a, b in zip(upto[:-1], upto[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(upto), pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "size", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, bits binary")
+
+
+def near_by_sketch(sizes: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions i, and all j that come with it, of pairs whose sketches leave open that their Jaccard similarity is percent / 100 or more; each pair once.
+
+    Sets that differ in d shingles have sketches that differ in d bits at most;
+    a longer sketch is folded to the other's length, which keeps that.
+    """
+    words = np.fromiter((len(b) // 8 for b in bits), np.int64, len(bits))
+    for w in np.unique(words).tolist():
+        base = np.flatnonzero(words == w)
+        most = 100 * sizes[base].max()
+        places, rows = [base], [np.frombuffer(b"".join([bits[i] for i in base]), U64).reshape(len(base), w)]
+        for longer in np.unique(words[words > w]).tolist():
+            at = np.flatnonzero((words == longer) & (percent * sizes <= most))
+            if len(at):
+                places.append(at)
+                rows.append(np.bitwise_xor.reduce(np.frombuffer(b"".join([bits[i] for i in at]), U64).reshape(len(at), longer // w, w), axis=1))
+        place, row = np.concatenate(places), np.concatenate(rows)
+        size = sizes[place]
+        for k in range(len(base)):
+            there = np.flatnonzero((percent * np.maximum(size[k + 1 :], size[k]) <= 100 * np.minimum(size[k + 1 :], size[k]))) + k + 1
+            if len(there):
+                apart = np.bitwise_count(row[there] ^ row[k]).sum(1, dtype=np.int64)
+                there = there[(100 + percent) * apart <= (100 - percent) * (size[there] + size[k])]
+                if len(there):
+                    yield int(place[k]), place[there]
+
+
+def near_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """a, b, cell: pairs a < b of a cell's left and right side that may link, by their sketches, with the least cell they meet in.
+
+    ``cells`` has cell (a struct), side (0 left, 1 right, 2 both), doc_id, size and bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["k0", "k1", "k2"]):
+            ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+            a, b = [ids[:0]], [ids[:0]]
+            for i, js in near_by_sketch(table.column("size").to_numpy(), table.column("bits").to_pylist(), percent):
+                js = js[((side[i] != 1) & (side[js] != 0) | (side[i] != 0) & (side[js] != 1)) & (ids[js] != ids[i])]
+                a.append(np.minimum(ids[js], ids[i]))
+                b.append(np.maximum(ids[js], ids[i]))
+            found = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0)
+            if len(found):
+                keys = [pa.array(np.full(len(found), table.column(k)[0].as_py()), pa.int64()) for k in ("k0", "k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(found[:, 0]), pa.array(found[:, 1])], names=["k0", "k1", "k2", "a", "b"])
+
+    flat = cells.select(F.col("cell.k0").alias("k0"), F.col("cell.k1").alias("k1"), F.col("cell.k2").alias("k2"), "side", "doc_id", "size", "bits")
+    met = flat.repartition("k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2").mapInArrow(run, "k0 long, k1 long, k2 long, a long, b long")
+    return met.groupBy("a", "b").agg(F.min(F.struct("k0", "k1", "k2")).alias("cell"))
+
+
+def verified_cells(cells: DataFrame, sketched: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what the links of all cells connect; ``cells`` has cell, side and doc_id.
+
+    Only texts of pairs that their sketches leave open are sent, to one cell a pair.
+    """
+    near = near_pairs(cells.join(sketched, "doc_id"), percent)
+    ids = cut(near.select("cell", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    met = part_by_map(texts, ids)[0].join(ids, "doc_id")
+    return cell_links(met.select("cell", F.lit(2).alias("side"), "doc_id", "text"), n, percent)
+
+
 def links(found: np.ndarray, upto: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, most: int = 4096) -> Iterator[tuple[int, int]]:
     """Positions (i of left, j of right) whose sets have a Jaccard similarity of at least percent / 100, by matrix products."""
     sizes = np.diff(upto)
@@ -398,21 +512,20 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, sh
     """
     sized = blocks.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     placed = blocks.join(sized, "label").filter("members > 1").withColumn("cells", cells_for("members", "shingles", cell))
-    placed = cut(placed.select(F.col("node").alias("doc_id"), "label", "cells", "members"), "placed")
-    members = cut(part_by_map(texts, placed)[0].join(placed, "doc_id"), "members")
+    placed = cut(placed.select(F.col("node").alias("doc_id"), "label", "cells", "members", "n_shingles"), "placed")
+    sketched = cut(sketches(part_by_map(texts, placed)[0], n).distinct(), "sketches")  # a row however often it is repeated
     nil = F.lit(0)
-    small = members.filter("cells = 1").select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id", "text")
-    edges = cell_links(small, n, percent)
-    large = members.filter("cells > 1")
+    small = placed.filter("cells = 1").select(key("label", nil, nil), F.lit(2).alias("side"), "doc_id")
+    large = placed.filter("cells > 1")
     if large.isEmpty():
-        return edges
+        return verified_cells(small, sketched, texts, n, percent)
     block = F.pmod(F.xxhash64("doc_id"), F.col("cells"))
     spread = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40))
     is_hub = (F.col("doc_id") == F.col("label")) | (spread < F.lit(float(hubs << 40)) / F.col("members"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-    hub_rows = large.filter(is_hub).withColumn("at", every).select(key("label", F.col("at"), nil), F.lit(0).alias("side"), "doc_id", "text")
-    own_rows = large.select(key("label", block, nil), F.lit(1).alias("side"), "doc_id", "text")
-    edges = cut(edges.unionByName(cell_links(hub_rows.unionByName(own_rows), n, percent)), "links")
+    hub_rows = large.filter(is_hub).withColumn("at", every).select(key("label", F.col("at"), nil), F.lit(0).alias("side"), "doc_id")
+    own_rows = large.select(key("label", block, nil), F.lit(1).alias("side"), "doc_id")
+    edges = cut(verified_cells(small.unionByName(hub_rows).unionByName(own_rows), sketched, texts, n, percent), "links")
     # what the hubs have not drawn into a block's largest component is compared with what it shares a signature with
     labels = components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("part"))
     ids = large.select("doc_id", "label").distinct()
@@ -420,7 +533,9 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, sh
     counted = parts.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = cut(counted.groupBy("label").agg(F.max(F.struct("n", "part")).alias("top")).select("label", F.col("top.part").alias("top")), "largest")
     moved = cut(parts.join(largest, "label").select("doc_id", "label", "part", (F.col("part") != F.col("top")).alias("moves")), "moved")
-    groups = signature_groups(large.select("doc_id", "text"), moved, n, percent, shared, cell)
+    shingles = large.agg(F.sum("n_shingles")).first()[0]
+    met = shared_signatures(part_by_map(texts, large)[0], n, shared, shingles)
+    groups = signature_groups(met, sketched.select("doc_id", "size").distinct(), moved, percent, cell)
     lone = groups.filter("cells = 1").select("doc_id", key("sig", nil, nil), F.lit(2).alias("side"))
     groups = groups.filter("cells > 1")
     sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("size"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
@@ -439,35 +554,28 @@ def verified_edges(texts: DataFrame, blocks: DataFrame, n: int, percent: int, sh
 
     movers = pairs(groups.filter("moves"), "movers", "all", 5).select("doc_id", key("sig", F.col("own"), F.col("other")), F.lit(0).alias("side"))
     others = pairs(groups, "all", "movers", 7).select("doc_id", key("sig", F.col("other"), F.col("own")), F.lit(1).alias("side"))
-    met = large.select("doc_id", "text").join(lone.unionByName(movers).unionByName(others), "doc_id").select("cell", "side", "doc_id", "text")
-    return edges.unionByName(cell_links(met, n, percent))
+    return edges.unionByName(verified_cells(lone.unionByName(movers).unionByName(others), sketched, texts, n, percent))
 
 
-def signature_groups(texts: DataFrame, moved: DataFrame, n: int, percent: int, shared: Broadcast[PartEnum], cell: int) -> DataFrame:
+def signature_groups(met: DataFrame, sizes: DataFrame, moved: DataFrame, percent: int, cell: int) -> DataFrame:
     """sig, doc_id, size, band, moves and cells (that the group asks for): groups whose movers are to be compared with the rest of the group.
 
-    ``moved``: doc_id, label (block), part, moves. The groups of a block are
-    those that share a signature and hold a mover and something it is not tied
-    to yet; of groups of the same documents one is enough. Where it sends fewer
-    texts, the block itself is the one group, with its label for a signature.
+    ``met``: sig, doc_id, as ``shared_signatures`` gives them; ``sizes``: doc_id,
+    size, each once; ``moved``: doc_id, label (block), part, moves. The groups of
+    a block are those that share a signature and hold a mover and something it
+    is not tied to yet; of groups of the same documents one is enough. Where it
+    sends fewer rows, the block itself is the one group, with its label for a
+    signature.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            found, upto = shingle_sets(*utf8(batch.column(1)), n)
-            lists = [np.unique(shared.value.signatures(found[a:b])) for a, b in zip(upto[:-1], upto[1:])]
-            counts, sizes = [len(x) for x in lists], np.diff(upto)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts), pa.int64())], names=["sig", "doc_id", "size"])
-
-    # repeated rows once, so that xors below tell groups of different documents apart
-    rows = cut(texts.mapInArrow(run, "sig long, doc_id long, size long").distinct().join(moved, "doc_id"), "signatures")
+    # each document and size once, so that xors below tell groups of different documents apart
+    own = cut(moved.join(sizes, "doc_id"), "block-rows")
+    rows = cut(met.join(own, "doc_id"), "signatures")
     told = rows.groupBy("label", "sig").agg(
         F.count("*").alias("members"), F.sum("size").alias("shingles"), F.max("moves").alias("any"), F.min("part").alias("low"), F.max("part").alias("high"),
         F.bit_xor(F.xxhash64("doc_id", "size")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id", "size")).alias("two"),
     )
     kept = told.filter(F.col("any") & (F.col("low") != F.col("high"))).groupBy("label", "members", "shingles", "low", "high", "one", "two").agg(F.min("sig").alias("sig"))
     kept = cut(kept.select("label", "sig", "members", cells_for("members", "shingles", cell).alias("cells")), "signature-groups")
-    own = cut(rows.select("label", "doc_id", "size", "moves").distinct(), "block-rows")
     sums = [f(F.when(F.col("moves") | F.lit(every_one), F.col("size"))).alias(f"{name}_{what}") for name, every_one in (("all", True), ("movers", False)) for what, f in (("n", F.count), ("shingles", F.sum))]
     sized = own.groupBy("label").agg(*sums).withColumn("cells", cells_for("all_n", "all_shingles", cell))
     by_block = sized.select("label", "cells", (F.col("movers_n") * F.col("cells") + F.col("all_n") * cells_for("movers_n", "movers_shingles", cell)).alias("by_block"))

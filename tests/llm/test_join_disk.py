@@ -68,3 +68,38 @@ def test_id_map_loses_no_id(spark):
     assert idmap.part_by_map(rows, ids.limit(0))[0].isEmpty()
     nulls = spark.createDataFrame([(None, "a"), (3, None)], "doc_id long, text string")
     assert sum(x.count() for x in idmap.part_by_map(nulls, ids)) == 2
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_sketches_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = []
+    for size in (1, 2, 5, 31, 33, 64, 300, 3000):
+        for _ in range(12):
+            kept = base[:size][rng.random(size) >= rng.choice([0, 0.02, 0.1, 0.3])]
+            sets.append(np.unique(np.concatenate((kept, rng.integers(0, 2**63, int(rng.integers(0, size // 8 + 2))).astype(np.uint64)))))
+    sets += [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(40)] + [base[:0]]
+    found = [(min(i, int(j)), max(i, int(j))) for i, js in ngramjoin.near_by_sketch(np.array([len(x) for x in sets]), [ngramjoin.sketch(x) for x in sets], percent) for j in js]
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+    links = {p for p, k in both.items() if k and 100 * k >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - k)}
+    assert len(found) == len(set(found)) and links and links <= set(found)
+    strange = range(96, 136)  # random sets of one size
+    assert not [p for p in found if p[0] in strange and p[1] in strange]
+
+
+def test_texts_that_meet_by_chance_are_not_sent(docs_frame, monkeypatch):
+    real, sent = ngramjoin.cell_links, []
+
+    def counted(cells, n, percent):
+        sent.append(cells.count())
+        return real(cells, n, percent)
+
+    monkeypatch.setattr(ngramjoin, "cell_links", counted)
+    rng = random.Random(7)
+    lines = [" ".join(f"l{rng.randrange(10**6)}" for _ in range(8)) for _ in range(200)]
+    texts = ["\n".join([" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)), *rng.sample(lines, 8)]) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i] + " more") for i in range(10)]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(rows), 5, 80, cell=16, hubs=3).collect()}
+    assert got == {i: i % 5000 for i, _ in rows}
+    assert 20 <= sum(sent) <= 60, sent
