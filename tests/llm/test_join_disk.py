@@ -97,8 +97,10 @@ def test_texts_that_meet_by_chance_are_not_sent(docs_frame, monkeypatch):
 
     monkeypatch.setattr(ngramjoin, "cell_links", counted)
     rng = random.Random(7)
-    lines = [" ".join(f"l{rng.randrange(10**6)}" for _ in range(8)) for _ in range(200)]
-    texts = ["\n".join([" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)), *rng.sample(lines, 8)]) for _ in range(200)]
+    # each line in two texts, so that none is common
+    lines = 2 * [" ".join(f"l{rng.randrange(10**6)}" for _ in range(8)) for _ in range(300)]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, 600, 3)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i] + " more") for i in range(10)]
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.near_groups(docs_frame(rows), 5, 80, cell=16, hubs=3).collect()}
     assert got == {i: i % 5000 for i, _ in rows}
